@@ -11,14 +11,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from typing import Any
 
 #: Characters of the quick way: ASCII without odd controls, Latin letters, a few marks.
 _LETTERS = "a-zß-öø-įı-ňŊ-ž"
 _ODD = re.compile("[^\\t\\n\\r -~¡«·»¿À-ÖØ-öø-įı-ňŊ-ž]")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_WORD = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-9]+")
 #: The pre-tokenizer and normalizer for which the quick way holds.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 200_000  # in each of two generations
 
 
 def default_vocabulary() -> str:
@@ -27,14 +28,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words(dict):
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
+class WordCache(dict):
+    """What ``make`` gives for a word, kept in two bounded generations.
+
+    When the young one is full it becomes the old one; a word found there is young
+    again, so frequent words stay.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.encode(word)
-        if len(self) >= CACHE_WORDS:
+    def __init__(self, make: Callable[[str], Any], size: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, word: str) -> Any:
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
         self[word] = out
         return out
@@ -54,7 +64,9 @@ class Encoder:
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.special = any(x for x in spec.get("added_tokens", []))
         self.quick = steps == ["NFC", "Replace", "Lowercase"] and _SPLIT in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
-        self.words = _Words(self._library)
+        self.words = WordCache(self._library)
+        #: What stands between spaces, often a word and a mark.
+        self.chunks = WordCache(lambda c: b"".join(map(self.words.__getitem__, _WORD.findall(c))))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,4 +84,4 @@ class Encoder:
             return b""
         if not self.quick or "<|" in text or _ODD.search(text):
             return self._library(text)
-        return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))

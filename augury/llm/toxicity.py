@@ -5,7 +5,8 @@ unless all its sentences are clean (noisy-or).  The weights are fitted to docume
 labels through that formula, so the model also says which sentence offends.
 
 Fitting uses a bounded sample of labelled documents (``sample_docs``), taken by the
-order of a hash of the id; features are hashes of lower-cased words.  Scoring reads
+order of a hash of the id; features are hashes of
+lower-cased words and of their beginnings.  Scoring reads
 every whole text.  Labels, language, source and id are never inputs of a score.
 
 A null or empty text, or one without words, has no sentence and scores 0.0.  Rows
@@ -27,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm.common import map_rows
+from augury.llm.tokens import WordCache
 
 #: Documents that the model is fitted on, at most.
 SAMPLE_DOCS = 8_000
-#: Words known to fewer of them are not features.
-MIN_DOCS = 4
+#: Features of fewer distinct toxic sentences are not used.
+MIN_SENTENCES = 4
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 _ENDS = frozenset(".!?\n")
 
@@ -60,23 +62,39 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPL
     return joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic")
 
 
+def word_features(word: str) -> set[int]:
+    """Hashes of the word and of its beginnings of four to six letters."""
+    return {zlib.crc32(word.encode("utf-8", "surrogatepass")) or 1} | {zlib.crc32(f"^{word[:k]}".encode("utf-8", "surrogatepass")) or 1 for k in (4, 5, 6) if len(word) > k}
+
+
 def _bags(rows: list[list]) -> Iterator[tuple]:
-    """Per document: its sentences as runs of word hashes (0 ends one), each sentence and word once."""
+    """Per document: its sentences as runs of feature hashes (0 ends one), each sentence and feature once."""
+    known: dict[str, set[int]] = {}
     for text, toxic in zip(*rows, strict=True):
         seen, out, sentence = set(), [], set()
         for t in [*tokens(text), "."]:
             if t[0] not in _ENDS:
-                sentence.add(zlib.crc32(t.encode()) or 1)
+                sentence.add(t)
             elif sentence:
-                if (key := tuple(sorted(sentence))) not in seen:
+                if (key := frozenset(sentence)) not in seen:
                     seen.add(key)
-                    out += [*key, 0]
+                    bag: set[int] = set()
+                    for w in key:
+                        if w not in known:
+                            known[w] = word_features(w)
+                        bag |= known[w]
+                    out += [*sorted(bag), 0]
                 sentence = set()
         yield np.array(out, dtype="<u4").tobytes(), int(toxic > 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = 150, shrink: float = 2e-3, rate: float = 0.15) -> Model:
-    """Fit the noisy-or by proximal gradient steps (Adam), on the driver, from the bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, rounds: int = 150, shrink: float = 0.02, rate: float = 0.15) -> Model:
+    """Fit the noisy-or by proximal gradient steps (Adam), on the driver, from the bounded sample.
+
+    Features are those that toxic documents' distinct sentences hold clearly more
+    often than clean ones'; copies of a sentence count once.  Weights are not negative:
+    a sentence offends by what it holds.
+    """
     sample = training_sample(docs, labels, sample_docs)
     bags = map_rows(sample, ["text", "toxic"], "bag binary, toxic int", lambda: _bags).collect()  # at most sample_docs rows
     bags = sorted((bytes(b), y) for b, y in bags if b)
@@ -84,23 +102,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
         return Model({}, -6.0)
     flat = [np.frombuffer(b, dtype="<u4") for b, _ in bags]
     y = np.array([t for _, t in bags], dtype=np.float64)
-    doc_of = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+    del bags
+    doc_of = np.repeat(np.arange(len(flat), dtype=np.int32), [len(x) for x in flat])
     words = np.concatenate(flat)
-    del flat, bags
+    del flat
     ends = words == 0
-    sentence_of = np.cumsum(ends) - ends
+    sentence_of = (np.cumsum(ends) - ends).astype(np.int32)
     doc_of_sentence = doc_of[ends]
     n_sentences = int(ends.sum())
-    keep = ~ends
-    words, sentence_of, doc_of = words[keep], sentence_of[keep], doc_of[keep]
+    words, sentence_of = words[~ends], sentence_of[~ends]
     vocabulary, code = np.unique(words, return_inverse=True)
-    pair = np.unique(doc_of.astype(np.int64) * len(vocabulary) + code)
-    word_in, doc_in = pair % len(vocabulary), pair // len(vocabulary)
-    df = np.bincount(word_in, minlength=len(vocabulary))
-    toxic_df = np.bincount(word_in, weights=y[doc_in], minlength=len(vocabulary))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    lean = np.log((toxic_df + 0.5) / (n1 + 1)) - np.log((df - toxic_df + 0.5) / (n0 + 1))
-    chosen = np.flatnonzero((df >= MIN_DOCS) & (np.abs(lean) > 0.7))
+    # the first of equal sentences stands for all when features are counted
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    sums = np.zeros(n_sentences, dtype=np.uint64)
+    np.add.at(sums, sentence_of, mixed)
+    first = np.zeros(n_sentences, dtype=bool)
+    first[np.unique(sums, return_index=True)[1]] = True
+    toxic_sentence = y[doc_of_sentence] > 0
+    chosen = lean = np.zeros(0, dtype=np.int64)
+    for once in (True, False):  # where every toxic sentence is a copy, copies count after all
+        counted, kept = (first[sentence_of], first) if once else (np.ones(len(words), dtype=bool), np.ones(n_sentences, dtype=bool))
+        df = np.bincount(code[counted], minlength=len(vocabulary))
+        toxic_df = np.bincount(code[counted & toxic_sentence[sentence_of]], minlength=len(vocabulary))
+        n1 = int((kept & toxic_sentence).sum())
+        n0 = int(kept.sum()) - n1
+        lean = np.log((toxic_df + 0.5) / (n1 + 1)) - np.log((df - toxic_df + 0.5) / (n0 + 1))
+        chosen = np.flatnonzero((toxic_df >= MIN_SENTENCES) & (lean > 1.0))
+        if len(chosen):
+            break
     back = np.full(len(vocabulary), -1)
     back[chosen] = np.arange(len(chosen))
     col = back[code]
@@ -120,31 +150,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
-        w = w - rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-6)
+        w = np.maximum(w - rate * (m / fix1) / (np.sqrt(v / fix2) + 1e-6) - rate * shrink, 0)
         b = b - rate * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink * 10, 0)
-    by_hash = {int(h): float(x) for h, x in zip(vocabulary[chosen], w, strict=True) if abs(x) > 1e-3}
-    return Model(by_hash, float(b))
-
-
-class _Weights(dict):
-    """Weights by word, found by the word's hash; bounded."""
-
-    def __init__(self, by_hash: dict[int, float]):
-        super().__init__()
-        self.by_hash = by_hash
-
-    def __missing__(self, word: str) -> float:
-        out = self.by_hash.get(zlib.crc32(word.encode("utf-8", "surrogatepass")) or 1, 0.0)
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = out
-        return out
+    return Model({int(h): float(x) for h, x in zip(vocabulary[chosen], w, strict=True) if x > 1e-3}, float(b))
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.bias, self.weights = model.bias, _Weights(model.weights)
+        self.bias, self.by_hash = model.bias, model.weights
+        #: A word's weight, the sum over its features; infinite for what ends a sentence.
+        self.weights = WordCache(lambda w: np.inf if w[0] in _ENDS else sum(self.by_hash.get(f, 0.0) for f in word_features(w)))
+
+    def logit(self, words: set[str]) -> float:
+        """Of a sentence: the bias and each of its features once."""
+        found: set[int] = set()
+        for w in words:
+            found |= word_features(w)
+        return self.bias + sum(self.by_hash.get(f, 0.0) for f in found)
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence with words, in code points of the lower-cased text."""
@@ -152,8 +174,7 @@ class Scorer:
         for m in [*_TOKEN.finditer(text.lower()), None]:
             if m is None or m[0][0] in _ENDS:
                 if seen:
-                    z = self.bias + sum(self.weights[t] for t in seen)
-                    out.append((start, m.end() if m else end, float(1 / (1 + np.exp(-np.clip(z, -30, 30))))))
+                    out.append((start, m.end() if m else end, float(1 / (1 + np.exp(-np.clip(self.logit(seen), -30, 30))))))
                 start, seen = -1, set()
             else:
                 start, end = (m.start() if start < 0 else start), m.end()
@@ -164,24 +185,18 @@ class Scorer:
         if not text:
             return 0.0
         found = tokens(text)
-        get = self.weights.__getitem__
-        log_clean, base, any_word = 0.0, -np.log1p(np.exp(self.bias)), False
-        heavy: set[str] = set()
-        plain = True  # no word yet
-        for t in found:
-            if t[0] in _ENDS:
-                if not plain:
-                    any_word = True
-                    log_clean += base if not heavy else -float(np.logaddexp(0, np.clip(self.bias + sum(map(get, heavy)), -30, 30)))
-                plain, heavy = True, heavy and set()
-            else:
-                plain = False
-                if get(t):
-                    heavy.add(t)
-        if not plain:
-            any_word = True
-            log_clean += base if not heavy else -float(np.logaddexp(0, np.clip(self.bias + sum(map(get, heavy)), -30, 30)))
-        return float(-np.expm1(log_clean)) if any_word else 0.0
+        w = np.fromiter(map(self.weights.__getitem__, found), dtype=np.float64, count=len(found))
+        ends = np.isinf(w)
+        n_sentences = int((~ends).any()) and int((~ends & np.concatenate([[True], ends[:-1]])).sum())
+        heavy = np.flatnonzero((w > 0) & ~ends)
+        if not len(heavy):
+            return float(-np.expm1(-n_sentences * np.log1p(np.exp(self.bias))))
+        by: dict[int, set[str]] = {}
+        for s, k in zip(np.cumsum(ends)[heavy].tolist(), heavy.tolist(), strict=True):
+            by.setdefault(s, set()).add(found[k])
+        log_clean = -(n_sentences - len(by)) * np.log1p(np.exp(self.bias))
+        log_clean -= sum(np.logaddexp(0, np.clip(self.logit(x), -30, 30)) for x in by.values())
+        return float(-np.expm1(log_clean))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -218,6 +233,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         scorer = Scorer(model)
-        return texts.map(scorer.score).astype("float64")
+        return texts.map(lambda t: scorer.score(t) if isinstance(t, str) else 0.0).astype("float64")
 
     return docs.filter(score("text") < threshold)
