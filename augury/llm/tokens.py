@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+
 #: Characters of the quick way: ASCII without odd controls, Latin letters, a few marks.
 _LETTERS = "a-zß-öø-įı-ňŊ-ž"
 _ODD = re.compile("[^\\t\\n\\r -~¡«·»¿À-ÖØ-öø-įı-ňŊ-ž]")
@@ -21,6 +24,10 @@ _WORD = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 CACHE_WORDS = 200_000  # in each of two generations
 
+#: Byte-level vocabularies write bytes without a printable Latin-1 sign as letters from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -64,9 +71,10 @@ class Encoder:
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.special = any(x for x in spec.get("added_tokens", []))
         self.quick = steps == ["NFC", "Replace", "Lowercase"] and _SPLIT in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
-        self.words = WordCache(self._library)
+        self.model = self.tokenizer.model
+        self.words = WordCache(self._word)
         #: What stands between spaces, often a word and a mark.
-        self.chunks = WordCache(lambda c: b"".join(map(self.words.__getitem__, _WORD.findall(c))))
+        self.chunks = WordCache(lambda c: b"".join(map(self.words.__getitem__, _WORD.findall(c))), CACHE_WORDS * 3 // 4)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -76,8 +84,14 @@ class Encoder:
         return cls._made[path]
 
     def _library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word of the quick way goes straight to the merges, in the vocabulary's letters for bytes."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
