@@ -1,3 +1,3 @@
-"""Prediction-market analytics and training-data operators on Spark."""
+"""Prediction-market analytics on Spark, and operators for training data beside it."""
 
 __version__ = "0.1.0"
