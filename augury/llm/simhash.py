@@ -12,9 +12,10 @@ segment value that more than ``most`` fingerprints share is hot.  Fingerprints t
 are hot there meet the others by the join, but not each other; for these, one-lane
 fingerprints go an exact way whose groups are bounded by construction: two of them
 lie within 2 bits just if one-bit neighbourhoods (65 points each) share a point.
-With several lanes, a hot variant's members are linked to its two extreme members
-and verified; since each has one variant per bit, this is near to complete, and the
-recall is measured in the tests.
+With several lanes, nodes are first classed by verified links to the least node of
+each segment value; then variants find pairs of different classes, and a hot variant's
+members meet its two extreme members only.  Since each node has one variant per bit,
+this is near to complete, and the recall is measured in the tests.
 
 A null or empty text has no shingles and fingerprint zero; a null id never is the
 smallest; repeated rows get the same class; an empty table gives an empty result;
@@ -139,36 +140,61 @@ def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
 
     Complete as to components; see the module's text for several lanes.
     """
+    if scheme.lanes > 1:
+        return _links_of_lanes(nodes, scheme, most)
+    if scheme.distance > 2:
+        raise ValueError("one lane links up to distance 2; take more lanes")
     nodes = materialise(_mark_hot(nodes, scheme, most))
-    one = scheme.lanes == 1
-    keep = ["node"]
-    v = _variants(nodes, scheme, keep)
+    v = _variants(nodes, scheme, ["node"])
     cool = v.filter(~F.col("hot")).select("key", "node")
     warm = v.filter("hot").select("key", "node")
-    near = (F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= scheme.distance) if one else F.lit(True)
+    near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= scheme.distance
     a, b = cool.alias("a"), cool.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     b = warm.alias("b")
     pairs = pairs.unionByName(a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
     hot_nodes = nodes.filter("hot_mask <> 0")
-    if one:
-        if scheme.distance == 0:  # nodes are distinct
-            return pairs
-        if scheme.distance > 2:
-            raise ValueError("one lane links up to distance 2; take more lanes")
-        if scheme.distance == 2:
-            points = hot_nodes.select("node", F.explode(F.expr("array_append(transform(sequence(0, 63), i -> node ^ shiftleft(1L, cast(i as int))), node)")).alias("point"))
-        else:  # fingerprints one bit apart are equal after a wildcard
-            points = hot_nodes.select("node", F.explode(F.expr("transform(sequence(0, 63), i -> named_struct('i', i, 'rest', node & ~shiftleft(1L, cast(i as int))))")).alias("point"))
-        hubs = points.groupBy("point").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
-        return pairs.unionByName(points.join(hubs, "point").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).distinct()
-    ends = warm.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    met = warm.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
-    pairs = pairs.unionByName(met.select(F.col("node").alias("u"), F.col("end").alias("v")))
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if scheme.distance == 0:  # nodes are distinct
+        return pairs
+    if scheme.distance == 2:
+        points = hot_nodes.select("node", F.explode(F.expr("array_append(transform(sequence(0, 63), i -> node ^ shiftleft(1L, cast(i as int))), node)")).alias("point"))
+    else:  # fingerprints one bit apart are equal after a wildcard
+        points = hot_nodes.select("node", F.explode(F.expr("transform(sequence(0, 63), i -> named_struct('i', i, 'rest', node & ~shiftleft(1L, cast(i as int))))")).alias("point"))
+    hubs = points.groupBy("point").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
+    return pairs.unionByName(points.join(hubs, "point").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme, u: str = "node", v: str = "node") -> DataFrame:
+    """Of candidate pairs of nodes (u, v), those close enough, as the columns ``u`` and ``v`` of ``nodes``."""
     lanes = _lanes(scheme)
-    held = pairs.join(nodes.select(F.col("node").alias("u"), F.struct(*lanes).alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.struct(*lanes).alias("b")), "v")
-    return held.filter(_bits_apart(scheme, "a", "b") <= scheme.distance).select("u", "v")
+    held = pairs.join(nodes.select(F.col("node").alias("u"), F.struct(*lanes).alias("a"), F.col(u).alias("__u")), "u").join(nodes.select(F.col("node").alias("v"), F.struct(*lanes).alias("b"), F.col(v).alias("__v")), "v")
+    return held.filter(_bits_apart(scheme, "a", "b") <= scheme.distance).select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+
+
+def _links_of_lanes(nodes: DataFrame, scheme: Scheme, most: int) -> DataFrame:
+    """Links for several lanes, few per node.
+
+    First each node meets the least node of each of its segments' values; what is
+    close makes first classes.  Only pairs of different classes are then sought
+    through the variants, so a large class is not met in pairs of its members.
+    """
+    values = nodes.select("node", F.explode(_segments(scheme)).alias("s")).select("node", "s.seg", "s.value")
+    hubs = values.groupBy("seg", "value").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").drop("far")
+    stars = values.join(hubs, ["seg", "value"]).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    stars = materialise(_verified(stars, nodes, scheme))
+    roots = connected_components(stars)
+    classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = materialise(_mark_hot(classed, scheme, most))
+    v = _variants(classed, scheme, ["node", "root"])
+    cool = v.filter(~F.col("hot")).select("key", "node", "root")
+    a, b = cool.alias("a"), cool.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    ends = v.filter("hot").groupBy("key").agg(F.min(F.struct("node", "root")).alias("lo"), F.max(F.struct("node", "root")).alias("hi"))
+    far = (F.col("root") != F.col("lo.root")) | (F.col("root") != F.col("hi.root"))
+    met = v.select("key", "node", "root").alias("m").join(ends.alias("e"), (F.col("m.key") == F.col("e.key")) & far).select("node", "root", F.explode(F.array("lo", "hi")).alias("end")).filter("root <> end.root")
+    pairs = pairs.unionByName(met.select(F.col("node").alias("u"), F.col("end.node").alias("v")))
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return stars.unionByName(_verified(pairs, classed, scheme, "root", "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:

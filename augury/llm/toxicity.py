@@ -31,7 +31,7 @@ from augury.llm.common import map_rows
 from augury.llm.tokens import WordCache
 
 #: Documents that the model is fitted on, at most.
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 5_000
 #: Features of fewer distinct toxic sentences are not used.
 MIN_SENTENCES = 4
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -111,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
     doc_of_sentence = doc_of[ends]
     n_sentences = int(ends.sum())
     words, sentence_of = words[~ends], sentence_of[~ends]
-    vocabulary, code = np.unique(words, return_inverse=True)
+    vocabulary = np.unique(words)
+    code = np.searchsorted(vocabulary, words).astype(np.int32)
     # the first of equal sentences stands for all when features are counted
     mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
@@ -119,10 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
     np.add.at(sums, sentence_of, mixed)
     first = np.zeros(n_sentences, dtype=bool)
     first[np.unique(sums, return_index=True)[1]] = True
+    n_words = len(words)
+    del mixed, sums, words, doc_of
     toxic_sentence = y[doc_of_sentence] > 0
     chosen = lean = np.zeros(0, dtype=np.int64)
     for once in (True, False):  # where every toxic sentence is a copy, copies count after all
-        counted, kept = (first[sentence_of], first) if once else (np.ones(len(words), dtype=bool), np.ones(n_sentences, dtype=bool))
+        counted, kept = (first[sentence_of], first) if once else (np.ones(n_words, dtype=bool), np.ones(n_sentences, dtype=bool))
         df = np.bincount(code[counted], minlength=len(vocabulary))
         toxic_df = np.bincount(code[counted & toxic_sentence[sentence_of]], minlength=len(vocabulary))
         n1 = int((kept & toxic_sentence).sum())
