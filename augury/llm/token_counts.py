@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows
+from augury.llm.common import map_rows, materialise
 from augury.llm.tokens import Encoder, default_vocabulary
 
 BLOCK = 1024
@@ -41,9 +41,10 @@ def context_table(hist: DataFrame) -> DataFrame:
 
     docs_at_least and tokens_at_least are suffix sums from L on; truncated_total is
     the sum of min(length, L); docs_over counts documents that lose tokens;
-    docs_at_most / docs_total is the quantile that L is.
+    docs_at_most / docs_total is the quantile that L is.  The histogram is written
+    first, since blocks and lengths both read it and each reading would encode anew.
     """
-    h = hist.select(
+    h = materialise(hist).select(
         F.col("n_tokens").alias("context_limit"), "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("n_tokens_here"), F.expr(f"n_tokens div {BLOCK}").alias("block")
     )
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens_here").alias("bt"))
