@@ -17,6 +17,11 @@ each segment value; then variants find pairs of different classes, and a hot var
 members meet its two extreme members only.  Since each node has one variant per bit,
 this is near to complete, and the recall is measured in the tests.
 
+Segments short enough for a similarity of 0.8 have too few values for a large corpus:
+chance pairs would grow with its square.  With ``minima`` an indexed value is a segment
+and one least shingle hash, another for each segment, so that texts meet in a variant
+only if they have that shingle in common.
+
 A null or empty text has no shingles and fingerprint zero; a null id never is the
 smallest; repeated rows get the same class; an empty table gives an empty result;
 other columns are not read.
@@ -36,22 +41,33 @@ from augury.llm.graph import connected_components
 
 #: Fingerprints that may share a segment's value and still be joined with each other.
 HOT_VALUE = 16
+#: Low bits kept of a least shingle hash.
+MINIMUM_BITS = 40
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """words: shingle length; lanes: 64-bit words of the fingerprint; segments: of each lane; distance: bits that may differ."""
+    """words: shingle length; lanes: 64-bit words of the fingerprint; segments: of each lane; distance: bits that may differ.
+
+    minima: whether each segment is indexed along with a least shingle hash of its own.
+    """
 
     words: int = 5
     lanes: int = 1
     segments: int = 2
     distance: int = 2
+    minima: bool = False
 
     @property
     def segment_bits(self) -> int:
         return 64 // self.segments
 
+    @property
+    def value_bits(self) -> int:
+        """Bits of an indexed value: the segment and, above it, its least hash."""
+        return self.segment_bits + MINIMUM_BITS * self.minima
+
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle: words parted by white space, A-Z lower-cased, joined by a space."""
@@ -80,7 +96,10 @@ def lane_hashes(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     """Signed 64-bit lanes; a bit is 1 if it is set in over half the hashes."""
-    h = shingle_hashes(text, words)
+    return votes_of(shingle_hashes(text, words), lanes)
+
+
+def votes_of(h: np.ndarray, lanes: int) -> list[int]:
     if not len(h):
         return [0] * lanes
     out = []
@@ -93,21 +112,41 @@ def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     return out
 
 
+def minima(h: np.ndarray, n: int) -> list[int]:
+    """The least of the hashes times each of ``n`` odd numbers, its low bits; zeros without hashes.
+
+    Two texts have one of them in common as often as their sets of shingles are alike.
+    """
+    if not len(h):
+        return [0] * n
+    factors = [np.uint64((int(_MIX[2]) * (2 * k + 3) ** 3 | 1) % 2**64) for k in range(n)]
+    return [int((h * x).min()) % 2**MINIMUM_BITS for x in factors]
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id and the lanes f0, f1 ..., read from whole texts."""
+    """doc_id, the lanes f0, f1 ... and, if the scheme has them, minima m0, m1 ..., read from whole texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lanes = [f"f{i}" for i in range(scheme.lanes)]
+    least = _minima(scheme)
 
     def make():
-        return lambda c: ((d, *fingerprint(t, scheme.words, scheme.lanes)) for d, t in zip(*c, strict=True))
+        def run(c):
+            for d, t in zip(*c, strict=True):
+                h = shingle_hashes(t, scheme.words)
+                yield (d, *votes_of(h, scheme.lanes), *(minima(h, len(least)) if least else ()))
+
+        return run
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{x} long" for x in lanes), make)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{x} long" for x in _lanes(scheme) + least), make)
 
 
 def _lanes(scheme: Scheme) -> list[str]:
     return [f"f{i}" for i in range(scheme.lanes)]
 
 
+def _minima(scheme: Scheme) -> list[str]:
+    return [f"m{k}" for k in range(scheme.lanes * scheme.segments)] if scheme.minima else []
+
+
 def _bits_apart(scheme: Scheme, a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _lanes(scheme)), F.lit(0))
 
@@ -116,14 +155,19 @@ def _segments(scheme: Scheme) -> Column:
     """An array of (number, value) of all segments."""
     size, mask = scheme.segment_bits, 2**scheme.segment_bits - 1
     at = [(lane, s) for lane in range(scheme.lanes) for s in range(scheme.segments)]
-    return F.array(*[F.struct(F.lit(k).alias("seg"), F.shiftrightunsigned(f"f{lane}", s * size).bitwiseAND(F.lit(mask).cast("long")).alias("value")) for k, (lane, s) in enumerate(at)])
+
+    def value(k: int, lane: int, s: int) -> Column:
+        bits = F.shiftrightunsigned(f"f{lane}", s * size).bitwiseAND(F.lit(mask).cast("long"))
+        return bits.bitwiseOR(F.shiftleft(f"m{k}", size)) if scheme.minima else bits
+
+    return F.array(*[F.struct(F.lit(k).alias("seg"), value(k, lane, s).alias("value")) for k, (lane, s) in enumerate(at)])
 
 
 def _variants(nodes: DataFrame, scheme: Scheme, keep: list[str]) -> DataFrame:
     """A row for each node and wildcard bit: key (segment, bit, the rest of the segment) and whether the segment is hot."""
     size = scheme.segment_bits
     marked = nodes.select(*keep, "hot_mask", F.explode(_segments(scheme)).alias("s"))
-    key = F.expr(f"explode(transform(sequence(0, {size - 1}), i -> shiftleft(cast(s.seg * {size} + i as bigint), {size}) | (s.value & ~shiftleft(1L, cast(i as int)))))")
+    key = F.expr(f"explode(transform(sequence(0, {size - 1}), i -> shiftleft(cast(s.seg * {size} + i as bigint), {scheme.value_bits}) | (s.value & ~shiftleft(1L, cast(i as int)))))")
     return marked.select(*keep, F.expr("(shiftrightunsigned(hot_mask, s.seg) & 1L) = 1L").alias("hot"), key.alias("key"))
 
 
@@ -203,8 +247,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> D
     found = materialise(fingerprints(docs, scheme))
     # a node is a distinct fingerprint: itself, or a 64-bit hash of its lanes
     node = F.col("f0") if scheme.lanes == 1 else F.xxhash64(*lanes)
-    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first")).withColumn("node", node))
-    roots = connected_components(links(nodes.select("node", *lanes), scheme, most))
+    least = _minima(scheme)
+    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first"), *[F.min(m).alias(m) for m in least]).withColumn("node", node))
+    roots = connected_components(links(nodes.select("node", *lanes, *least), scheme, most))
     members = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # only roots that have links can gather more than one node
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -216,9 +261,9 @@ def hex_fingerprint(lane: Column) -> Column:
     return F.lpad(F.lower(F.hex(lane)), 16, "0")
 
 
-#: Five-word shingles at a similarity of 0.8 or more: three lanes in segments of 21 bits.
+#: Five-word shingles at a similarity of 0.8 or more: three lanes in segments of 16 bits.
 #: At similarity 0.8 about a seventh of the bits differ; 32 of 192 keeps most such pairs.
-NEAR_COPIES = Scheme(words=5, lanes=3, segments=3, distance=32)
+NEAR_COPIES = Scheme(words=5, lanes=3, segments=4, distance=32, minima=True)
 
 
 def keep_one_of_each(docs: DataFrame, scheme: Scheme = NEAR_COPIES, most: int = HOT_VALUE) -> DataFrame:
