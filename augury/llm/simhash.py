@@ -12,15 +12,7 @@ segment value that more than ``most`` fingerprints share is hot.  Fingerprints t
 are hot there meet the others by the join, but not each other; for these, one-lane
 fingerprints go an exact way whose groups are bounded by construction: two of them
 lie within 2 bits just if one-bit neighbourhoods (65 points each) share a point.
-With several lanes, nodes are first classed by verified links to the least node of
-each segment value; then variants find pairs of different classes, and a hot variant's
-members meet its two extreme members only.  Since each node has one variant per bit,
-this is near to complete, and the recall is measured in the tests.
-
-Segments short enough for a similarity of 0.8 have too few values for a large corpus:
-chance pairs would grow with its square.  With ``minima`` an indexed value is a segment
-and one least shingle hash, another for each segment, so that texts meet in a variant
-only if they have that shingle in common.
+Only one lane is linked; near-copies at a lower similarity are the task of ``copies``.
 
 A null or empty text has no shingles and fingerprint zero; a null id never is the
 smallest; repeated rows get the same class; an empty table gives an empty result;
@@ -41,33 +33,22 @@ from augury.llm.graph import connected_components
 
 #: Fingerprints that may share a segment's value and still be joined with each other.
 HOT_VALUE = 16
-#: Low bits kept of a least shingle hash.
-MINIMUM_BITS = 40
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """words: shingle length; lanes: 64-bit words of the fingerprint; segments: of each lane; distance: bits that may differ.
-
-    minima: whether each segment is indexed along with a least shingle hash of its own.
-    """
+    """words: shingle length; lanes: 64-bit words of the fingerprint; segments: of each lane; distance: bits that may differ."""
 
     words: int = 5
     lanes: int = 1
     segments: int = 2
     distance: int = 2
-    minima: bool = False
 
     @property
     def segment_bits(self) -> int:
         return 64 // self.segments
 
-    @property
-    def value_bits(self) -> int:
-        """Bits of an indexed value: the segment and, above it, its least hash."""
-        return self.segment_bits + MINIMUM_BITS * self.minima
-
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle: words parted by white space, A-Z lower-cased, joined by a space."""
@@ -112,62 +93,36 @@ def votes_of(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def minima(h: np.ndarray, n: int) -> list[int]:
-    """The least of the hashes times each of ``n`` odd numbers, its low bits; zeros without hashes.
-
-    Two texts have one of them in common as often as their sets of shingles are alike.
-    """
-    if not len(h):
-        return [0] * n
-    factors = [np.uint64((int(_MIX[2]) * (2 * k + 3) ** 3 | 1) % 2**64) for k in range(n)]
-    return [int((h * x).min()) % 2**MINIMUM_BITS for x in factors]
-
-
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, the lanes f0, f1 ... and, if the scheme has them, minima m0, m1 ..., read from whole texts."""
+    """doc_id and the lanes f0, f1 ..., read from whole texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    least = _minima(scheme)
 
     def make():
-        def run(c):
-            for d, t in zip(*c, strict=True):
-                h = shingle_hashes(t, scheme.words)
-                yield (d, *votes_of(h, scheme.lanes), *(minima(h, len(least)) if least else ()))
-
-        return run
+        return lambda c: ((d, *fingerprint(t, scheme.words, scheme.lanes)) for d, t in zip(*c, strict=True))
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{x} long" for x in _lanes(scheme) + least), make)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, " + ", ".join(f"{x} long" for x in _lanes(scheme)), make)
 
 
 def _lanes(scheme: Scheme) -> list[str]:
     return [f"f{i}" for i in range(scheme.lanes)]
 
 
-def _minima(scheme: Scheme) -> list[str]:
-    return [f"m{k}" for k in range(scheme.lanes * scheme.segments)] if scheme.minima else []
-
-
-def _bits_apart(scheme: Scheme, a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _lanes(scheme)), F.lit(0))
-
-
 def _segments(scheme: Scheme) -> Column:
     """An array of (number, value) of all segments."""
     size, mask = scheme.segment_bits, 2**scheme.segment_bits - 1
     at = [(lane, s) for lane in range(scheme.lanes) for s in range(scheme.segments)]
 
-    def value(k: int, lane: int, s: int) -> Column:
-        bits = F.shiftrightunsigned(f"f{lane}", s * size).bitwiseAND(F.lit(mask).cast("long"))
-        return bits.bitwiseOR(F.shiftleft(f"m{k}", size)) if scheme.minima else bits
+    def value(lane: int, s: int) -> Column:
+        return F.shiftrightunsigned(f"f{lane}", s * size).bitwiseAND(F.lit(mask).cast("long"))
 
-    return F.array(*[F.struct(F.lit(k).alias("seg"), value(k, lane, s).alias("value")) for k, (lane, s) in enumerate(at)])
+    return F.array(*[F.struct(F.lit(k).alias("seg"), value(lane, s).alias("value")) for k, (lane, s) in enumerate(at)])
 
 
 def _variants(nodes: DataFrame, scheme: Scheme, keep: list[str]) -> DataFrame:
     """A row for each node and wildcard bit: key (segment, bit, the rest of the segment) and whether the segment is hot."""
     size = scheme.segment_bits
     marked = nodes.select(*keep, "hot_mask", F.explode(_segments(scheme)).alias("s"))
-    key = F.expr(f"explode(transform(sequence(0, {size - 1}), i -> shiftleft(cast(s.seg * {size} + i as bigint), {scheme.value_bits}) | (s.value & ~shiftleft(1L, cast(i as int)))))")
+    key = F.expr(f"explode(transform(sequence(0, {size - 1}), i -> shiftleft(cast(s.seg * {size} + i as bigint), {size}) | (s.value & ~shiftleft(1L, cast(i as int)))))")
     return marked.select(*keep, F.expr("(shiftrightunsigned(hot_mask, s.seg) & 1L) = 1L").alias("hot"), key.alias("key"))
 
 
@@ -182,12 +137,10 @@ def _mark_hot(nodes: DataFrame, scheme: Scheme, most: int) -> DataFrame:
 def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     """Links (u, v) between nodes (columns node, f0 ...) whose fingerprints are close.
 
-    Complete as to components; see the module's text for several lanes.
+    Complete as to components.
     """
-    if scheme.lanes > 1:
-        return _links_of_lanes(nodes, scheme, most)
-    if scheme.distance > 2:
-        raise ValueError("one lane links up to distance 2; take more lanes")
+    if scheme.lanes > 1 or scheme.distance > 2:
+        raise ValueError("links are those of one lane up to distance 2; for less alike texts see the module copies")
     nodes = materialise(_mark_hot(nodes, scheme, most))
     v = _variants(nodes, scheme, ["node"])
     cool = v.filter(~F.col("hot")).select("key", "node")
@@ -208,48 +161,14 @@ def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     return pairs.unionByName(points.join(hubs, "point").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme, u: str = "node", v: str = "node") -> DataFrame:
-    """Of candidate pairs of nodes (u, v), those close enough, as the columns ``u`` and ``v`` of ``nodes``."""
-    lanes = _lanes(scheme)
-    held = pairs.join(nodes.select(F.col("node").alias("u"), F.struct(*lanes).alias("a"), F.col(u).alias("__u")), "u").join(nodes.select(F.col("node").alias("v"), F.struct(*lanes).alias("b"), F.col(v).alias("__v")), "v")
-    return held.filter(_bits_apart(scheme, "a", "b") <= scheme.distance).select(F.col("__u").alias("u"), F.col("__v").alias("v"))
-
-
-def _links_of_lanes(nodes: DataFrame, scheme: Scheme, most: int) -> DataFrame:
-    """Links for several lanes, few per node.
-
-    First each node meets the least node of each of its segments' values; what is
-    close makes first classes.  Only pairs of different classes are then sought
-    through the variants, so a large class is not met in pairs of its members.
-    """
-    values = nodes.select("node", F.explode(_segments(scheme)).alias("s")).select("node", "s.seg", "s.value")
-    hubs = values.groupBy("seg", "value").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").drop("far")
-    stars = values.join(hubs, ["seg", "value"]).filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = materialise(_verified(stars, nodes, scheme))
-    roots = connected_components(stars)
-    classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classed = materialise(_mark_hot(classed, scheme, most))
-    v = _variants(classed, scheme, ["node", "root"])
-    cool = v.filter(~F.col("hot")).select("key", "node", "root")
-    a, b = cool.alias("a"), cool.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    ends = v.filter("hot").groupBy("key").agg(F.min(F.struct("node", "root")).alias("lo"), F.max(F.struct("node", "root")).alias("hi"))
-    far = (F.col("root") != F.col("lo.root")) | (F.col("root") != F.col("hi.root"))
-    met = v.select("key", "node", "root").alias("m").join(ends.alias("e"), (F.col("m.key") == F.col("e.key")) & far).select("node", "root", F.explode(F.array("lo", "hi")).alias("end")).filter("root <> end.root")
-    pairs = pairs.unionByName(met.select(F.col("node").alias("u"), F.col("end.node").alias("v")))
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return stars.unionByName(_verified(pairs, classed, scheme, "root", "root").distinct())
-
-
 def near_duplicates(docs: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     """doc_id, the lanes, and component_id: the smallest doc_id reachable over links."""
     lanes = _lanes(scheme)
     found = materialise(fingerprints(docs, scheme))
     # a node is a distinct fingerprint: itself, or a 64-bit hash of its lanes
     node = F.col("f0") if scheme.lanes == 1 else F.xxhash64(*lanes)
-    least = _minima(scheme)
-    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first"), *[F.min(m).alias(m) for m in least]).withColumn("node", node))
-    roots = connected_components(links(nodes.select("node", *lanes, *least), scheme, most))
+    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first")).withColumn("node", node))
+    roots = connected_components(links(nodes.select("node", *lanes), scheme, most))
     members = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     # only roots that have links can gather more than one node
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -261,18 +180,8 @@ def hex_fingerprint(lane: Column) -> Column:
     return F.lpad(F.lower(F.hex(lane)), 16, "0")
 
 
-#: Five-word shingles at a similarity of 0.8 or more: three lanes in segments of 16 bits.
-#: At similarity 0.8 about a seventh of the bits differ; 32 of 192 keeps most such pairs.
-NEAR_COPIES = Scheme(words=5, lanes=3, segments=4, distance=32, minima=True)
+def keep_one_of_each(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """``docs`` without near-copies, see ``copies.keep_one_of_each``."""
+    from augury.llm import copies
 
-
-def keep_one_of_each(docs: DataFrame, scheme: Scheme = NEAR_COPIES, most: int = HOT_VALUE) -> DataFrame:
-    """``docs`` with one document of each class of near-duplicates: that with the smallest id; all columns stay.
-
-    Documents without words are no copies of each other and stay, as do those without
-    an id.  Of rows with equal ids all stay that the id's class keeps.
-    """
-    worded = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    classes = near_duplicates(worded, scheme, most)
-    extra = classes.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+    return copies.keep_one_of_each(docs, most=copies.BLOCK_NODES if most is None else most)

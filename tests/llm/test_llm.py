@@ -475,6 +475,43 @@ def test_near_copies_stage(spark, odd):
     assert out.columns == odd.columns and Counter(x.doc_id for x in out.collect()) == Counter([None, 1, 2, 3, 4, 6])
 
 
+def edited(r, words, share):
+    """``words`` with a share of them replaced by new ones, at random places."""
+    out = list(words)
+    for at in r.choice(len(words), size=round(share * len(words)), replace=False):
+        out[at] = f"x{r.integers(1 << 60):x}"
+    return out
+
+
+def brute_jaccard(a, b):
+    a, b = ({" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_equal_brute_force(spark):
+    # pairs around similarities of 0.75, 0.8 and 0.85: each is decided by its sets of shingles
+    r = np.random.default_rng(11)
+    rows, like = [], {}
+    for k in range(240):
+        a = [f"w{r.integers(1 << 60):x}" for _ in range(400)]
+        b = edited(r, a, r.uniform(0.010, 0.040))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        like[k] = brute_jaccard(*(t for _, t in rows[-2:]))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    kept = {x.doc_id for x in simhash.keep_one_of_each(docs).collect()}
+    for low, high in ((0.7, 0.8), (0.8, 0.85), (0.85, 0.9)):
+        near = [k for k, s in like.items() if low <= s < high]
+        assert len(near) > 15 and [k for k in near if (2 * k + 1 not in kept) != (low >= 0.8)] == []
+
+
+def test_near_copies_judge_rows_by_their_own_text(spark):
+    r = np.random.default_rng(12)
+    a, b = (" ".join(f"w{r.integers(1 << 60):x}" for _ in range(50)) for _ in range(2))
+    rows = [(1, a), (2, a), (2, b), (3, "unlike the others in each word"), (3, "unlike the others in each word")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    assert Counter((x.doc_id, x.text) for x in simhash.keep_one_of_each(docs).collect()) == Counter([(1, a), (2, b), (3, rows[3][1])])
+
+
 # personal data
 
 
