@@ -4,6 +4,11 @@ A sentence's probability is a logistic function of its words; a document is toxi
 unless all its sentences are clean (noisy-or).  The weights are fitted to document
 labels through that formula, so the model also says which sentence offends.
 
+A sentence's score is what its features add to the fitted background rate: it stays
+clean with probability (1 + e^bias) / (1 + e^logit).  Sentences without any weighted
+feature add nothing, and sentences with the same weighted features count once, so that
+neither harmless nor repeated sentences reject a text for its length.
+
 Fitting uses a bounded sample of labelled documents (``sample_docs``), taken by the
 order of a hash of the id; features are hashes of
 lower-cased words and of their beginnings.  Scoring reads
@@ -171,13 +176,17 @@ class Scorer:
             found |= word_features(w)
         return self.bias + sum(self.by_hash.get(f, 0.0) for f in found)
 
+    def over_background(self, words: set[str]) -> float:
+        """Minus the log of the probability that a sentence is clean."""
+        return float(np.logaddexp(0, min(self.logit(words), 30)) - np.logaddexp(0, min(self.bias, 30)))
+
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence with words, in code points of the lower-cased text."""
         out, start, end, seen = [], -1, 0, set()
         for m in [*_TOKEN.finditer(text.lower()), None]:
             if m is None or m[0][0] in _ENDS:
                 if seen:
-                    out.append((start, m.end() if m else end, float(1 / (1 + np.exp(-np.clip(self.logit(seen), -30, 30))))))
+                    out.append((start, m.end() if m else end, float(-np.expm1(-self.over_background(seen)))))
                 start, seen = -1, set()
             else:
                 start, end = (m.start() if start < 0 else start), m.end()
@@ -190,16 +199,13 @@ class Scorer:
         found = tokens(text)
         w = np.fromiter(map(self.weights.__getitem__, found), dtype=np.float64, count=len(found))
         ends = np.isinf(w)
-        n_sentences = int((~ends).any()) and int((~ends & np.concatenate([[True], ends[:-1]])).sum())
         heavy = np.flatnonzero((w > 0) & ~ends)
-        if not len(heavy):
-            return float(-np.expm1(-n_sentences * np.log1p(np.exp(self.bias))))
         by: dict[int, set[str]] = {}
         for s, k in zip(np.cumsum(ends)[heavy].tolist(), heavy.tolist(), strict=True):
             by.setdefault(s, set()).add(found[k])
-        log_clean = -(n_sentences - len(by)) * np.log1p(np.exp(self.bias))
-        log_clean -= sum(np.logaddexp(0, np.clip(self.logit(x), -30, 30)) for x in by.values())
-        return float(-np.expm1(log_clean))
+        # equal evidence once: sentences are told apart by their weighted features
+        distinct = {frozenset(f for w in words for f in word_features(w) if f in self.by_hash): words for words in by.values()}
+        return float(-np.expm1(-sum(map(self.over_background, distinct.values()))))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -93,6 +93,18 @@ def test_toxicity_planted_words(spark):
         assert s.score(t) == pytest.approx(1 - np.prod([1 - p for *_, p in s.sentences(t)]), abs=1e-9)
 
 
+def test_toxicity_does_not_grow_with_length():
+    bad = zlib.crc32(b"plugawy")
+    for bias in (-5.0, -8.5):
+        s = toxicity.Scorer(toxicity.Model({bad: 12.0, zlib.crc32(b"mild"): 1.0}, bias))
+        for n in (10_000, 100_000):
+            for clean in (" ".join(f"alpha beta {'abcdefghij'[k % 10]}{chr(0x4E00 + k // 10)} gamma." for k in range(n)), "alpha beta gamma. " * n, "a mild beta. " * n):
+                assert s.score(clean) < 0.5
+                assert s.score(clean + " delta plugawy epsilon.") > 0.9
+        once, twice = "one plugawy. a mild beta.", "one plugawy. a mild beta. plugawy one. a mild beta."
+        assert s.score(once) == pytest.approx(s.score(twice), abs=1e-12)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 1), (4, 1, None), (None, 1, 1), (6, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_documents(odd, toxicity.fit(odd, labels)).collect()
