@@ -7,7 +7,8 @@ verified word by word.  Hits mark words, spans or documents.
 
 The set is broadcast only up to ``max_windows`` windows.  A larger set goes another
 way: document windows of known lengths are shuffled to the items' windows by hash,
-which gives the same hits without holding the set anywhere.
+which gives the same hits without holding the set anywhere.  Both ways judge each row
+by its own text, whatever its id, and cut the same spans.
 
 A null text has no words, an empty table of items hits nothing, a null item id is
 the empty string, items with equal ids count once, equal windows of several items
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows
+from augury.llm.common import map_rows, materialise
 
 WINDOW = 10
 #: Windows that may be broadcast; beyond, windows are shuffled.
@@ -144,17 +145,19 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_w
     return map_rows(docs, ["doc_id", "text"], schema, make)
 
 
-def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same result when the items' windows are too many to broadcast.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written down with a number for each row, and that column's name."""
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    return materialise(docs.withColumn(number, F.monotonically_increasing_id())), number
+
+
+def _places_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Where windows of items occur: __row, s, length and h, of ``rows`` (__row, text).
 
-    Rows are numbered by a random id that is written down, so repeated documents stay apart.
     A window that very many texts hold is met once per occurrence, never in pairs of documents.
     """
-    from augury.llm.common import materialise
-
-    rows = materialise(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()))
-    items = map_rows(_items(benchmark), ["item", "text"], "item string, h string, length int", lambda: lambda c: ((i, hashlib.sha1(b" ".join(w)).hexdigest(), len(w)) for i, t in zip(*c, strict=True) for w in set(windows_of(words_of(t), n))))
-    items = materialise(items)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most n
 
     def spread(c):
@@ -165,9 +168,22 @@ def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame
                     yield row, s, length, hashlib.sha1(b" ".join(words[s : s + length])).hexdigest()
 
     seen = map_rows(rows, ["__row", "text"], "__row long, s int, length int, h string", lambda: spread)
-    # which windows occur at all, each with its items only once, and where they occur
-    known = items.select("h", "length").distinct()
-    places = materialise(seen.join(known, ["h", "length"]))
+    # which windows occur at all, each once
+    return materialise(seen.join(items.select("h", "length").distinct(), ["h", "length"]))
+
+
+def _item_windows(benchmark: DataFrame, n: int) -> DataFrame:
+    return materialise(map_rows(_items(benchmark), ["item", "text"], "item string, h string, length int", lambda: lambda c: ((i, hashlib.sha1(b" ".join(w)).hexdigest(), len(w)) for i, t in zip(*c, strict=True) for w in set(windows_of(words_of(t), n)))))
+
+
+def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The same result when the items' windows are too many to broadcast.
+
+    Rows are numbered by an id that is written down, so repeated documents stay apart.
+    """
+    rows, _ = _numbered(docs.select("doc_id", "text"))
+    items = _item_windows(benchmark, n)
+    places = _places_by_shuffle(rows, items)
     spans = places.groupBy("__row").agg(F.collect_set(F.struct("s", "length")).alias("spans"))
     owners = places.select("__row", "h", "length").distinct().join(items, ["h", "length"]).groupBy("__row").agg(F.collect_set("item").alias("items"))
     joined = rows.join(spans, "__row", "left").join(owners, "__row", "left")
@@ -184,6 +200,43 @@ def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame
     return map_rows(joined, ["doc_id", "text", "spans", "items"], f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", lambda: close)
 
 
+def _decontaminate_by_shuffle(docs: DataFrame, benchmark: DataFrame, action: str, n: int) -> DataFrame:
+    """Each row judged by its own text, told apart by its number."""
+    rows, number = _numbered(docs)
+    places = _places_by_shuffle(rows.select(F.col(number).alias("__row"), "text"), _item_windows(benchmark, n))
+    if action == "documents":
+        bad = places.select(F.col("__row").alias("__bad")).distinct()
+        return rows.join(bad, rows[number] == bad["__bad"], "left_anti").drop(number)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut_words(t, s, k) for t, s, k in zip(texts, starts, lengths, strict=True)], dtype=object)
+
+    spans = places.groupBy("__row").agg(F.collect_set(F.struct("s", "length")).alias("x")).select("__row", F.col("x.s").alias("s"), F.col("x.length").alias("length")).alias("spans_")
+    joined = rows.alias("rows_").join(spans, F.col(f"rows_.{number}") == F.col("spans_.__row"), "left")
+    return joined.select(*[cut("rows_.text", "spans_.s", "spans_.length").alias("text") if c == "text" else F.col(f"rows_.`{c}`") for c in docs.columns])
+
+
+def cut_words(text: str, starts: np.ndarray, lengths: np.ndarray) -> str:
+    """The text without the words of these spans."""
+    raw = text.encode("utf-8", "surrogatepass")
+    words = list(_WORD.finditer(raw.lower()))
+    hit = np.zeros(len(words), dtype=bool)
+    for s, k in zip(starts, lengths, strict=True):
+        hit[s : s + k] = True
+    return _without(raw, words, hit)
+
+
+def _without(raw: bytes, words: list[re.Match[bytes]], hit: np.ndarray) -> str:
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    for first, last in zip(edges[::2], edges[1::2], strict=True):
+        out.append(raw[at : words[first].start()])
+        at = words[last - 1].end()
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
 def clean_text(text: str | None, index: Index) -> tuple[str | None, bool]:
     """The text without its hit words (runs of them go with what stands between), and whether any were hit."""
     if not text:
@@ -193,13 +246,7 @@ def clean_text(text: str | None, index: Index) -> tuple[str | None, bool]:
     hit, _ = index.scan([m[0] for m in words])
     if not hit.any():
         return text, False
-    out, at = [], 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    for first, last in zip(edges[::2], edges[1::2], strict=True):
-        out.append(raw[at : words[first].start()])
-        at = words[last - 1].end()
-    out.append(raw[at:])
-    return b"".join(out).decode("utf-8", "surrogatepass"), True
+    return _without(raw, words, hit), True
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -208,10 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         raise ValueError("action must be documents or spans")
     index = build_index(benchmark, n, max_windows)
     if index is None:
-        if action == "spans":
-            raise ValueError("spans are cut with a broadcast index only; raise max_windows or remove documents")
-        bad = _scan_by_shuffle(docs, benchmark, n).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+        return _decontaminate_by_shuffle(docs, benchmark, action, n)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     if action == "documents":
 

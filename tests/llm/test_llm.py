@@ -252,6 +252,19 @@ def test_decontaminate_odd(spark, odd):
 # packing
 
 
+def test_decontaminate_ways_agree_on_shared_ids(spark, odd):
+    bench = spark.createDataFrame([(1, "the same words"), (2, "again words and"), (3, "in it")], "item_id long, text string")
+    more = [(None, "clean and without an id"), (None, "it holds the same words"), (1, "Again, words AND the same words! So."), (1, "clean"), (1, "clean"), (6, None), (6, "")]
+    docs = odd.unionByName(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in more], DOCS), allowMissingColumns=True)
+    for action in ("documents", "spans"):
+        quick, slow = (decontaminate.decontaminate(docs, bench, action, max_windows=m) for m in (500_000, 0))
+        assert quick.columns == slow.columns == docs.columns
+        rows = Counter(map(tuple, slow.collect()))
+        assert rows == Counter(map(tuple, quick.collect()))
+        assert sum(r[:2] == (1, "clean") for r in rows.elements()) == 2 and sum(r[:2] == (None, "clean and without an id") for r in rows) == 1
+    assert (1, "! So.") in {r[:2] for r in rows} or any(r[0] == 1 and r[1] and r[1].endswith("! So.") for r in rows)
+
+
 def check_packing(rows, n_docs):
     by = defaultdict(list)
     for r in rows:
