@@ -537,6 +537,18 @@ def test_near_copies_judge_rows_by_their_own_text(spark):
     assert Counter((x.doc_id, x.text) for x in simhash.keep_one_of_each(docs).collect()) == Counter([(1, a), (2, b), (3, rows[3][1])])
 
 
+@pytest.mark.parametrize("n,most", [(20, 2048), (500, 2048), (500, 50), (5000, 2048)])
+def test_near_copies_of_one_seed(spark, n, most):
+    # each copy was edited on its own: similar to the seed, but hardly to other copies
+    r = np.random.default_rng(n)
+    seed = [f"w{r.integers(1 << 60):x}" for _ in range(200)]
+    texts = [" ".join(seed), *(" ".join(edited(r, seed, 0.02)) for _ in range(n))]
+    at_seed = [brute_jaccard(texts[0], t) for t in texts[1:]]
+    assert min(at_seed) >= 0.8 and np.mean([brute_jaccard(texts[k], texts[k + 1]) for k in range(1, 20)]) < 0.75
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(texts)], DOCS).repartition(8)
+    assert [x.doc_id for x in simhash.keep_one_of_each(docs, most=most).collect()] == [0]
+
+
 # personal data
 
 
