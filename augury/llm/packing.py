@@ -39,11 +39,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        encode, step = Encoder.of(path).encode, 4 * capacity
+        encoder, step = Encoder.of(path), 4 * capacity
 
         def run(c):
-            for doc_id, text in zip(*c, strict=True):
-                ids = encode(text) + b"\0\0\0\0"
+            for doc_id, ids in zip(c[0], encoder.each(c[1]), strict=True):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))

@@ -26,8 +26,8 @@ def lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def make():
-        encode = Encoder.of(path).encode
-        return lambda c: ((len(encode(t)) // 4,) for t in c[0])
+        encoder = Encoder.of(path)
+        return lambda c: ((len(ids) // 4,) for ids in encoder.each(c[0]))
 
     return map_rows(docs, ["text"], "n_tokens long", make)
 
