@@ -2,10 +2,12 @@
 
 Documents become token pieces of at most ``capacity``; pieces share sequences of
 that capacity, as few as can be.  Only the counts of each piece length meet on the
-driver: at most ``capacity`` numbers, whatever the size of the corpus.  There,
-single, then pair, then triple sums of shorter lengths that exactly fill the gap of
-a longer one are consumed as often as counts allow; what no combination fills goes
-to the open sequence with the least room that suffices (best fit).  The plan is a
+driver: at most ``capacity`` numbers, whatever the size of the corpus.  There, an
+index of single, pair and triple sums of lengths answers which combination exactly
+fills the gap of a longer piece; singles, then pairs, then triples are consumed as
+often as counts allow.  What no combination fills goes to the open sequence with the
+least room that suffices (best fit).  So that short pieces are left for that, the
+shortest ones, with a stated share of all tokens, take no part in sums.  The plan is a
 list of rank intervals per length, and each task finds its pieces' places in it.
 
 A piece's rank among those of its length is counted per salted group, so a length
@@ -54,60 +56,89 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, make)
 
 
-def _exact(counts: np.ndarray, gap: int, most: int, size: int) -> tuple[int, ...] | None:
-    """``size`` lengths (one to three, none over ``most``) that fill the gap exactly, largest first; counts say which are there."""
-    if size == 1:
-        return (gap,) if gap <= most and counts[gap] else None
-    there = counts > 0
-
-    def pair(g: int, top: int) -> tuple[int, int] | None:
-        lo, hi = (g + 1) // 2, min(g - 1, top)
-        if hi < lo:
-            return None
-        a = np.arange(hi, lo - 1, -1)
-        ok = there[a] & there[g - a] & ((a * 2 != g) | (counts[a] > 1))
-        k = int(ok.argmax())
-        return (int(a[k]), g - int(a[k])) if ok[k] else None
-
-    if size == 2:
-        return pair(gap, most)
-    for a in range(min(gap - 2, most), (gap + 2) // 3 - 1, -1):
-        if there[a]:
-            counts[a] -= 1
-            there[a] = counts[a] > 0
-            two = pair(gap - a, a)
-            counts[a] += 1
-            there[a] = True
-            if two:
-                return (a, *two)
-    return None
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+class Sums:
+    """Which lengths, one to three, make a sum, largest first, as long as their counts last.
+
+    A sum's pairs are listed when it is first asked for.  Counts only fall, so a pair that
+    has run out is never looked at again.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.there = counts > 0
+        self.lengths = np.flatnonzero(self.there)[::-1].tolist()
+        self.pairs: dict[int, list[int]] = {}  # the larger lengths of a sum's pairs, smallest first
+
+    def _left(self, a: int, b: int, held: tuple[int, ...]) -> bool:
+        have = self.counts
+        return bool(have[a] > held.count(a) + (a == b) and have[b] > held.count(b))
+
+    def pair(self, total: int, most: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        found = self.pairs.get(total)
+        if found is None:
+            a = np.arange((total + 1) // 2, min(total, len(self.there)))
+            found = self.pairs[total] = a[self.there[a] & self.there[total - a]].tolist()
+        while found and not self._left(found[-1], total - found[-1], ()):
+            found.pop()
+        return next(((a, total - a) for a in reversed(found) if a <= most and self._left(a, total - a, held)), None)
+
+    def find(self, total: int, most: int, size: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """``size`` lengths, none over ``most``, beside those that are held."""
+        if size == 1:
+            return (total,) if 0 < total <= most and self.counts[total] > held.count(total) else None
+        if size == 2:
+            return self.pair(total, most, held)
+        for a in self.lengths:
+            if 3 * a < total:
+                return None
+            if a <= min(most, total - 2) and self.counts[a] > held.count(a):
+                two = self.pair(total - a, a, (*held, a))
+                if two:
+                    return (a, *two)
+        return None
+
+
+#: Shares of all tokens, in the shortest pieces, that sums may spare, in the order of trial.
+SPARED = (0.04, 0.08, 0.16, 0.32, 0.64)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, spared: tuple[float, ...] = SPARED) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one sequence) and how many sequences have each.
 
-    Uses every piece once; sums never exceed the capacity.  Exact fills can use up
-    short pieces that best fit would have spread better, so the plan is made with sums
-    of up to three, two, one and no lengths, and the one with fewest sequences is taken.
+    Uses every piece once; sums never exceed the capacity.  The shares are tried in turn
+    until the plan needs no more sequences than all tokens do; else the best one is taken.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
-    return min(plans, key=lambda p: sum(times for _, times in p))
+    bound = -(-sum(length * n for length, n in counts.items()) // capacity)
+    plans: list[list[tuple[tuple[int, ...], int]]] = []
+    for share in spared:
+        plans.append(plan_once(counts, capacity, share))
+        if sum(times for _, times in plans[-1]) <= bound:
+            break
+    return min(plans, key=lambda p: sum(times for _, times in p), default=[])
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+def plan_once(counts: dict[int, int], capacity: int, share: float) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
     if have[capacity]:
         out.append(((capacity,), int(have[capacity])))
-        have[capacity] = 0
-    for size in range(1, most + 1):
+    tokens = int(have @ np.arange(capacity + 1))
+    have[capacity] = 0
+    # the shortest pieces stay out of sums
+    room, short = int(tokens * share), np.zeros(capacity + 1, dtype=np.int64)
+    for length in np.flatnonzero(have).tolist():
+        short[length] = min(have[length], room // length)
+        room -= length * short[length]
+        if short[length] < have[length]:
+            break
+    have -= short
+    sums = Sums(have)
+    for size in (1, 2, 3):
         for length in range(capacity - 1, 0, -1):
             while have[length]:
-                have[length] -= 1
-                fill = _exact(have, capacity - length, length, size)
-                have[length] += 1
+                fill = sums.find(capacity - length, length, size, (length,))
                 if fill is None:
                     break
                 whole = (length, *fill)
@@ -115,8 +146,12 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
                 for x in whole:
                     have[x] -= times
                 out.append((whole, times))
-    left = {length: int(have[length]) for length in np.flatnonzero(have).tolist()}
-    # best fit decreasing of the rest: open sequences are grouped by what they hold
+    have += short
+    return out + best_fit({length: int(have[length]) for length in np.flatnonzero(have).tolist()}, capacity)
+
+
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first: open sequences are grouped by what they hold."""
     open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms = np.zeros(capacity + 1, dtype=bool)
     for length in sorted(left, reverse=True):
@@ -142,8 +177,7 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
             open_by_room.setdefault(room - length, []).append(((*held, length), used))
             rooms[room - length] = True
             n -= used
-    out += [p for room in sorted(open_by_room) for p in open_by_room[room]]
-    return out
+    return [p for room in sorted(open_by_room) for p in open_by_room[room]]
 
 
 def intervals(patterns: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, ...]]:
