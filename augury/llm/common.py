@@ -49,17 +49,22 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     ``make()`` runs once per task and returns a function from column lists to output
     tuples (any number for each input row); it holds whatever state the task needs.
+    If that function has a method ``finish``, its tuples end the task's output.
     """
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
+    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                rows = list(run([part.column(i).to_pylist() for i in range(len(columns))]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield from packed(list(run([part.column(i).to_pylist() for i in range(len(columns))])))
+        if hasattr(run, "finish"):
+            yield from packed(list(run.finish()))
 
     return df.select(*columns).mapInArrow(task, kind)
