@@ -1,4 +1,9 @@
-"""A small gradient-boosted tree classifier for a few thousand rows of a few features."""
+"""A small gradient-boosted tree classifier for a few thousand rows of a few features.
+
+Works on arrays without missing values.  Ties between splits go to the earlier feature
+and cut; repeated rows count each; without rows of both classes nothing is split and
+the probability is the calibrated base rate; no rows are an error.
+"""
 
 from __future__ import annotations
 
@@ -59,9 +64,12 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, cuts:
     return where
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3) -> Boosted:
-    """Boost on two thirds of the rows (every third is kept) and calibrate on the kept ones."""
-    kept = np.arange(len(x)) % 3 == 2
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, calibrate: tuple[np.ndarray, np.ndarray] | None = None) -> Boosted:
+    """Boost on all rows and calibrate on those given; without such, on every third row, which is then kept out."""
+    if not len(x):
+        raise ValueError("no rows to fit on")
+    kept = np.arange(len(x)) % 3 == 2 if calibrate is None else np.zeros(len(x), dtype=bool)
+    cx, cy = (x[kept], y[kept]) if calibrate is None else calibrate
     tx, ty = x[~kept], y[~kept].astype(float)
     cuts = [np.unique(np.quantile(tx[:, f], np.linspace(0.05, 0.95, 8), method="lower")) for f in range(x.shape[1])]
     base = float(np.log((ty.mean() + 1e-6) / (1 - ty.mean() + 1e-6)))
@@ -81,5 +89,6 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3) -> Bo
             leaf[k] = rate * g[rows].sum() / (h[rows].sum() + 1)
         z += leaf[2 * right + below]
         out.trees.append((root, low, high, leaf))
-    out.knots = isotonic(out.raw(x[kept]), y[kept])
+    if len(cx):
+        out.knots = isotonic(out.raw(cx), cy)
     return out
