@@ -5,10 +5,13 @@ table), then MPEG-1 Layer III frames at 32 kHz with CRC, of varying bitrate.  A
 payload rides as ancillary bytes behind empty side information, which is lossless:
 decoders play silence and skip it.  Each frame says how many bytes it carries.
 
-The reader makes no use of the writer's knowledge: it skips tags by their sizes,
-looks for the next frame header where one is broken (a header counts only if
-another header, a tag or the end follows the frame), verifies each CRC, and returns
-exact duration, payload, seek offsets and what it had to skip.
+The reader makes no use of the writer's knowledge.  It reads ID3v2.3 and 2.4 text
+fields and the ID3v1 block at the end, mono and stereo frames (whose side information
+differs in length), Xing and VBRI tables.  A header counts if its checksum holds, so
+that a damaged place costs no good frame before it, or if another header, a tag or the
+end follows the frame.  Each CRC is verified; the reader returns exact
+duration, payload, seek offsets and what it had to skip.  Other layers and MPEG-2 are
+not read: their frames are skipped bytes.
 
 A null payload is empty; equal payloads give equal streams; damaged bytes are
 reported, never raised; repeated rows and other columns stay.
@@ -117,6 +120,8 @@ class Stream:
     samples: int = 0
     rate: int = 0
     bad_crc: int = 0
+    vbri_frames: int | None = None
+    vbri_bytes: int | None = None
     skipped: list[tuple[int, int]] = field(default_factory=list)
     #: (sample, byte offset) of every 50th frame
     seek: list[tuple[int, int]] = field(default_factory=list)
@@ -136,33 +141,68 @@ def _header(data: bytes, at: int) -> tuple[int, int, bool] | None:
     return _frame_size(b, r, data[at + 2] >> 1 & 1), RATES[r], not data[at + 1] & 1
 
 
+def _side(data: bytes, at: int) -> int:
+    """Bytes of side information: 17 in mono frames, else 32."""
+    return 17 if data[at + 3] >> 6 == 3 else SIDE
+
+
+def _crc_holds(data: bytes, at: int) -> bool:
+    end = at + 6 + _side(data, at)
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : end]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def _confirmed(data: bytes, at: int) -> bool:
     h = _header(data, at)
     if h is None or at + h[0] > len(data):
         return False
     end = at + h[0]
-    return end == len(data) or data[end : end + 3] in (b"TAG", b"ID3") or _header(data, end) is not None
+    return end == len(data) or data[end : end + 3] in (b"TAG", b"ID3") or _header(data, end) is not None or h[2] and _crc_holds(data, at)
+
+
+def _text(raw: bytes) -> str:
+    """A text field: its first byte names the encoding."""
+    kinds = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+    return raw[1:].decode(kinds.get(raw[0] if raw else 0, "latin-1"), "replace")
+
+
+def _syncsafe_value(raw: bytes) -> int:
+    return sum((x & 0x7F) << s for x, s in zip(raw, (21, 14, 7, 0), strict=True))
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    if data[:3] != b"ID3" or len(data) < 10:
-        return {}, 0
-    size = 10 + sum((x & 0x7F) << s for x, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
+    """Text fields of an ID3v2 tag at the beginning, and its size.  Field sizes are syncsafe from version 2.4 on."""
+    if data[:3] != b"ID3" or len(data) < 10 or data[3] not in (3, 4):
+        return {}, 10 + _syncsafe_value(data[6:10]) if data[:3] == b"ID3" and len(data) >= 10 else 0
+    size = 10 + _syncsafe_value(data[6:10])
     out, at = {}, 10
+    if data[5] & 0x40:  # extended header; its size counts itself in version 2.4
+        at += _syncsafe_value(data[10:14]) if data[3] == 4 else 4 + int.from_bytes(data[10:14], "big")
     while at + 10 <= min(size, len(data)) and data[at : at + 4].strip(b"\0"):
-        n = sum((x & 0x7F) << s for x, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0), strict=True))
-        if data[at : at + 4] == b"TXXX":
-            name, _, value = data[at + 11 : at + 10 + n].partition(b"\0")
-            out[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
+        name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
+        n = _syncsafe_value(raw) if data[3] == 4 else int.from_bytes(raw, "big")
+        body = data[at + 10 : at + 10 + n]
+        if name[:1] == "T":
+            field_, _, value = _text(body).partition("\0") if name == "TXXX" else (name, "", _text(body))
+            out[field_] = value.strip("\0")
         at += 10 + n
     return out, size
 
 
+def _old_tag(data: bytes) -> dict[str, str]:
+    """Fields of the ID3v1 block in the last 128 bytes."""
+    raw = data[-128:]
+    if len(raw) < 128 or raw[:3] != b"TAG":
+        return {}
+    spans = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97)}
+    return {k: v for k, (a, b) in spans.items() if (v := raw[a:b].split(b"\0")[0].decode("latin-1").strip())}
+
+
 def decode(data: bytes | None) -> Stream:
     """Everything the stream's bytes say."""
     data = data or b""
     out = Stream()
     out.tags, at = _tags(data)
+    out.tags = _old_tag(data) | out.tags
     parts: list[bytes] = []
     while at < len(data):
         if data[at : at + 3] == b"TAG":
@@ -172,14 +212,15 @@ def decode(data: bytes | None) -> Stream:
             at = data.find(b"\xff", at + 1)
             while 0 <= at and not _confirmed(data, at):
                 at = data.find(b"\xff", at + 1)
-            at = len(data) if at < 0 else at
+            if at < 0:
+                at = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 > begin else len(data)
             out.skipped.append((begin, at))
             continue
         size, rate, protected = _header(data, at)  # type: ignore[misc]
-        body = data[at : at + size]
-        info = body[HEAD : HEAD + 4] if protected else body[HEAD - 2 : HEAD + 2]
-        if info in (b"Xing", b"Info"):
-            p = HEAD + 4 - 2 * (not protected)
+        side, body = _side(data, at), data[at : at + size]
+        p = 4 + 2 * protected + side
+        if body[p : p + 4] in (b"Xing", b"Info"):
+            p += 4
             flags = int.from_bytes(body[p : p + 4], "big")
             p += 4
             if flags & 1:
@@ -188,13 +229,17 @@ def decode(data: bytes | None) -> Stream:
                 out.xing_bytes, p = int.from_bytes(body[p : p + 4], "big"), p + 4
             if flags & 4:
                 out.toc = body[p : p + 100]
+        elif body[36:40] == b"VBRI":  # at this place whatever the mode
+            out.vbri_bytes, out.vbri_frames = struct.unpack(">II", body[46:54])
+            entries, _, width = struct.unpack(">HHH", body[54:60])
+            out.toc = body[62 : 62 + entries * width]
         else:
-            good = not protected or crc16(body[2:4] + body[6:HEAD]) == int.from_bytes(body[4:6], "big")
+            good = not protected or _crc_holds(data, at)
             out.bad_crc += not good
             if out.frames % 50 == 0:
                 out.seek.append((out.samples, at))
             out.frames, out.samples, out.rate = out.frames + 1, out.samples + SAMPLES, rate
-            if good and protected:
+            if good and protected and side == SIDE:
                 n = int.from_bytes(body[HEAD : HEAD + 2], "big")
                 parts.append(body[HEAD + 2 : HEAD + 2 + n])
         at += size
