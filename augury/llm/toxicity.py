@@ -9,10 +9,9 @@ clean with probability (1 + e^bias) / (1 + e^logit).  Sentences without any weig
 feature add nothing, and sentences with the same weighted features count once, so that
 neither harmless nor repeated sentences reject a text for its length.
 
-Fitting uses a bounded sample of labelled documents (``sample_docs``), taken by the
-order of a hash of the id; features are hashes of
-lower-cased words and of their beginnings.  Scoring reads
-every whole text.  Labels, language, source and id are never inputs of a score.
+Fitting uses a bounded sample of labelled documents (``sample_docs``, of texts of at
+most ``SAMPLE_CHARS``), taken by the order of a hash of the id; features are hashes of
+lower-cased words and of their beginnings.  Scoring reads every whole text.  Labels, language, source and id are never inputs of a score.
 
 A null or empty text, or one without words, has no sentence and scores 0.0.  Rows
 keep their other columns, repeated rows score alike, an empty table gives an empty
@@ -37,6 +36,8 @@ from augury.llm.tokens import WordCache
 
 #: Documents that the model is fitted on, at most.
 SAMPLE_DOCS = 5_000
+#: Longer texts, in characters, are not fitted on; they are scored whole like all others.
+SAMPLE_CHARS = 32_768
 #: Features of fewer distinct toxic sentences are not used.
 MIN_SENTENCES = 4
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -49,8 +50,13 @@ class Model:
     bias: float
 
 
+def lowered(text: str) -> str:
+    """In lower case, sign by sign: only a dotted I would become two."""
+    return text.replace("İ", "i").lower()
+
+
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(lowered(text))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,10 +64,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, toxic) of at most ``sample_docs`` labelled documents that are not held out."""
+    """(text, toxic) of at most ``sample_docs`` labelled documents that are not held out; those with long texts are left out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    texts = docs.select("doc_id", "text").filter("text is not null")
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
     # at most sample_docs rows of two numbers
     joined = texts.join(F.broadcast(chosen), "doc_id")
     return joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic")
@@ -181,9 +187,9 @@ class Scorer:
         return float(np.logaddexp(0, min(self.logit(words), 30)) - np.logaddexp(0, min(self.bias, 30)))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of each sentence with words, in code points of the lower-cased text."""
+        """(start, end, probability) of each sentence with words, in code points."""
         out, start, end, seen = [], -1, 0, set()
-        for m in [*_TOKEN.finditer(text.lower()), None]:
+        for m in [*_TOKEN.finditer(lowered(text)), None]:
             if m is None or m[0][0] in _ENDS:
                 if seen:
                     out.append((start, m.end() if m else end, float(-np.expm1(-self.over_background(seen)))))
