@@ -6,9 +6,11 @@ vocabulary, runs of known words are hashed as windows, looked up, and every hit
 verified word by word.  Hits mark words, spans or documents.
 
 The set is broadcast only up to ``max_windows`` windows.  A larger set goes another
-way: document windows of known lengths are shuffled to the items' windows by hash,
-which gives the same hits without holding the set anywhere.  Both ways judge each row
-by its own text, whatever its id, and cut the same spans.
+way: a bitmap of the items' windows, of a stated size, is broadcast, and the document
+windows that it lets pass are shuffled to the items' windows by hash and compared word
+by word there.  A window that very many documents hold is dealt into ``SALTS`` parts.
+Both ways judge each row by its own text, whatever its id, give the same hits and cut
+the same spans.
 
 A null text has no words, an empty table of items hits nothing, a null item id is
 the empty string, items with equal ids count once, equal windows of several items
@@ -23,6 +25,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ from augury.llm.common import map_rows, materialise
 WINDOW = 10
 #: Windows that may be broadcast; beyond, windows are shuffled.
 MAX_WINDOWS = 500_000
+#: Bits of the bitmap that the second way broadcasts: 16 for each window, and at most this many (64 MB).
+MOST_BITS = 1 << 29
+SALTS = 16
+_PAGE = 1 << 18  # bits of a page of the bitmap
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,27 +160,79 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(number, F.monotonically_increasing_id())), number
 
 
-def _places_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Where windows of items occur: __row, s, length and h, of ``rows`` (__row, text).
+def _bitmap(items: DataFrame, n: int, most_bits: int) -> tuple[np.ndarray, int]:
+    """A bit for each of the items' window hashes, made page by page in tasks; and how far hashes are shifted."""
+    bits = max(10, min((16 * max(n, 1)).bit_length(), most_bits.bit_length() - 1))
+    shift = 64 - bits
+    size = min(_PAGE, 1 << bits)
+    places = items.select(F.shiftrightunsigned("h", shift).alias("place")).distinct()
+    pages = places.select(F.expr(f"place div {size}").alias("page"), F.expr(f"cast(place % {size} as int)").alias("bit")).groupBy("page").agg(F.collect_list("bit").alias("bits"))
 
-    A window that very many texts hold is met once per occurrence, never in pairs of documents.
-    """
+    def draw(c):
+        for page, found in zip(*c, strict=True):
+            own = np.zeros(size, dtype=bool)
+            own[found] = True
+            yield page, np.packbits(own, bitorder="little").tobytes()
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    # at most MOST_BITS in all, whatever the number of windows
+    for page, raw in map_rows(pages, ["page", "bits"], "page long, raw binary", lambda: draw).toLocalIterator():
+        out[page * size // 8 : (page + 1) * size // 8] = np.frombuffer(bytes(raw), dtype=np.uint8)
+    return out, shift
+
+
+def _window_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all windows, from the words' hashes."""
+    out = np.full(len(h) - length + 1, length, dtype=np.uint64)
+    for k in range(length):
+        out = (out ^ h[k : k + len(out)]) * _P
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _places_by_shuffle(rows: DataFrame, items: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Where windows of items occur: __row, s, length and item, of ``rows`` (__row, text), a row for each owner."""
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most n
+    bitmap, shift = _bitmap(items, items.count(), most_bits)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make():
+        bits = sent.value
 
-    def spread(c):
-        for row, text in zip(*c, strict=True):
-            words = words_of(text)
-            for length in lengths:
-                for s in range(len(words) - length + 1):
-                    yield row, s, length, hashlib.sha1(b" ".join(words[s : s + length])).hexdigest()
+        def spread(c):
+            for row, text in zip(*c, strict=True):
+                words = words_of(text)
+                hashed = _word_hashes(words)
+                for length in lengths:
+                    if len(words) < length:
+                        continue
+                    h = _window_hashes(hashed, length)
+                    place = (h >> np.uint64(shift)).astype(np.int64)
+                    for s in np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist():
+                        yield row, s, length, int(h[s].astype(np.int64)), b" ".join(words[s : s + length])
 
-    seen = map_rows(rows, ["__row", "text"], "__row long, s int, length int, h string", lambda: spread)
-    # which windows occur at all, each once
-    return materialise(seen.join(items.select("h", "length").distinct(), ["h", "length"]))
+        return spread
+
+    seen = map_rows(rows, ["__row", "text"], "__row long, s int, length int, h long, win binary", make)
+    # each window goes to one of several parts, by its row
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+    own = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return materialise(seen.join(own, ["h", "length", "win", "salt"]).select("__row", "s", "length", "item"))
 
 
 def _item_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    return materialise(map_rows(_items(benchmark), ["item", "text"], "item string, h string, length int", lambda: lambda c: ((i, hashlib.sha1(b" ".join(w)).hexdigest(), len(w)) for i, t in zip(*c, strict=True) for w in set(windows_of(words_of(t), n)))))
+    """item, h, length and win of each distinct window of each item."""
+
+    def cut(c):
+        for item, text in zip(*c, strict=True):
+            for w in set(windows_of(words_of(text), n)):
+                yield item, int(_window_hashes(_word_hashes(list(w)), len(w))[0].astype(np.int64)), len(w), b" ".join(w)
+
+    return materialise(map_rows(_items(benchmark), ["item", "text"], "item string, h long, length int, win binary", lambda: cut).distinct())
 
 
 def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
@@ -185,7 +244,7 @@ def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame
     items = _item_windows(benchmark, n)
     places = _places_by_shuffle(rows, items)
     spans = places.groupBy("__row").agg(F.collect_set(F.struct("s", "length")).alias("spans"))
-    owners = places.select("__row", "h", "length").distinct().join(items, ["h", "length"]).groupBy("__row").agg(F.collect_set("item").alias("items"))
+    owners = places.groupBy("__row").agg(F.collect_set("item").alias("items"))
     joined = rows.join(spans, "__row", "left").join(owners, "__row", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
