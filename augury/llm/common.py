@@ -6,10 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: A key of more than one in so many rows is hot.
+HOT = 1000
 #: Rows turned into Python objects at once inside a task.
 ROWS_AT_ONCE = 256
 
@@ -44,6 +47,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, n_rows: int, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per key; ``many``, how many rows have it; ``value``), as column ``value``.
+
+    Rows of one key would meet in one task.  Fewer than ``HOT`` keys can have more than
+    1 / HOT of all rows: these are broadcast, and their rows go on under a key of their own,
+    a text made of ``spread``.  The first key is a text; ``groups`` should be written down.
+    """
+    hot = groups.filter(F.col("many") * HOT > n_rows).select(*keys, F.struct(value).alias("__hot"))
+    cool = groups.filter(F.col("many") * HOT <= n_rows).select(F.col(keys[0]).alias("__key"), *keys[1:], F.struct(value).alias("__cool"))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    out = out.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(keys[0])).otherwise(F.concat(F.lit("#"), spread.cast("string"))))
+    out = out.join(cool, ["__key", *keys[1:]], "left")
+    return out.withColumn(value, F.coalesce("__hot", "__cool")[value]).drop("__key", "__hot", "__cool")
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[tuple]]]) -> DataFrame:
     """Map ``columns`` of ``df`` through Python, a few hundred rows at a time.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows, materialise
+from augury.llm.common import join_spread, map_rows, materialise
 from augury.llm.graph import connected_components
 
 #: Fingerprints that may share a segment's value and still be joined with each other.
@@ -167,13 +167,17 @@ def near_duplicates(docs: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> D
     found = materialise(fingerprints(docs, scheme))
     # a node is a distinct fingerprint: itself, or a 64-bit hash of its lanes
     node = F.col("f0") if scheme.lanes == 1 else F.xxhash64(*lanes)
-    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first")).withColumn("node", node))
+    nodes = materialise(found.groupBy(*lanes).agg(F.min("doc_id").alias("first"), F.count("*").alias("many")).withColumn("node", node))
     roots = connected_components(links(nodes.select("node", *lanes), scheme, most))
-    members = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    linked = nodes.join(roots, "node")
     # only roots that have links can gather more than one node
-    least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = members.join(least, "root").select("node", "component_id")
-    return found.withColumn("node", node).join(members, "node").select("doc_id", *lanes, "component_id")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = linked.join(least, "root").select("node", "component_id")
+    # fingerprints of one document are their own component or have a link; others are joined by their text form
+    members = nodes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component_id", "first"))
+    members = materialise(members.select(F.hex("node").alias("__node"), "many", F.struct("component_id").alias("__found")))
+    out = join_spread(found.withColumn("__node", F.hex(node)), members, ["__node"], "__found", found.count(), F.xxhash64("doc_id"))
+    return out.select("doc_id", *lanes, F.col("__found.component_id").alias("component_id"))
 
 
 def hex_fingerprint(lane: Column) -> Column:

@@ -35,14 +35,13 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows, materialise, scratch_dir
+from augury.llm.common import join_spread, map_rows, materialise, scratch_dir
 
 FILE_BYTES = 8 << 20
 CHUNK = 1 << 20
 STEP = 1 << 12
 HEADER = 1 << 16  # bytes of a record's header, at most
 HELD = 32 << 20  # bytes of a record that are held before its checks have passed, at most
-HOT = 1000  # a payload of more than one in so many pages is hot
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -88,13 +87,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     p = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).alias("n"))
     groups = p.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("many"))
     groups = materialise(groups.filter((F.col("n") >= min_bytes) & (F.col("many") > 1)))
-    n_pages = pages.count()
-    # fewer than HOT payloads can have more than 1 / HOT of all pages
-    hot = F.broadcast(groups.filter(F.col("many") * HOT > n_pages).select("sha1", "n", F.struct("first").alias("known")))
-    cool = groups.filter(F.col("many") * HOT <= n_pages).select(F.col("sha1").alias("key"), "n", F.struct("first").alias("met"))
-    # pages of hot payloads get keys of their own and spread
-    p = p.join(hot, ["sha1", "n"], "left").withColumn("key", F.when(F.col("known").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string"))))
-    joined = p.join(cool, ["key", "n"], "left").withColumn("group", F.coalesce("known", "met")).withColumn("first", F.col("group.first"))
+    joined = join_spread(p, groups.withColumn("group", F.struct("first")), ["sha1", "n"], "group", pages.count(), F.xxhash64("page_id", "url")).withColumn("first", F.col("group.first"))
     revisit = F.col("group").isNotNull() & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return materialise(map_rows(joined.withColumn("revisit", revisit), ["page_id", "url", "html", "sha1", "first", "revisit"], "path string, n_records long, n_bytes long", lambda: _Writer(folder, file_bytes, date)))
 
