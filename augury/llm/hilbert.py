@@ -10,9 +10,12 @@ written parts, parts are counted, and a row's rank is its place in its part plus
 the counts of the parts before.  The sort key ends in the row's id and checksum,
 so a cell that holds a third of all rows still spreads over many parts.
 
+The number of parts grows with the rows, so that no part has many more than a million.
+
 Nulls of a dimension go to its lowest bucket, a null text has no bytes and
-checksum 0, a null id sorts first, equal rows get different slots in any order,
-and an empty table gives an empty result.  Other columns are not read.
+checksum 0, a null id sorts first, ids may be numbers or texts, equal rows get
+different slots in any order, and an empty table gives an empty result.
+``shard_documents`` does not read other columns; ``write_shards`` keeps them all.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ from pyspark.sql import functions as F
 
 from augury.llm.common import materialise
 
+#: Rows of a part, about.
+PART_ROWS = 1_000_000
+
 
 def text_rank(c: Column) -> Column:
     """A number that orders as the first seven bytes of a text do."""
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
-def cell(value: Column, cuts: Column) -> Column:
-    """How many of the cut points lie below the value."""
-    return F.size(F.filter(cuts, lambda x: x < value)).cast("long")
+def cell(value: Column, cuts: Column, bits: int) -> Column:
+    """How many of the cut points lie below the value, stretched to 0 to 2^bits - 1: a dimension of few values counts as much as others."""
+    return F.call_function("div", F.size(F.filter(cuts, lambda x: x < value)) * (2**bits - 1), F.greatest(F.size(cuts), F.lit(1))).cast("long")
 
 
 def curve_index(axes: list[Column], bits: int) -> Column:
@@ -91,7 +97,7 @@ def ordered_parts(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return dealt.withColumn("__place", place).join(F.broadcast(counts), "__part").withColumn("rank", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
 
 
-def hilbert_order(rows: DataFrame, dimensions: list[str], keys: list[str], bits: int = 5, parts: int = 200) -> DataFrame:
+def hilbert_order(rows: DataFrame, dimensions: list[str], keys: list[str], bits: int = 5, parts: int | None = None) -> DataFrame:
     """``rows`` with curve (its place on the curve), rank and n_rows.
 
     dimensions: integer columns, quantised at their own 2^bits quantiles over all rows.
@@ -99,11 +105,13 @@ def hilbert_order(rows: DataFrame, dimensions: list[str], keys: list[str], bits:
     if len(dimensions) * bits > 62:
         raise ValueError("dimensions times bits must be 62 or less")
     rows = materialise(rows)
+    if parts is None:
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
     at = [i / 2**bits for i in range(1, 2**bits)]
     cuts = rows.agg(*[F.percentile_approx(d, at, 10_000).alias(f"__cut_{i}") for i, d in enumerate(dimensions)])
     # one row of cut points
     cells = rows.crossJoin(F.broadcast(cuts)).withColumn(
-        "curve", curve_index([cell(F.coalesce(F.col(d), F.lit(-1).cast("long")), F.coalesce(F.array_distinct(F.col(f"__cut_{i}")), F.expr("cast(array() as array<bigint>)"))) for i, d in enumerate(dimensions)], bits)
+        "curve", curve_index([cell(F.coalesce(F.col(d), F.lit(-1).cast("long")), F.coalesce(F.array_distinct(F.col(f"__cut_{i}")), F.expr("cast(array() as array<bigint>)")), bits) for i, d in enumerate(dimensions)], bits)
     )
     cells = cells.drop(*[f"__cut_{i}" for i in range(len(dimensions))])
     return ordered_parts(cells, ["curve", *keys], parts)
@@ -115,19 +123,39 @@ def cut_runs(ranked: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("__s", shard).withColumn("slot", F.expr(f"rank - (__s * n_rows) div {shards}")).withColumn("shard", F.col("__s").cast("int")).drop("__s", "rank", "n_rows")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 5, parts: int = 200) -> DataFrame:
+#: Dimensions of a document, and what orders it inside a cell.
+DIMENSIONS, KEYS = ["__lang", "__source", "__size", "__id"], ["__key", "__crc", "__size"]
+
+
+def _measured(docs: DataFrame) -> list[Column]:
+    """Language, source, size and id as numbers, the id itself and the text's checksum."""
+    text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")
+    number = text_rank(id_) if docs.schema["doc_id"].dataType.simpleString() == "string" else id_.cast("long")
+    return [
+        text_rank(F.col("lang")).alias("__lang"),
+        text_rank(F.col("source")).alias("__source"),
+        (F.octet_length(text).cast("long") + 16).alias("__size"),
+        number.alias("__id"),
+        id_.alias("__key"),
+        F.crc32(F.encode(text, "UTF-8")).alias("__crc"),
+    ]
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 5, parts: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot for each document.
 
     Dimensions are language, source, size and id.
     """
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 16).alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        text_rank(F.col("lang")).alias("__lang"),
-        text_rank(F.col("source")).alias("__source"),
-        F.col("doc_id").cast("long").alias("__id"),
-    )
-    ranked = hilbert_order(rows, ["__lang", "__source", "size", "__id"], ["doc_id", "text_crc32", "size"], bits, parts)
-    return cut_runs(ranked, shards).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    ranked = hilbert_order(docs.select(*_measured(docs)), DIMENSIONS, KEYS, bits, parts)
+    return cut_runs(ranked, shards).select(F.col("__key").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "curve", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, folder: str, shards: int = 40, bits: int = 5, parts: int | None = None) -> None:
+    """Write ``docs``, all columns, to Parquet folders ``__shard=0, 1 ...``, each a run of the curve.
+
+    A file holds a piece of one run in the curve's order, so that the minimum and maximum
+    that Parquet keeps of language, source, size or id let a filter skip most files.
+    """
+    ranked = hilbert_order(docs.select(F.struct(*docs.columns).alias("__row"), *_measured(docs)), DIMENSIONS, KEYS, bits, parts)
+    placed = cut_runs(ranked, shards).withColumnRenamed("shard", "__shard")
+    placed.sortWithinPartitions("__shard", "slot").select("__row.*", "__shard").write.partitionBy("__shard").parquet(folder)
