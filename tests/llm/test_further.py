@@ -247,3 +247,55 @@ def test_license_templates_from_a_table(spark):
         licenses.templates_from(t, most_bytes=10)
     docs = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon zeta it is")], "doc_id long, text string")
     assert [(r.template, r.start, r.end) for r in licenses.scan_documents(docs, licenses.templates_from(t)).collect()] == [("own", 3, 38)]
+
+
+# sharding
+
+
+def test_sharding_text_ids_and_parts(spark):
+    from augury.llm import hilbert
+
+    docs = spark.createDataFrame([(f"id-{i % 50:03}", "t" * (i % 7), "en" if i % 3 else None, "s", 1) for i in range(300)] + [(None, None, None, None, None)], "doc_id string, text string, lang string, source string, size int")
+    rows = [hilbert.shard_documents(docs, shards=7, parts=p).collect() for p in (1, 5, None)]
+    for got in rows:
+        assert sorted(Counter(r.shard for r in got).values()) == [43] * 7
+        assert Counter((r.doc_id, r.size) for r in got) == Counter((r.doc_id, len(r.text or "") + 16) for r in docs.collect())
+    assert Counter((r.doc_id, r.size, r.shard) for r in rows[0]) == Counter((r.doc_id, r.size, r.shard) for r in rows[1])
+
+
+def test_sharded_files_skip_by_minimum_and_maximum(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from augury.llm import hilbert
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("rank", F.lit(1)).withColumn("curve", F.lit("x"))
+    hilbert.write_shards(docs, f"file://{tmp_path}/out", shards=64)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.columns == [*docs.columns, "__shard"] and Counter(map(tuple, back.drop("__shard").collect())) == Counter(map(tuple, docs.collect()))
+    files = list((tmp_path / "out").rglob("*.parquet"))
+
+    def read_for(column, value):
+        n = 0
+        for f in files:
+            m = pq.ParquetFile(f).metadata
+            k = next(i for i in range(m.num_columns) if m.schema.column(i).path == column)
+            stats = [m.row_group(g).column(k).statistics for g in range(m.num_row_groups)]
+            n += any(s is None or not s.has_min_max or s.min <= value <= s.max for s in stats)
+        return n / len(files)
+
+    # each of several dimensions skips files; one sort order would do so for its first column only
+    got = {(c, v): read_for(c, v) for c, v in (("lang", "de"), ("lang", "es"), ("source", "web"), ("doc_id", 10), ("doc_id", 500), ("n_chars", 500), ("n_chars", 9000))}
+    assert all(x < 0.8 for x in got.values()), got
+
+
+# decontamination
+
+
+def test_decontamination_with_a_bitmap_of_any_size(spark, sf_dir):
+    from augury.llm import decontaminate as d
+
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = d._item_windows(bench, 10)
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "text")
+    found = [Counter(map(tuple, d._places_by_shuffle(rows, items, most_bits).collect())) for most_bits in (1 << 10, 1 << 29)]
+    assert found[0] == found[1] and sum(found[0].values()) > 100
+    assert Counter(map(tuple, d.scan_documents(docs, bench, max_windows=0).collect())) == Counter(map(tuple, d.scan_documents(docs, bench).collect()))
