@@ -10,6 +10,7 @@ from pathlib import Path
 
 import augury
 from augury.config import Settings, Workspace
+from augury.sources import files
 
 
 def _spark():
@@ -28,17 +29,17 @@ def cmd_status(a) -> int:
     from augury.operators.models import Champion
     from augury.sources.tables import TradeStore
 
-    path = Path(a.artifacts, "champion.json")
-    if path.exists():
+    spark, path = _spark(), f"{a.artifacts}/champion.json"
+    if files.exists(spark, path):
         m = Champion.load(str(path)).manifest
         print(f"champion: {m['model_name']} ({m['plugin_family']}), published {m['published_at']}")
     else:
         print("warning: no champion")
-    folder = Path(a.artifacts, "workspaces", a.workspace, "paper_trades")
-    if not folder.exists():
+    folder = f"{a.artifacts}/workspaces/{a.workspace}/paper_trades"
+    if not files.exists(spark, folder):
         print("warning: no trades")
         return 0
-    r = status_kpis(TradeStore(_spark(), str(folder)).read()).first()
+    r = status_kpis(TradeStore(spark, folder).read()).first()
     print(f"trades {r.n_trades}, open {r.n_open}, settled {r.n_settled}, P&L {r.total_pnl:+.2f}, hit rate {r.hit_pct:.1f}%")
     return 0
 
@@ -48,10 +49,11 @@ def cmd_scan(a) -> int:
 
     from augury.sources.listings import fetch_all, read_pages
 
-    if not Path(a.pages).is_dir():
+    spark = _spark()
+    if not files.exists(spark, a.pages):
         print(f"no page dump at {a.pages}")
         return 1
-    found = fetch_all(read_pages(_spark(), a.pages), a.keyword, max_results=a.limit)
+    found = fetch_all(read_pages(spark, a.pages), a.keyword, max_results=a.limit)
     for r in found.limit(50).select(F.substring(F.get_json_object("body", "$.id"), 1, 18).alias("id"), F.substring(F.get_json_object("body", "$.question"), 1, 60).alias("question")).collect():
         print(f"{r.id:<18}  {r.question}")
     return 0
@@ -62,16 +64,15 @@ def cmd_record(a) -> int:
     from augury.operators.models import Champion
     from augury.sources.tables import TradeStore, read_signals_json
 
-    path = Path(a.artifacts, "champion.json")
-    if not path.exists():
+    spark, path = _spark(), f"{a.artifacts}/champion.json"
+    if not files.exists(spark, path):
         print("no champion: nothing is recorded")
         return 1
-    if not Path(a.signals).exists():
+    if not files.exists(spark, a.signals):
         print("no signals")
         return 0
-    spark = _spark()
-    zones = spark.createDataFrame(list(json.loads(Path(a.timezones).read_text()).items()), "city_or_segment string, tz string") if a.timezones else None
-    store = TradeStore(spark, str(Path(a.artifacts, "workspaces", a.workspace, "paper_trades")))
+    zones = spark.createDataFrame(list(json.loads(files.read_text(spark, a.timezones)).items()), "city_or_segment string, tz string") if a.timezones else None
+    store = TradeStore(spark, f"{a.artifacts}/workspaces/{a.workspace}/paper_trades")
     signals = trading.min_edge(read_signals_json(spark, a.signals), a.min_edge)
     allowed = sorted(Champion.load(str(path)).allowed_segments())
     new = trading.record(signals, store.read(), datetime.now(UTC), ["market_id", "outcome_label"], allowed, zones, a.flat_stake).cache()
@@ -85,7 +86,7 @@ def cmd_settle(a) -> int:
     from augury.sources.tables import TradeStore
 
     spark = _spark()
-    store = TradeStore(spark, str(Path(a.artifacts, "workspaces", a.workspace, "paper_trades")))
+    store = TradeStore(spark, f"{a.artifacts}/workspaces/{a.workspace}/paper_trades")
     old = store.read()
     done = trading.settle(old, spark.read.parquet(a.specs), a.today or datetime.now(UTC).date().isoformat(), a.no_leg).cache()
     r = trading.settlement_summary(done).first()
@@ -126,14 +127,14 @@ def cmd_promote(a) -> int:
     from augury.operators.models import Champion, SparkForecaster
     from augury.sources.tables import read_gate_json
 
-    if not Path(a.model).exists() or not Path(a.gate).exists():
+    spark = _spark()
+    if not files.exists(spark, a.model) or not files.exists(spark, a.gate):
         print("model or gate file is missing")
         return 1
-    gate = read_gate_json(a.gate)
+    gate = read_gate_json(a.gate, spark)
     if gate.get("decision") != "GO":
         print("NO_GO: " + ", ".join(f"{r['segment']} {r['reason']}" for r in gate.get("segment_results", []) if not r["passes"]))
         return 1
-    _spark()
     Champion.publish(a.artifacts, SparkForecaster.load(a.model), gate, a.plugin)
     print("published")
     return 0
@@ -143,10 +144,11 @@ def cmd_report(a) -> int:
     from augury.operators.report import write_report
     from augury.sources.tables import read_trades_json
 
-    if not Path(a.trades).exists():
+    spark = _spark()
+    if not files.exists(spark, a.trades):
         print(f"no trades at {a.trades}")
         return 1
-    trades = read_trades_json(_spark(), a.trades)
+    trades = read_trades_json(spark, a.trades)
     if trades.isEmpty():
         print("warning: no trades")
     print(write_report(trades, a.output, a.title, a.brier))

@@ -3,7 +3,8 @@
 Evaluation dates are every ``stride``-th distinct date.  The aggregate model needs
 only counts per day and label, so the expanding train set is a running sum over
 days, never a join of rows with all earlier rows.  Models that need rows are fitted
-once per step from the driver; steps are few, as the stride guard makes sure.
+once per step from the driver: each step filters the panel, and all steps' rows are
+united in one plan, so this is for tens of steps (the stride guard), not thousands.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ def eval_dates(panel: DataFrame, stride: int, min_train_rows: int) -> DataFrame:
 
     Works on one row per day.
     """
-    days = panel.groupBy(F.col("decision_date").cast("string").alias("eval_date")).agg(F.count("*").alias("n"))
+    return _dates(panel.groupBy(F.col("decision_date").cast("string").alias("eval_date")).agg(F.count("*").alias("n")), stride, min_train_rows)
+
+
+def _dates(days: DataFrame, stride: int, min_train_rows: int) -> DataFrame:
+    """The same from rows per day (eval_date, n)."""
     w = W.orderBy("eval_date")
     days = days.select("eval_date", "n", (F.row_number().over(w) - 1).alias("i"), F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("train_rows"))
     return days.filter((F.col("i") % stride == 0) & (F.col("train_rows") >= min_train_rows)).select("eval_date", "train_rows")
@@ -45,8 +50,9 @@ def eval_dates(panel: DataFrame, stride: int, min_train_rows: int) -> DataFrame:
 
 def best_outcomes(scored: DataFrame, tiebreak: list[str]) -> DataFrame:
     """The likeliest outcome per market and date; ties go to the first by ``tiebreak``."""
-    w = W.partitionBy("market_id", "decision_date").orderBy(F.desc("predicted_prob"), *tiebreak)
-    return scored.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    order = F.struct(F.col("predicted_prob").isNull(), -F.col("predicted_prob"), *tiebreak)
+    best = scored.groupBy(F.col("market_id").alias("__m"), F.col("decision_date").alias("__d")).agg(F.min_by(F.struct(*scored.columns), order).alias("__s"))
+    return best.select("__s.*")
 
 
 def price_trades(best: DataFrame, flat_stake: float = 1.0, bps: float = 30.0) -> DataFrame:
@@ -87,8 +93,9 @@ def walk_forward_rates(panel: DataFrame, stride: int, min_train_rows: int, tiebr
     A label never seen before has n = wins = 0.
     """
     panel = _prepared(panel)
-    dates = eval_dates(panel, stride, min_train_rows)
+    # one pass over the rows gives the counts per day and label, and the days
     daily = panel.groupBy("decision_date", "outcome_label").agg(F.count("*").alias("n"), F.sum(S.won("outcome_label", "winning_label")).alias("wins"))
+    dates = _dates(daily.groupBy(F.col("decision_date").alias("eval_date")).agg(F.sum("n").alias("n")), stride, min_train_rows)
     before = W.partitionBy("outcome_label").orderBy("decision_date").rowsBetween(W.unboundedPreceding, -1)
     rates = daily.select("decision_date", "outcome_label", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("n", "wins")])
     rates = rates.select("decision_date", "outcome_label", ((F.col("wins") + 1.0) / (F.col("n") + 2.0)).alias("predicted_prob"))

@@ -49,8 +49,11 @@ def gate_segments(trades: DataFrame, required: list[str], min_trades: int = 40,
 
 
 def gate_decision(trades: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row: GO if every segment passes (also if none is required), and the figures over all trades."""
-    d = segments.agg(F.when(F.coalesce(F.bool_and("passes"), F.lit(True)), "GO").otherwise("NO_GO").alias("decision"))
+    """One row: GO if every segment passes (also if none is required, with a warning), and the figures over all trades."""
+    d = segments.agg(
+        F.when(F.coalesce(F.bool_and("passes"), F.lit(True)), "GO").otherwise("NO_GO").alias("decision"),
+        F.when(F.count("*") == 0, "no segment is required, so nothing was checked").alias("warning"),
+    )
     return d.crossJoin(trades.agg(_zero(F.sum("realized_pnl")).alias("aggregate_pnl"), F.count("*").alias("aggregate_trades")))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,10 +11,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.functions.scalars import clip01
+from augury.sources import files
 
 
 class Forecaster(Protocol):
@@ -83,14 +83,14 @@ class SparkForecaster:
     def save(self, path: str) -> None:
         if self.model is None and self.only is None:
             raise RuntimeError("fit the model before saving")
-        Path(path).mkdir(parents=True, exist_ok=True)
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
-        Path(path, "forecaster.json").write_text(json.dumps({"kind": self.kind if isinstance(self.kind, str) else type(self.kind).__name__, "features": self.feature_names, "only": self.only}))
+        kind = self.kind if isinstance(self.kind, str) else type(self.kind).__name__
+        files.write_text(SparkSession.active(), f"{path}/forecaster.json", json.dumps({"kind": kind, "features": self.feature_names, "only": self.only}))
 
     @classmethod
     def load(cls, path: str) -> SparkForecaster:
-        meta = json.loads(Path(path, "forecaster.json").read_text())
+        meta = json.loads(files.read_text(SparkSession.active(), f"{path}/forecaster.json"))
         out = cls(meta["kind"] if meta["kind"] in cls.PRESETS else "logistic_regression")
         out.feature_names, out.only = meta["features"], meta["only"]
         if out.only is None:
@@ -164,12 +164,12 @@ class Champion:
             "plugin_family": plugin_family,
             "publish_gate": gate,
         }
-        Path(folder, "champion.json").write_text(json.dumps(manifest, indent=2))
+        files.write_text(SparkSession.active(), f"{folder}/champion.json", json.dumps(manifest, indent=2))
         return cls(manifest)
 
     @classmethod
     def load(cls, path: str) -> Champion:
-        manifest = json.loads(Path(path).read_text())
+        manifest = json.loads(files.read_text(SparkSession.active(), path))
         for key in ("model_name", "model_path", "published_at", "plugin_family", "publish_gate"):
             if key not in manifest:
                 raise KeyError(f"champion manifest lacks {key!r}")

@@ -6,6 +6,7 @@ from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.operators import metrics
@@ -13,16 +14,29 @@ from augury.operators import metrics
 WIDTH, HEIGHT, PAD = 800, 200, 40
 #: Points of the drawn curve, at most: the last value of each of so many runs.
 POINTS = 2000
+#: Rows of the page's tables, at most.
+SEGMENTS, LATEST = 1000, 200
 
 
-def curve_points(trades: DataFrame) -> list[float]:
-    """Cumulative profit of settled trades by recorded_at, thinned to a bounded number of points."""
+def curve_points(trades: DataFrame, points: int = POINTS) -> list[float]:
+    """Cumulative profit of settled trades by recorded_at.
+
+    Of more than ``points`` trades, the last value of each of so many runs of equal length
+    (of the ranks inside all trades) is drawn, so that the curve ends where the trades do.
+    """
+    order = ["recorded_at", "city_or_segment", "target_date", "horizon"]
     t = trades.filter("realized_pnl is not null").withColumn("recorded_at", F.coalesce("recorded_at", F.lit(""))).withColumn("__day", F.substring("recorded_at", 1, 10))
-    curve = metrics.equity_curve(t, ["recorded_at", "city_or_segment", "target_date", "horizon"], "__day")
-    days = curve.groupBy("__day").agg(F.max_by("cumulative_pnl", F.struct("recorded_at", "city_or_segment", "target_date", "horizon")).alias("last"), F.count("*").alias("n"))
-    if t.limit(POINTS + 1).count() <= POINTS:
-        return [r[0] for r in curve.orderBy("recorded_at", "city_or_segment", "target_date", "horizon").select("cumulative_pnl").collect()]
-    return [r[0] for r in days.orderBy("__day").limit(POINTS).select("last").collect()]
+    # ranks in two levels, like the sums: inside a day, and the days before
+    curve = metrics.equity_curve(t, order, "__day")
+    days = t.groupBy("__day").agg(F.count("*").alias("__n"))
+    before = W.orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.orderBy("__day").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    days = days.select("__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__all"))
+    place = F.row_number().over(W.partitionBy("__day").orderBy(*order)) + F.col("__before")
+    ranked = curve.join(days, "__day").withColumn("__rank", place)
+    run = F.expr(f"(__rank - 1) * least(__all, {points}L) div __all")
+    drawn = ranked.groupBy(run.alias("run")).agg(F.max_by("cumulative_pnl", "__rank").alias("last"))
+    return [r[0] for r in drawn.orderBy("run").select("last").collect()]  # at most ``points``
 
 
 def svg(points: list[float]) -> str:
@@ -40,23 +54,30 @@ def dollars(x: float) -> str:
 
 
 def write_report(trades: DataFrame, path: str, title: str = "Paper trades", brier: float | None = None) -> Path:
-    """Figures, equity curve, segments and the latest 200 trades; texts are escaped."""
+    """Figures, equity curve, segments and the latest trades; texts are escaped.
+
+    The page lists ``SEGMENTS`` segments and ``LATEST`` trades and says how many more there are.
+    """
     k = metrics.report_kpis(trades).first()
-    segments = metrics.report_segments(trades).orderBy("segment").limit(1000).collect()
-    latest = trades.orderBy(F.desc("recorded_at"), "city_or_segment", "target_date", "horizon").limit(200).collect()
+    by_segment = metrics.report_segments(trades)
+    segments = by_segment.orderBy(F.desc("n"), "segment").limit(SEGMENTS).collect()
+    n_segments, n_trades = by_segment.count(), trades.count()
+    latest = trades.orderBy(F.desc("recorded_at"), "city_or_segment", "target_date", "horizon").limit(LATEST).collect()
     cards = {"Total P&L": dollars(k.total_pnl), "Hit rate": f"{k.hit_pct:.1f}%", "ROI": f"{k.roi_pct:+.1f}%", "Average edge": f"{k.avg_edge:.3f}", "Settled": str(k.n_settled)}
     if brier is not None:
         cards["Brier score"] = f"{brier:.4f}"
+    rest = lambda n, what: f"<p>and {n} {what}</p>" if n > 0 else ""
     row = lambda cells, tag="td": "<tr>" + "".join(f"<{tag}>{escape(str(x))}</{tag}>" for x in cells) + "</tr>"
     body = [
         f"<h1>{escape(title)}</h1>",
         "".join(f"<div class=card><b>{escape(a)}</b><br>{escape(b)}</div>" for a, b in cards.items()),
         svg(curve_points(trades)),
-        "<h2>Segments</h2><table>" + row(["Segment", "Trades", "P&L", "Hit"], "th") + "".join(row([s.segment, s.n, dollars(s.total_pnl), f"{s.hit_pct:.1f}%"]) for s in segments) + "</table>",
+        "<h2>Segments</h2><table>" + row(["Segment", "Trades", "P&L", "Hit"], "th") + "".join(row([s.segment, s.n, dollars(s.total_pnl), f"{s.hit_pct:.1f}%"]) for s in segments) + "</table>" + rest(n_segments - len(segments), "segments with fewer trades"),
         "<h2>Trades</h2><table>"
         + row(["Recorded", "Segment", "Date", "Outcome", "Price", "Edge", "Result", "P&L"], "th")
         + "".join(row([t.recorded_at, t.city_or_segment, t.target_date, t.outcome_label, f"{t.gamma_price or 0:.3f}", f"{t.edge_after_fee or 0:.3f}", t.outcome or "open", "" if t.realized_pnl is None else dollars(t.realized_pnl)]) for t in latest)
-        + "</table>",
+        + "</table>"
+        + rest(n_trades - len(latest), "older trades"),
     ]
     style = "body{font-family:sans-serif;max-width:60rem;margin:auto}.card{display:inline-block;padding:1rem}table{border-collapse:collapse}td,th{padding:.2rem .6rem;text-align:left}"
     out = Path(path)

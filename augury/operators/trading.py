@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions import bins
@@ -43,8 +42,7 @@ def fresh(signals: DataFrame, now: datetime | Column, timezones: DataFrame | Non
 
 def first_of_each(signals: DataFrame, order_by: list[str]) -> DataFrame:
     """The first signal of each segment, date and horizon."""
-    w = W.partitionBy(*KEYS).orderBy(*order_by)
-    return signals.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    return signals.groupBy(*[F.col(k).alias(f"__{k}") for k in KEYS]).agg(F.min_by(F.struct(*signals.columns), F.struct(*order_by)).alias("__s")).select("__s.*")
 
 
 def not_recorded(signals: DataFrame, trades: DataFrame) -> DataFrame:
@@ -80,7 +78,10 @@ def record(signals: DataFrame, existing: DataFrame | None, now: datetime, order_
 
 
 def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "reference") -> DataFrame:
-    """Trades with outcome, realized_pnl and pending_reason.
+    """Trades with outcome, realized_pnl, pending_reason, newly_settled and is_profitable.
+
+    outcome says whether the label won, whatever the direction; is_profitable whether the
+    trade gained (null while it is open).
 
     specs: city, target_date, pos (the last of equal keys wins), outcome_bins, and the
     truth as is_final, truth_label, truth_value.  Reasons, in order: future, no_spec,
@@ -90,9 +91,10 @@ def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "refer
     """
     if no_leg not in ("reference", "complement"):
         raise ValueError("no_leg must be reference or complement")
-    last = W.partitionBy("city", "target_date").orderBy(F.desc("pos"))
-    keyed = specs.withColumn("__rn", F.row_number().over(last)).filter("__rn = 1").select(
-        F.coalesce("city", F.lit("")).alias("city_or_segment"), F.coalesce("target_date", F.lit("")).alias("target_date"), F.struct("is_final", "truth_label", "truth_value", "outcome_bins").alias("__s")
+    # ties of pos: the truth that is final, then the greater label and value
+    order = F.struct("pos", F.coalesce("is_final", F.lit(False)), "truth_label", "truth_value")
+    keyed = specs.groupBy(F.coalesce("city", F.lit("")).alias("city_or_segment"), F.coalesce("target_date", F.lit("")).alias("target_date")).agg(
+        F.max_by(F.struct("is_final", "truth_label", "truth_value", "outcome_bins"), order).alias("__s")
     )
     t = trades.withColumn("city_or_segment", F.coalesce("city_or_segment", F.lit(""))).withColumn("target_date", F.coalesce("target_date", F.lit("")))
     t = t.join(keyed, ["city_or_segment", "target_date"], "left")
@@ -122,6 +124,7 @@ def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "refer
         F.when(now, F.round(pnl, 6)).otherwise(F.col("realized_pnl")).alias("realized_pnl"),
         "pending_reason",
         now.alias("newly_settled"),
+        (F.when(now, F.round(pnl, 6)).otherwise(F.col("realized_pnl")) > 0).alias("is_profitable"),
     )
 
 

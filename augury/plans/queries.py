@@ -5,7 +5,6 @@ Doubles are rounded on both sides: sums over a frame may differ in the last bit.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +15,7 @@ from augury.functions import bins
 from augury.functions import scalars as S
 from augury.operators import backtest, features, markets, metrics, models, trading
 from augury.plans.views import PANEL_SQL, SIGNALS_SQL, SPECS_SQL, ZONES, panel, signals, specs, table
-from augury.sources import listings
+from augury.sources import files, listings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -485,7 +484,7 @@ def q43(spark, sf_dir):
     m = models.SparkForecaster("logistic_regression", maxIter=10).fit(p, ["feature_value", "feature_hour"])
     segments = metrics.gate_segments(walk(spark, sf_dir).trades, ["S0"], min_trades=1, min_pnl=-1e9)
     gate = models.gate_to_dict(segments, metrics.gate_decision(walk(spark, sf_dir).trades, segments))
-    folder = tempfile.mkdtemp()  # a manifest and a model, read back on the driver
+    folder = files.scratch(spark)
     models.Champion.publish(folder, m, gate, "weather_tmax")
     back = models.Champion.load(f"{folder}/champion.json")
     return back.load_model().predict_proba(p).select("event_id", "predicted_prob")
@@ -520,7 +519,7 @@ def q46(spark, sf_dir):
     from augury.sources.tables import TradeStore
     from augury.streaming.record import record_stream
 
-    root = tempfile.mkdtemp()  # local, as this query's stream is
+    root = files.scratch(spark)
     signals(spark, sf_dir).repartition(3).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     store = TradeStore(spark, f"{root}/trades")
@@ -528,9 +527,15 @@ def q46(spark, sf_dir):
     return store.read().select("city_or_segment", "target_date", "horizon")
 
 
+def _all() -> None:
+    from augury.plans import flows  # noqa: F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

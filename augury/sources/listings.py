@@ -1,57 +1,32 @@
 """Market listings from page dumps, and a table that keeps answers until they expire.
 
 A dump is a folder of newline-delimited JSON files, one file for each page, named so
-that names sort in page order.  The reader is a Python data source with a partition
-for each page, so pages are read in parallel.
+that names sort in page order.
 """
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from augury.functions.scalars import cache_key, contains_text
+from augury.operators import markets
+from augury.sources import files
 
-ROW = "page int, pos int, body string"
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def partitions(self):
-        return [InputPartition((i, os.path.join(self.folder, f))) for i, f in enumerate(sorted(f for f in os.listdir(self.folder) if f.endswith((".json", ".ndjson"))))]
-
-    def read(self, partition) -> Iterator[tuple]:
-        page, path = partition.value
-        with open(path, encoding="utf-8") as f:
-            for pos, line in enumerate(x for x in f if x.strip()):
-                yield page, pos, line.strip()
-
-
-class PageDumps(DataSource):
-    """spark.read.format("market_pages").load(folder): page, pos, body (a market's JSON)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "market_pages"
-
-    def schema(self) -> str:
-        return ROW
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+PAGES = "page int, pos int, body string"
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    spark.dataSource.register(PageDumps)
-    return spark.read.format("market_pages").load(folder)
+    """page, pos and body (a market's JSON) of a dump; pages are read in parallel, each whole."""
+    raw = spark.read.option("pathGlobFilter", "*.{json,ndjson}").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    # a row for each page
+    names = raw.select("file").distinct().select("file", (F.row_number().over(W.orderBy("file")) - 1).alias("page"))
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    return raw.join(names, "file").select("page", F.posexplode(lines).alias("pos", "body")).select("page", "pos", F.trim("body").alias("body"))
 
 
 def typed(pages: DataFrame, schema: str) -> DataFrame:
@@ -59,18 +34,42 @@ def typed(pages: DataFrame, schema: str) -> DataFrame:
     return pages.select("page", "pos", F.from_json("body", schema).alias("m")).select("page", "pos", "m.*")
 
 
-def fetch_all(pages: DataFrame, keyword: str | None = None, page_size: int = 100, max_results: int = 1000) -> DataFrame:
+def fetch_all(pages: DataFrame, keyword: str | None = None, page_size: int = 100, max_results: int | None = 1000) -> DataFrame:
     """What a paginated scan returns: pages up to the first short one or to max_results rows read, then the keyword, then max_results.
 
-    The row budget counts before the keyword filters.
+    The row budget counts before the keyword filters; None is no budget, and no order.
     """
     sizes = pages.groupBy("page").agg(F.count("*").alias("n"))
     short = sizes.agg(F.min(F.when(F.col("n") < page_size, F.col("page"))).alias("last_page"))
-    need = -(-max_results // page_size) - 1
-    kept = pages.crossJoin(F.broadcast(short)).filter((F.col("page") <= F.coalesce("last_page", F.lit(2**31 - 1))) & (F.col("page") <= need)).drop("last_page")  # one row
+    kept = pages.crossJoin(F.broadcast(short)).filter(F.col("page") <= F.coalesce("last_page", F.lit(2**31 - 1))).drop("last_page")  # one row
+    if max_results is not None:
+        kept = kept.filter(F.col("page") <= -(-max_results // page_size) - 1)
     if keyword:
         kept = kept.filter(contains_text(F.get_json_object("body", "$.question"), keyword))
-    return kept.orderBy("page", "pos").limit(max_results)
+    return kept if max_results is None else kept.orderBy("page", "pos").limit(max_results)
+
+
+def scan_temperature_markets(spark: SparkSession, folder: str, year: int, page_size: int = 100, cache: AnswerTable | None = None, now: datetime | None = None) -> DataFrame:
+    """All pages up to the first short one, the strict temperature markets of them, parsed.
+
+    With a table of answers, pages whose answers have not expired at ``now`` come from it;
+    the others are read and kept there, so that a poll reads again only what is due.
+    """
+    pages = read_pages(spark, folder) if cache is None else cached_pages(spark, folder, cache, now or datetime.now())
+    raw = typed(fetch_all(pages, page_size=page_size, max_results=None), markets.RAW)
+    return markets.temperature_infos(raw.filter(markets.is_temperature_strict()), year)
+
+
+def cached_pages(spark: SparkSession, folder: str, cache: AnswerTable, now: datetime) -> DataFrame:
+    """Pages by way of the table: request ``folder#page``, value the page's bodies as a JSON list."""
+    pages = read_pages(spark, folder)
+    request = F.concat(F.lit(f"{folder}#"), F.col("page").cast("string"))
+    due = pages.select("page").distinct().join(cache.valid(now).select(F.substring_index("request", "#", -1).cast("int").alias("page"), "request").filter(F.col("request") == request), "page", "left_anti")
+    # a page is as large as a page
+    answers = pages.join(due, "page").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("b"))
+    cache.put(answers.select(request.alias("request"), F.to_json(F.transform("b", lambda x: x["body"])).alias("value")), now)
+    known = cache.valid(now).filter(F.startswith("request", F.lit(f"{folder}#")))
+    return known.select(F.substring_index("request", "#", -1).cast("int").alias("page"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "body"))
 
 
 def midpoints(tokens: DataFrame, prices: DataFrame) -> DataFrame:
@@ -87,17 +86,15 @@ def with_prices(markets: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 class AnswerTable:
-    """Answers by request, as Parquet: the latest one that has not expired counts."""
-
-    def __init__(self, spark: SparkSession, folder: str, ttl_seconds: int = 3600):
-        self.spark, self.folder, self.ttl = spark, folder, ttl_seconds
+    """Answers by request, in versions: the latest one that has not expired counts."""
 
     SCHEMA = "key string, request string, value string, expires_at timestamp_ntz, stored_at timestamp_ntz, deleted boolean"
 
+    def __init__(self, spark: SparkSession, folder: str, ttl_seconds: int = 3600):
+        self.spark, self.ttl, self.rows = spark, ttl_seconds, files.Versions(spark, folder, self.SCHEMA)
+
     def read(self) -> DataFrame:
-        if "://" not in self.folder and not os.path.isdir(self.folder):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        return self.rows.read()
 
     def put(self, answers: DataFrame, now: datetime) -> None:
         """answers: request, value (JSON text)."""
@@ -107,23 +104,41 @@ class AnswerTable:
         self._add(requests.select("request", F.lit(None).cast("string").alias("value")), now, now, True)
 
     def _add(self, rows: DataFrame, now: datetime, until: datetime, deleted: bool) -> None:
-        ntz = lambda t: F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz")
-        rows.select(cache_key("request").alias("key"), "request", "value", ntz(until).alias("expires_at"), ntz(now).alias("stored_at"), F.lit(deleted).alias("deleted")).write.mode("append").parquet(self.folder)
+        self.rows.append(rows.select(cache_key("request").alias("key"), "request", "value", self._ntz(until).alias("expires_at"), self._ntz(now).alias("stored_at"), F.lit(deleted).alias("deleted")))
+
+    @staticmethod
+    def _ntz(t: datetime) -> Column:
+        return F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz")
 
     def valid(self, now: datetime) -> DataFrame:
         """request and value of answers that count at ``now``; texts that are no JSON do not."""
-        at = F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz")
+        at = self._ntz(now)
         last = self.read().filter(F.col("stored_at") <= at).groupBy("key").agg(F.max_by(F.struct("request", "value", "expires_at", "deleted"), F.struct("stored_at", "deleted")).alias("a")).select("a.*")
         return last.filter(~F.col("deleted") & (at < F.col("expires_at")) & F.try_parse_json("value").isNotNull()).select("request", "value")
 
+    def typed(self, now: datetime, schema: str) -> DataFrame:
+        """request and value of what counts, the value read by a schema; answers of another type do not count."""
+        return self.valid(now).select("request", F.from_json("value", schema).alias("value")).filter("value is not null")
+
+    def _expired(self, now: datetime) -> Column:
+        return F.col("deleted") | (self._ntz(now) >= F.col("expires_at"))
+
     def n_expired(self, now: datetime) -> int:
-        at = F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz")
-        return self.read().filter(F.col("deleted") | (at >= F.col("expires_at"))).count()
+        return self.read().filter(self._expired(now)).count()
+
+    def purge(self, now: datetime) -> int:
+        """Drop the rows that have expired or are deleted, and the files that held them; returns their number."""
+        old, n = self.rows.parts(), self.n_expired(now)
+        if n:
+            gone = self.read().filter("deleted").groupBy("key").agg(F.max("stored_at").alias("gone"))
+            kept = self.read().filter(~self._expired(now)).join(gone, "key", "left").filter("gone is null or stored_at > gone")
+            self.rows.replace(kept)
+            for part in old:
+                files.delete(self.spark, f"{self.rows.folder}/{part}")
+        return n
 
 
-def dump_pages(markets: list[dict], folder: str, page_size: int = 100) -> None:
+def dump_pages(rows: list[dict], folder: str, page_size: int = 100) -> None:
     """Write a dump, for tests and examples."""
-    os.makedirs(folder, exist_ok=True)
-    for i in range(0, len(markets), page_size):
-        with open(os.path.join(folder, f"page-{i // page_size:06d}.ndjson"), "w", encoding="utf-8") as f:
-            f.writelines(json.dumps(m) + "\n" for m in markets[i : i + page_size])
+    for i in range(0, len(rows), page_size):
+        files.write_text(SparkSession.active(), f"{folder}/page-{i // page_size:06d}.ndjson", "".join(json.dumps(m) + "\n" for m in rows[i : i + page_size]))

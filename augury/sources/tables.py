@@ -1,42 +1,55 @@
-"""Panels, trades, signals and gate documents from files; trade snapshots to files."""
+"""Panels, trades, signals and gate documents from files; trade snapshots to files.
+
+Paths are on any file system that Spark reads.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import uuid
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.schemas import PANEL, SIGNAL, TRADE, struct
-
-
-def _local_missing(path: str) -> bool:
-    return "://" not in path and not os.path.exists(path)
+from augury.sources import files
 
 
 def read_panel(spark: SparkSession, path: str, features: list[str] | None = None) -> DataFrame:
-    """A panel by suffix: .parquet (or a folder) or .csv; other suffixes are a ValueError, a missing file a FileNotFoundError."""
-    if _local_missing(path):
+    """A panel by suffix: .parquet (or a folder) or .csv; other suffixes are a ValueError, a missing file a FileNotFoundError.
+
+    With ``features`` of the feature columns only these are read.
+    """
+    if not files.exists(spark, path):
         raise FileNotFoundError(path)
-    suffix = Path(path).suffix
+    suffix = PurePosixPath(path).suffix
     if suffix == ".csv":
         header = spark.read.csv(path, header=True).columns
         kinds = {f.name: f.dataType.simpleString() for f in struct(PANEL)}
         schema = ", ".join(f"`{c}` {kinds.get(c, 'double' if c.startswith('feature_') else 'string')}" for c in header)
-        return spark.read.csv(path, header=True, schema=schema)
-    if suffix in (".parquet", "") or os.path.isdir(path):
-        return spark.read.parquet(path)
-    raise ValueError(f"unknown panel format {suffix!r}: use .parquet or .csv")
+        out = spark.read.csv(path, header=True, schema=schema)
+    elif suffix in (".parquet", ""):
+        out = spark.read.parquet(path)
+    else:
+        raise ValueError(f"unknown panel format {suffix!r}: use .parquet or .csv")
+    return out if features is None else out.select(*[c for c in out.columns if not c.startswith("feature_") or c in features])
 
 
-def _read_listed(spark: SparkSession, path: str, name: str, row: str) -> DataFrame:
-    """Rows of {"name": [...]}; none if the file or the key is missing."""
-    if _local_missing(path):
+def _read_listed(spark: SparkSession, path: str, name: str, row: str, strict: bool = False) -> DataFrame:
+    """Rows of {"name": [...]}, of a document or of each document of a folder; none if the file or the key is missing.
+
+    With ``strict`` an unknown key of a row is an error, raised when rows are read.
+    """
+    if not files.exists(spark, path):
         return spark.createDataFrame([], struct(row))
-    return spark.read.json(path, multiLine=True, schema=f"{name} array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in row.split(', '))}>>").select(F.inline(name))
+    kind = f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in row.split(', '))}>>"
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    if strict:
+        known = F.array(*[F.lit(f.name) for f in struct(row)])
+        keys = F.flatten(F.transform(F.from_json("value", f"{name} array<map<string,string>>")[name], lambda m: F.map_keys(m)))
+        odd = F.array_except(F.coalesce(keys, F.expr("cast(array() as array<string>)")), known)
+        text = text.withColumn("value", F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit(f"unknown keys in {name}: "), F.array_join(odd, ", ")))).otherwise(F.col("value")))
+    return text.select(F.from_json("value", f"{name} {kind}")[name].alias(name)).select(F.inline(name))
 
 
 def read_trades_json(spark: SparkSession, path: str) -> DataFrame:
@@ -44,40 +57,16 @@ def read_trades_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signals_json(spark: SparkSession, path: str) -> DataFrame:
-    return _read_listed(spark, path, "signals", SIGNAL)
+    """Signals; a key that no signal has is an error."""
+    return _read_listed(spark, path, "signals", SIGNAL, strict=True)
 
 
-def read_gate_json(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+def read_gate_json(path: str, spark: SparkSession | None = None) -> dict:
+    return json.loads(files.read_text(spark or SparkSession.active(), path))
 
 
-class TradeStore:
-    """Trades as Parquet versions: a write never touches the version being read.
-
-    ``current`` names the version in use and is replaced in one rename.
-    """
+class TradeStore(files.Versions):
+    """Trades in versions: see ``files.Versions``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _version(self) -> str | None:
-        p = Path(self.folder, "current")
-        return p.read_text().strip() if p.exists() else None
-
-    def read(self) -> DataFrame:
-        v = self._version()
-        return self.spark.read.parquet(f"{self.folder}/{v}") if v else self.spark.createDataFrame([], struct(TRADE))
-
-    def append(self, trades: DataFrame) -> None:
-        """New rows only; what is there is not rewritten."""
-        if v := self._version():
-            trades.select(*self.read().columns).write.mode("append").parquet(f"{self.folder}/{v}")
-        else:
-            self.replace(trades)
-
-    def replace(self, trades: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        trades.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(TRADE)]).write.parquet(f"{self.folder}/{name}")
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        Path(self.folder, ".next").write_text(name)
-        os.replace(Path(self.folder, ".next"), Path(self.folder, "current"))
+        super().__init__(spark, folder, TRADE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from augury.operators import trading
@@ -34,7 +35,9 @@ def settle_stream(truth: DataFrame, store: TradeStore, specs: DataFrame, today:
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        named = specs.drop("is_final", "truth_label", "truth_value").join(df.select("city", "target_date", "is_final", "truth_label", "truth_value"), ["city", "target_date"])
+        # of several truths of a batch for one key: the final one, then the greater
+        told = df.groupBy("city", "target_date").agg(F.max(F.struct(F.coalesce("is_final", F.lit(False)).alias("is_final"), "truth_label", "truth_value")).alias("t")).select("city", "target_date", "t.*")
+        named = specs.drop("is_final", "truth_label", "truth_value").join(told, ["city", "target_date"])
         old = store.read()
         done = trading.settle(old, named, today).select(*old.columns).persist()
         store.replace(done)
