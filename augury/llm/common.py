@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Send at most ``n`` rows to Python at once, for what is computed inside: rows with whole texts or sets may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, n_rows: int, spread: Column) -> DataFrame:
     """``rows`` left-joined with ``groups`` (one row per key; ``many``, how many rows have it; ``value``), as column ``value``.
 
