@@ -3,59 +3,71 @@
 Row order is never implied: windows take ``order_by``, which should end in a unique
 column.  NaN counts as missing.  With ``group_by`` each group has its own window; a
 null group has no neighbours, so its lags are the fill value and its rolling
-statistics are null.  Ungrouped windows order the whole table in one task; use them
-on tables of that size, or give a constant-bounded group.
+statistics are null.  Without groups, or with ``large_groups``, the table is ordered
+and cut into chunks that overlap by the frame (``ordering.framed``), so that no task
+holds a whole table or group; that writes the table once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from augury.operators import ordering
 from augury.schemas import require
 
 STATS = ("mean", "std", "min", "max", "median")
 
 
-def _window(group_by, order_by):
+def _framed(df: DataFrame, group_by: str | None, order_by, large_groups: bool, back: int, ahead: int, make) -> DataFrame:
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    return (W.partitionBy(group_by) if group_by else W.partitionBy()).orderBy(*order)
+    if group_by and not large_groups:
+        return df.withColumns(make(W.partitionBy(group_by).orderBy(*order)))
+    return ordering.framed(df, group_by, order, back, ahead, make)
 
 
 def _missing_to_null(df: DataFrame, col: str) -> Column:
     return F.when(~F.isnan(col), F.col(col)) if dict(df.dtypes)[col] in ("double", "float") else F.col(col)
 
 
-def add_lags(df: DataFrame, cols: list[str], lags: list[int], order_by, group_by: str | None = None, fill_value: float | None = None) -> DataFrame:
+def add_lags(df: DataFrame, cols: list[str], lags: list[int], order_by, group_by: str | None = None, fill_value: float | None = None, large_groups: bool = False) -> DataFrame:
     """``{col}_lag{n}`` for each column and lag; negative lags look ahead; missing values get ``fill_value``."""
     require(df, [*cols, *([group_by] if group_by else [])])
-    w, out = _window(group_by, order_by), {}
-    for col in cols:
-        for n in lags:
-            v = F.lag(_missing_to_null(df, col), n).over(w)
-            v = F.when(F.col(group_by).isNotNull(), v) if group_by else v
-            out[f"{col}_lag{n}"] = v if fill_value is None else F.coalesce(v, F.lit(fill_value))
-    return df.withColumns(out)
 
+    def make(w: WindowSpec) -> dict[str, Column]:
+        out = {}
+        for col in cols:
+            for n in lags:
+                v = F.lag(_missing_to_null(df, col), n).over(w)
+                v = F.when(F.col(group_by).isNotNull(), v) if group_by else v
+                out[f"{col}_lag{n}"] = v if fill_value is None else F.coalesce(v, F.lit(fill_value))
+        return out
 
-def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_by, stats: list[str] | None = None, group_by: str | None = None, min_periods: int = 1) -> DataFrame:
+    return _framed(df, group_by, order_by, large_groups, max([0, *lags]), max([0, *(-n for n in lags)]), make)
+
+
+def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_by, stats: list[str] | None = None, group_by: str | None = None, min_periods: int = 1, large_groups: bool = False) -> DataFrame:
     """``{col}_roll{w}_{stat}`` over the last w rows; null below ``min_periods`` values."""
     require(df, [*cols, *([group_by] if group_by else [])])
     unknown = set(stats or ()) - set(STATS)
     if unknown:
         raise ValueError(f"unknown statistics: {sorted(unknown)}")
-    w, out = _window(group_by, order_by), {}
-    for col in cols:
-        v = _missing_to_null(df, col)
-        for n in windows:
-            frame = w.rowsBetween(-(n - 1), 0)
-            made = {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "median": F.percentile(v, 0.5)}
-            enough = F.count(v).over(frame) >= min_periods
-            enough = enough & F.col(group_by).isNotNull() if group_by else enough
-            for stat in stats or ["mean", "std"]:
-                out[f"{col}_roll{n}_{stat}"] = F.when(enough, made[stat].over(frame))
-    return df.withColumns(out)
+
+    def make(w: WindowSpec) -> dict[str, Column]:
+        out = {}
+        for col in cols:
+            v = _missing_to_null(df, col)
+            for n in windows:
+                frame = w.rowsBetween(-(n - 1), 0)
+                made = {"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "median": F.percentile(v, 0.5)}
+                enough = F.count(v).over(frame) >= min_periods
+                enough = enough & F.col(group_by).isNotNull() if group_by else enough
+                for stat in stats or ["mean", "std"]:
+                    out[f"{col}_roll{n}_{stat}"] = F.when(enough, made[stat].over(frame))
+        return out
+
+    return _framed(df, group_by, order_by, large_groups, max([0, *windows]), 0, make)
 
 
 def encode_cyclical(col, period: float, name: str = "x") -> list[Column]:
@@ -87,14 +99,15 @@ def encode_onehot(df: DataFrame, cols: list[str], drop_first: bool = True) -> Da
 def clip_bounds(df: DataFrame, cols: list[str], method: str = "iqr", iqr_factor: float = 3.0, zscore_threshold: float = 4.0) -> DataFrame:
     """One row: ``{col}_lo`` and ``{col}_hi``.  Every method but "iqr" is the z-score."""
     made = []
+    if method == "iqr":
+        q = ordering.quantiles(df, {x: _missing_to_null(df, x) for x in cols}, [0.25, 0.75])
+        for x in cols:
+            a, z = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+            made += [(a - iqr_factor * (z - a)).alias(f"{x}_lo"), (z + iqr_factor * (z - a)).alias(f"{x}_hi")]
+        return q.select(*made)
     for x in cols:
         v = _missing_to_null(df, x)
-        if method == "iqr":
-            q = F.percentile(v, [0.25, 0.75])
-            lo, hi = q[0] - iqr_factor * (q[1] - q[0]), q[1] + iqr_factor * (q[1] - q[0])
-        else:
-            lo, hi = F.avg(v) - zscore_threshold * F.stddev_samp(v), F.avg(v) + zscore_threshold * F.stddev_samp(v)
-        made += [lo.alias(f"{x}_lo"), hi.alias(f"{x}_hi")]
+        made += [(F.avg(v) - zscore_threshold * F.stddev_samp(v)).alias(f"{x}_lo"), (F.avg(v) + zscore_threshold * F.stddev_samp(v)).alias(f"{x}_hi")]
     return df.agg(*made)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.scalars import c, calibration_bin
+from augury.operators import ordering
 from augury.schemas import require
 
 
@@ -95,12 +96,17 @@ def status_kpis(trades: DataFrame) -> DataFrame:
     )
 
 
-def equity_curve(trades: DataFrame, order_by: list[str], group_by: str) -> DataFrame:
+def equity_curve(trades: DataFrame, order_by: list[str], group_by: str | None = None) -> DataFrame:
     """cumulative_pnl along ``order_by``.
 
     The curve is global, yet no task sees all rows: sums of the groups before (days,
     say, which must rise with the order) are added to the running sum inside a group.
+    Without ``group_by`` the rows are numbered and cut into runs of equal length, so that
+    no day can be too long; that writes them once.
     """
+    if group_by is None:
+        runs = ordering.ranked(trades, order_by).withColumn("__run_", F.expr(f"__rank div {ordering.PART_ROWS}"))
+        return equity_curve(runs, ["__rank"], "__run_").drop("__rank", "__run_")
     totals = trades.groupBy(group_by).agg(F.sum("realized_pnl").alias("__t"))
     before = W.orderBy(group_by).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(group_by, F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__before"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.functions import scalars as S
-from augury.operators import backtest, markets, metrics, models, report, trading
+from augury.operators import backtest, features, markets, metrics, models, report, trading
 from augury.plans.queries import GATE_SQL, SCORE_SQL, SETTLE_SQL, WALK_SQL, _gate, _listed, _QSQL, _scored, _settled, query, r6, walk
 from augury.plans.views import PANEL_SQL, SIGNALS_SQL, panel, signals, specs, table
 from augury.plugins.base import PluginRegistry
@@ -341,6 +341,26 @@ def q66(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.signed_dollars((F.col("p_partkey") % 200 - 100).cast("double")).alias("text"))
 
 
+# features without groups
+
+
+@query("q68_lags_of_the_whole_table", 'SELECT event_id, lag(value, 2) OVER w AS value_lag2, lead(value, 1) OVER w AS "value_lag-1" FROM events WINDOW w AS (ORDER BY ts, event_id)')
+def q68(spark, sf_dir):
+    return features.add_lags(table(spark, sf_dir, "events"), ["value"], [2, -1], ["ts", "event_id"]).select("event_id", "value_lag2", "`value_lag-1`")
+
+
+@query("q68_rolling_large_groups", "SELECT event_id, round(avg(value) OVER w, 6) AS value_roll9_mean, round(max(value) OVER w, 6) AS value_roll9_max FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)")
+def q68g(spark, sf_dir):
+    out = features.add_rolling_stats(table(spark, sf_dir, "events"), ["value"], [9], ["ts", "event_id"], ["mean", "max"], "event_type", large_groups=True)
+    return out.select("event_id", *r6("value_roll9_mean", "value_roll9_max"))
+
+
+@query("q69_equity_curve_in_runs", "SELECT event_id, round(sum(value - 50) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS cumulative_pnl FROM events")
+def q69(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("value") - 50).alias("realized_pnl"))
+    return metrics.equity_curve(t, ["ts", "event_id"]).select("event_id", F.round("cumulative_pnl", 4).alias("cumulative_pnl"))
+
+
 # calibration
 
 _POOLED_SQL = (

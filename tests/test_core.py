@@ -1,17 +1,20 @@
 """Operators on hand-made rows: orders, nulls, ties, states, files, streams, commands."""
 
 import json
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury import cli, config, schemas
 from augury.functions import bins
 from augury.functions import scalars as S
-from augury.operators import backtest, features, markets, metrics, models, report, trading
+from augury.operators import backtest, features, markets, metrics, models, ordering, report, trading
 from augury.plugins import MarketPlugin, PluginRegistry, RacePlugin, TemperaturePlugin, discover_plugins
-from augury.sources import listings, tables
+from augury.sources import files, listings, tables
 
 
 def one(spark, **cols):
@@ -246,3 +249,94 @@ def test_settings(tmp_path, monkeypatch):
     with pytest.raises(OSError, match="missing"):
         config.Workspace.from_env()
     assert config.logger("augury.x").name == "augury.x"
+
+
+def test_windows_in_chunks_equal_whole_windows(spark):
+    rows = [(i, "abc"[i * 7 % 3] if i % 11 else None, float(i * 37 % 101) if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(5)
+    for group in (None, "g"):
+        make = lambda w: {"lag": F.lag("v", 3).over(w), "lead": F.lead("v", 2).over(w), "mean": F.avg("v").over(w.rowsBetween(-4, 0))}
+        whole = df.withColumns(make((W.partitionBy(group) if group else W.partitionBy()).orderBy("i")))
+        for n in (1, 7, 64, 1000):
+            got = ordering.framed(df, group, ["i"], 4, 2, make, n)
+            assert sorted(got.collect(), key=lambda r: r.i) == sorted(whole.collect(), key=lambda r: r.i), (group, n)
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(4)
+    sets = {"few": [3.0, 1.0], "one": [5.0], "ties": [1.0] * 400 + [2.0] * 300 + [9.0], "many": [r.gauss(0, 1) for _ in range(3001)], "none": []}
+    for name, values in sets.items():
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        for accuracy in (10, 100_000):
+            got = ordering.quantiles(df, {"v": F.when(~F.isnan("v"), F.col("v"))}, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy).first().v
+            want = [None] * 5 if not values else np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist()
+            assert got == pytest.approx(want) if values else got == want, (name, accuracy)
+
+
+def test_report_curve_ends_with_the_last_trade(spark, tmp_path):
+    rows = [(f"2020-01-01T{i:06d}", f"c{i % 1500}", "d", "h", 1.0) for i in range(2500)]
+    df = spark.createDataFrame(rows, "recorded_at string, city_or_segment string, target_date string, horizon string, realized_pnl double")
+    points = report.curve_points(df)
+    assert len(points) == 2000 and points[-1] == 2500 and points == sorted(points)
+    t = df.select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("flat_stake", "double"), ("edge_after_fee", "double"), ("outcome_label", "string"), ("gamma_price", "double"), ("outcome", "string"))])
+    html = report.write_report(t, str(tmp_path / "r.html")).read_text()
+    assert "and 500 segments with fewer trades" in html and "and 2300 older trades" in html
+
+
+def test_unknown_keys_of_signals_fail(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"signals": [{"market_id": "a", "best_edge": 0.3}, {"market_id": "b", "edgy": 1}]}))
+    with pytest.raises(Exception, match="edgy"):
+        tables.read_signals_json(spark, str(tmp_path / "s.json")).collect()
+    (tmp_path / "t.json").write_text(json.dumps({"signals": [{"market_id": "a", "best_edge": 0.3}]}))
+    assert [(r.market_id, r.best_edge) for r in tables.read_signals_json(spark, str(tmp_path / "t.json")).collect()] == [("a", 0.3)]
+
+
+def test_purge_and_versions(spark, tmp_path):
+    table = listings.AnswerTable(spark, str(tmp_path / "a"), 60)
+    t0 = datetime(2024, 1, 1)
+    table.put(spark.createDataFrame([("a", "{}"), ("b", "{}")], "request string, value string"), t0)
+    table.put(spark.createDataFrame([("c", '{"x": 1}')], "request string, value string"), datetime(2024, 1, 1, 1))
+    table.delete(spark.createDataFrame([("b",)], "request string"), t0)
+    assert table.purge(datetime(2024, 1, 1, 1)) == 3 and table.purge(datetime(2024, 1, 1, 1)) == 0
+    assert [r.request for r in table.read().collect()] == ["c"] and len([p for p in (tmp_path / "a").iterdir() if p.is_dir()]) == 1
+    assert [r.value.x for r in table.typed(datetime(2024, 1, 1, 1), "x int").collect()] == [1]
+    with pytest.raises(FileNotFoundError):
+        files.read_text(spark, str(tmp_path / "none"))
+
+
+def test_gate_without_segments_warns(spark):
+    t = spark.createDataFrame([("S", 1.0)], "segment string, realized_pnl double")
+    d = metrics.gate_decision(t, metrics.gate_segments(t, ["S"], 1).limit(0)).first()
+    assert d.decision == "GO" and "nothing was checked" in d.warning
+    assert metrics.gate_decision(t, metrics.gate_segments(t, ["S"], 1)).first().warning is None
+
+
+def test_commands(spark, tmp_path, capsys):
+    a = str(tmp_path / "artifacts")
+    rows = [{"id": str(i), "question": f"Will {'F1' if i % 2 else 'rain'} happen {i}?"} for i in range(70)]
+    listings.dump_pages(rows, str(tmp_path / "pages"), 100)
+    assert cli.main(["scan-markets", "--pages", str(tmp_path / "none")]) == 1
+    assert cli.main(["scan-markets", "--pages", str(tmp_path / "pages"), "--limit", "60"]) == 0
+    assert len([x for x in capsys.readouterr().out.splitlines() if "happen" in x]) == 50
+    signals_path = tmp_path / "signals.json"
+    signals_path.write_text(json.dumps({"signals": [{"market_id": "m", "city_or_segment": "S", "target_date": "2999-01-01", "horizon": "morning_of", "outcome_label": "warm", "direction": "yes", "gamma_price": 0.4, "best_edge": 0.3}, {"market_id": "n", "city_or_segment": "T", "target_date": "2999-01-01", "horizon": "morning_of", "outcome_label": "warm", "direction": "yes", "gamma_price": 0.4, "best_edge": 0.3}]}))
+    record = ["record-trades", "--artifacts", a, "--signals", str(signals_path)]
+    assert cli.main(record) == 1
+    train = spark.createDataFrame([(0.1, 0.0), (0.9, 1.0)] * 4, "feature_x double, label double")
+    models.SparkForecaster("logistic_regression", maxIter=2).fit(train, ["feature_x"]).save(str(tmp_path / "model"))
+    (tmp_path / "no.json").write_text(json.dumps({"decision": "NO_GO", "segment_results": [{"segment": "S", "passes": False, "reason": "missing"}]}))
+    (tmp_path / "go.json").write_text(json.dumps({"decision": "GO", "segment_results": [{"segment": "S", "passes": True, "reason": "ok"}]}))
+    promote = ["promote-champion", "--artifacts", a, "--model", str(tmp_path / "model"), "--gate"]
+    assert cli.main([*promote, str(tmp_path / "none.json")]) == 1 and cli.main([*promote, str(tmp_path / "no.json")]) == 1
+    assert "S missing" in capsys.readouterr().out
+    assert cli.main([*promote, str(tmp_path / "go.json")]) == 0
+    assert cli.main(record) == 0 and cli.main(record) == 0
+    out = capsys.readouterr().out
+    assert "recorded 1 trades" in out and "recorded 0 trades" in out
+    spec = spark.createDataFrame([("S", "2999-01-01", 1, [("warm", None, None, True, True)], True, "warm", None)], "city string, target_date string, pos int, outcome_bins array<struct<label:string,lower:double,upper:double,lower_inclusive:boolean,upper_inclusive:boolean>>, is_final boolean, truth_label string, truth_value double")
+    spec.write.parquet(str(tmp_path / "specs"))
+    assert cli.main(["settle-trades", "--artifacts", a, "--specs", str(tmp_path / "specs"), "--today", "2999-02-01"]) == 0
+    assert cli.main(["status", "--artifacts", a]) == 0
+    out = capsys.readouterr().out
+    assert "settled 1, pending 0" in out and "trades 1, open 0, settled 1" in out and "champion: champion" in out
+    assert cli.main(["workspace", "w"]) == 2 and cli.main(["workspace", "w", "true"]) == 0
