@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from augury.sources import files
+
 #: A key of more than one in so many rows is hot.
 HOT = 1000
 #: Rows turned into Python objects at once inside a task.
@@ -38,16 +40,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/augury-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, made: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    A lost executor then costs no recomputation of what lies before this point.
+    A lost executor then costs no recomputation of what lies before this point.  The path
+    is added to ``made``, for ``discard`` when nothing reads it any more.
     """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove what ``materialise`` wrote there."""
+    for path in paths:
+        files.delete(spark, path)
+
+
 @contextmanager
 def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
     """Send at most ``n`` rows to Python at once, for what is computed inside: rows with whole texts or sets may be large."""

@@ -25,8 +25,8 @@ _ODD = re.compile("[^\\t\\n\\r -~¡«·»¿À-ÖØ-öø-įı-ňŊ-ž]")
 _SPACE = re.compile(r"\s")
 #: The pre-tokenizer and normalizer for which the quick way holds.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-CACHE_WORDS = 400_000
-CACHE_KEYS = 200_000  # in each of two generations
+CACHE_WORDS = 200_000
+CACHE_KEYS = 50_000  # in each of two generations
 SLICE = 1 << 20  # characters of texts that are encoded together, about
 LONG = 16  # bytes of a word that the table holds
 
@@ -128,7 +128,7 @@ class Merges:
         pairs = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in merges], dtype=np.int64)
         self.bits = max(4, (len(pairs) * 8).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.ranks = np.full(1 << self.bits, self.NONE, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, self.NONE, dtype=np.int32)
         for rank, (key, at) in enumerate(zip(pairs.tolist(), self._slots(pairs).tolist(), strict=True)):
             while self.keys[at] >= 0 and self.keys[at] != key:
                 at = (at + 1) % len(self.keys)

@@ -245,9 +245,11 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, all columns."""
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
-        return texts.map(lambda t: scorer.score(t) if isinstance(t, str) else 0.0).astype("float64")
+        for texts in batches:
+            yield texts.map(lambda t: scorer.score(t) if isinstance(t, str) else 0.0).astype("float64")
 
     return docs.filter(score("text") < threshold)

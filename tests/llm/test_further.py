@@ -2,9 +2,12 @@
 
 import io
 import os
+import re
 import struct
 import time
+import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -297,5 +300,69 @@ def test_decontamination_with_a_bitmap_of_any_size(spark, sf_dir):
     items = d._item_windows(bench, 10)
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "text")
     found = [Counter(map(tuple, d._places_by_shuffle(rows, items, most_bits).collect())) for most_bits in (1 << 10, 1 << 29)]
-    assert found[0] == found[1] and sum(found[0].values()) > 100
+    # against every window of every text
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    owners, want = {}, Counter()
+    for r in bench.collect():
+        w = words(r.text)
+        for i in range(max(1, len(w) - 9)) if w else ():
+            owners.setdefault(tuple(w[i : i + 10]), set()).add(str(r.item_id))
+    for r in rows.collect():
+        w = words(r.text)
+        for n in {len(x) for x in owners}:
+            for i in range(len(w) - n + 1):
+                want.update((r["__row"], i, n, item) for item in owners.get(tuple(w[i : i + n]), ()))
+    assert found[0] == found[1] == want and want
     assert Counter(map(tuple, d.scan_documents(docs, bench, max_windows=0).collect())) == Counter(map(tuple, d.scan_documents(docs, bench).collect()))
+
+
+# the pipeline
+
+
+def brute_kept(texts, least=0.8):
+    """Ids that stay: of each class of five-word shingle sets, linked at ``least``, the smallest."""
+    sets = {}
+    for d, t in texts.items():
+        w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(texts), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d for d in texts if find(d) == d}
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Each stage, done plainly on the driver, row by row."""
+    import corpus_pipeline as p
+
+    docs, labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
+    texts = {d: t for d, t in texts.items() if scorer.score(t) < 0.5}
+    kept = brute_kept(texts)
+    texts = {d: t for d, t in texts.items() if d in kept}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for r in bench.collect():
+        w = words(r.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    leaks = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    texts = {d: t for d, t in texts.items() if not leaks(words(t))}
+    model, e = pii.train(), tokens.Encoder(tokens.default_vocabulary())
+    want = Counter()
+    for d, t in texts.items():
+        spans = pii.base_spans(t)
+        clean = pii.redacted(t, spans + pii.added_spans(t, spans, model))
+        ids = [*(e.tokenizer.encode(clean, add_special_tokens=False).ids if clean else []), 0]
+        for k in range(0, len(ids), 2048):
+            want[d, k // 2048, k, zlib.crc32(np.array(ids[k : k + 2048], dtype="<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in p.run(spark, sf_dir).collect()) == want
