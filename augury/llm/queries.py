@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm import decontaminate, hilbert, licenses, mpeg, packing, pii, simhash, token_counts, toxicity, warc
+from augury.llm import decontaminate, hilbert, licenses, merkle, mpeg, packing, pii, simhash, token_counts, toxicity, warc
 from augury.llm.common import table
 
 
@@ -60,10 +60,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy with some texts in lower case against the manifest of the originals."""
+    told = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.proofs(merkle.build(table(spark, sf_dir, "documents"), told={"text": told}))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii)
+    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii, op11_merkle)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -98,8 +105,60 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 """
 
 
+_LEAF = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{0}"))
+_BYTES = "flatten([[ascii(c)::BIGINT] || [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[] for c in string_split(doc_id::VARCHAR, '')])"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)"
+
+
+def _climb_sql(below: str, name: str, levels: int) -> str:
+    """Levels of nodes over {below} (g, n, pos, h): each has g, n, pos, h, and the siblings' place and digests of each node below."""
+    out, last = [], below
+    for k in range(1, levels + 1):
+        up = f"{name}{k}"
+        out.append(
+            f"{up}k AS (SELECT *, string_agg(h, '' ORDER BY pos) OVER (PARTITION BY g, pos // 16 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS kids, row_number() OVER (PARTITION BY g, pos // 16 ORDER BY pos) - 1 AS at FROM {last} WHERE ceil(n / power(16.0, {k - 1})) > 1),"
+            f" {up} AS (SELECT g, n, pos // 16 AS pos, sha256(any_value(kids)) AS h FROM {up}k GROUP BY 1, 2, 3)"
+        )
+        last = up
+    return ", ".join(out)
+
+
+_LEVELS, _ROOT_LEVELS = 6, 3
+
+
+def _fold_sql(steps: list[tuple[str, str]], acc: str, table: str, keep: str) -> str:
+    """Subqueries that fold ``acc`` through the steps (at, kids) one after another; a step without kids changes nothing."""
+    out = f"SELECT *, {acc} AS acc0 FROM {table}"
+    for k, (at, kids) in enumerate(steps):
+        out = f"SELECT *, CASE WHEN {kids} IS NULL THEN acc{k} ELSE sha256(left({kids}, 64 * {at}::INT) || acc{k} || substr({kids}, 64 * {at}::INT + 65)) END AS acc{k + 1} FROM ({out})"
+    return f"SELECT {keep}, acc{len(steps)} AS folded FROM ({out})"
+
+
+def _merkle_sql() -> str:
+    own = [(f"a{k}", f"k{k}") for k in range(1, _LEVELS + 1)] + [(f"ra{k}", f"rk{k}") for k in range(1, _ROOT_LEVELS + 1)]
+    joins = " ".join(f"LEFT JOIN t{k}k ON t{k}k.g = l.g AND t{k}k.pos = l.pos // {16 ** (k - 1)}" for k in range(1, _LEVELS + 1)) + " "
+    joins += " ".join(f"LEFT JOIN r{k}k ON r{k}k.pos = s.pos // {16 ** (k - 1)}" for k in range(1, _ROOT_LEVELS + 1))
+    picked = ", ".join([f"t{k}k.at AS a{k}, t{k}k.kids AS k{k}" for k in range(1, _LEVELS + 1)] + [f"r{k}k.at AS ra{k}, r{k}k.kids AS rk{k}" for k in range(1, _ROOT_LEVELS + 1)])
+    sibs = " || ".join(f"coalesce(left({kids}, 64 * {at}::INT) || substr({kids}, 64 * {at}::INT + 65), '')" for at, kids in own)
+    tops = " UNION ALL ".join([f"SELECT g, h FROM leaves WHERE n = 1"] + [f"SELECT g, h FROM t{k} WHERE ceil(n / power(16.0, {k})) <= 1" for k in range(1, _LEVELS + 1)])
+    rtops = " UNION ALL ".join(["SELECT h FROM subs WHERE n = 1"] + [f"SELECT h FROM r{k} WHERE ceil(n / power(16.0, {k})) <= 1" for k in range(1, _ROOT_LEVELS + 1)])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, sha256({_LEAF.format("text")}) AS h,
+                  sha256({_LEAF.format("CASE WHEN coalesce(" + _CRC + ", 1) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS told FROM documents),
+     leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+     {_climb_sql("leaves", "t", _LEVELS)},
+     tops AS ({tops}),
+     subs AS (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tops),
+     {_climb_sql("subs", "r", _ROOT_LEVELS)},
+     rtops AS ({rtops}),
+     j AS (SELECT l.doc_id, l.h AS leaf, l.told, s.h AS subroot, (SELECT h FROM rtops) AS root, {picked} FROM leaves l JOIN subs s ON s.name = l.g {joins}),
+     f AS ({_fold_sql(own, "told", "(SELECT *, sha256(" + sibs + ") AS proof_sha256 FROM j)", "doc_id, leaf, subroot, root, proof_sha256")})
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded = root AS verified FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL}
+    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_merkle": _merkle_sql()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
