@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm import decontaminate, hilbert, licenses, merkle, mpeg, packing, pii, simhash, token_counts, toxicity, warc
+from augury.llm import decontaminate, hilbert, lexical, licenses, merkle, mpeg, packing, pii, simhash, token_counts, toxicity, warc
 from augury.llm.common import table
 
 
@@ -67,10 +67,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii, op11_merkle)
+    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii, op11_merkle, op12_lexical_search)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -157,8 +161,22 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded AS folded_root, folded
 """
 
 
+_TERMS = "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+     t AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS nt FROM d WHERE len(w) > 0),
+     b AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+     p AS (SELECT r, n, term, count(*) AS tf FROM (SELECT r, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN b USING (term) GROUP BY ALL),
+     x AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, t GROUP BY term, nd),
+     s AS (SELECT i, item_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt))))::BIGINT AS score FROM b JOIN p USING (term) JOIN x USING (term), t GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_merkle": _merkle_sql()}
+    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_merkle": _merkle_sql(), "op12_lexical_search": OP12_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
