@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm import decontaminate, hilbert, lexical, licenses, merkle, mpeg, packing, pii, simhash, token_counts, toxicity, warc
+from augury.llm import decontaminate, hilbert, lexical, licenses, merkle, mpeg, packing, pii, simhash, substrings, token_counts, toxicity, warc
 from augury.llm.common import table
 
 
@@ -71,10 +71,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(table(spark, sf_dir, "documents")).drop("xx")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii, op11_merkle, op12_lexical_search)
+    own = (op1_toxicity, op2_warc, op3_license_scan, op4_token_counts, op5_decontaminate, op6_packing, op7_hilbert_sharding, op8_mpeg_audio, op9_simhash, op10_pii, op11_merkle, op12_lexical_search, op13_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -175,8 +179,20 @@ QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
 """
 
 
+OP13_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+     x AS (SELECT doc_id, r, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+     f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+     g AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM x JOIN f USING (h) WHERE doc_id > least),
+     v AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+     k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM v ANTI JOIN g USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_merkle": _merkle_sql(), "op12_lexical_search": OP12_SQL}
+    out = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_merkle": _merkle_sql(), "op12_lexical_search": OP12_SQL, "op13_substring_dedup": OP13_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
