@@ -27,7 +27,7 @@ def cmd_version(_) -> int:
 def cmd_status(a) -> int:
     from augury.operators.metrics import status_kpis
     from augury.operators.models import Champion
-    from augury.sources.tables import TradeStore
+    from augury.sources.log import TradeStore
 
     spark, path = _spark(), f"{a.artifacts}/champion.json"
     if files.exists(spark, path):
@@ -62,7 +62,8 @@ def cmd_scan(a) -> int:
 def cmd_record(a) -> int:
     from augury.operators import trading
     from augury.operators.models import Champion
-    from augury.sources.tables import TradeStore, read_signals_json
+    from augury.sources.log import TradeStore
+    from augury.sources.tables import read_signals_json
 
     spark, path = _spark(), f"{a.artifacts}/champion.json"
     if not files.exists(spark, path):
@@ -83,14 +84,14 @@ def cmd_record(a) -> int:
 
 def cmd_settle(a) -> int:
     from augury.operators import trading
-    from augury.sources.tables import TradeStore
+    from augury.sources.log import TradeStore
 
     spark = _spark()
     store = TradeStore(spark, f"{a.artifacts}/workspaces/{a.workspace}/paper_trades")
     old = store.read()
     done = trading.settle(old, spark.read.parquet(a.specs), a.today or datetime.now(UTC).date().isoformat(), a.no_leg).cache()
     r = trading.settlement_summary(done).first()
-    store.replace(done.select(*old.columns))
+    store.settle(done.filter("newly_settled"), datetime.now(UTC).isoformat())
     print(f"settled {r.settled}, pending {r.pending}, P&L {r.total_pnl:+.6f}")
     return 0
 

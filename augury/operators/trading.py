@@ -89,8 +89,6 @@ def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "refer
     as a sale at its entry price, or with no_leg="complement" as a purchase of the
     complement.
     """
-    if no_leg not in ("reference", "complement"):
-        raise ValueError("no_leg must be reference or complement")
     # ties of pos: the truth that is final, then the greater label and value
     order = F.struct("pos", F.coalesce("is_final", F.lit(False)), "truth_label", "truth_value")
     keyed = specs.groupBy(F.coalesce("city", F.lit("")).alias("city_or_segment"), F.coalesce("target_date", F.lit("")).alias("target_date")).agg(
@@ -109,14 +107,7 @@ def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "refer
         .when(winner.isNull(), "no_bin")
     )
     t = t.withColumn("__winner", winner).withColumn("pending_reason", reason)
-    direction, stake, fee = F.coalesce("direction", F.lit("yes")), F.coalesce("flat_stake", F.lit(1.0)), F.coalesce("fee_paid", F.lit(0.003))
-    entry = S.entry_price(direction, "gamma_price")
-    size = S.flat_stake_size(stake, entry)
-    if no_leg == "reference":
-        pnl = S.settle_position("outcome_label", "__winner", entry, size, F.when(direction == "yes", "buy").otherwise("sell"), fee)
-    else:
-        hit = S.won("outcome_label", "__winner").cast("double")
-        pnl = (F.when(direction == "yes", hit).otherwise(1 - hit) - entry) * size - fee
+    pnl = _profit(F.col("__winner"), no_leg)
     now = F.col("outcome").isNull() & F.col("pending_reason").isNull()
     return t.select(
         *[F.col(x) for x in trades.columns if x not in ("outcome", "realized_pnl")],
@@ -128,6 +119,24 @@ def settle(trades: DataFrame, specs: DataFrame, today: str, no_leg: str = "refer
     )
 
 
+def _profit(winner: Column, no_leg: str) -> Column:
+    """What a trade gains once ``winner`` is known."""
+    if no_leg not in ("reference", "complement"):
+        raise ValueError("no_leg must be reference or complement")
+    direction, stake, fee = F.coalesce("direction", F.lit("yes")), F.coalesce("flat_stake", F.lit(1.0)), F.coalesce("fee_paid", F.lit(0.003))
+    entry = S.entry_price(direction, "gamma_price")
+    size = S.flat_stake_size(stake, entry)
+    if no_leg == "reference":
+        return S.settle_position("outcome_label", winner, entry, size, F.when(direction == "yes", "buy").otherwise("sell"), fee)
+    hit = S.won("outcome_label", winner).cast("double")
+    return (F.when(direction == "yes", hit).otherwise(1 - hit) - entry) * size - fee
+
+
+def paid(trades: DataFrame, winner: Column, no_leg: str = "reference") -> DataFrame:
+    """Open trades with the outcome and realized_pnl that ``winner`` gives them."""
+    return trades.withColumns({"outcome": S.outcome("outcome_label", winner), "realized_pnl": F.round(_profit(winner, no_leg), 6)})
+
+
 def settlement_summary(settled: DataFrame) -> DataFrame:
     """One row: settled (new ones), pending, total_pnl of all settled."""
     return settled.agg(

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from augury.functions import scalars as S
 from augury.operators import backtest, features, markets, metrics, models, report, trading
-from augury.plans.queries import GATE_SQL, SCORE_SQL, SETTLE_SQL, WALK_SQL, _gate, _listed, _QSQL, _scored, _settled, query, r6, walk
+from augury.plans.queries import GATE_SQL, SCORE_SQL, SETTLE_SQL, WALK_SQL, _gate, _listed, _QSQL, _scored, _settled, query, r6, trades_to_settle, walk
 from augury.plans.views import PANEL_SQL, SIGNALS_SQL, panel, signals, specs, table
 from augury.plugins.base import PluginRegistry
 from augury.plugins.families import RacePlugin, TemperaturePlugin
 from augury.schemas import SIGNAL, TRADE, struct
-from augury.sources import files, listings, tables
+from augury.sources import files, listings, log, tables
+from augury.streaming import keyed
 from augury.streaming.record import settle_stream
 
 # files
@@ -298,8 +299,8 @@ def q62(spark, sf_dir):
     """Open trades settled by a stream of truths, file after file."""
     root = files.scratch(spark)
     s = signals(spark, sf_dir)
-    store = tables.TradeStore(spark, f"{root}/trades")
-    store.replace(s.select(*[F.col(c) for c in s.columns if c in [f.name for f in struct(TRADE)]], F.col("market_id").alias("recorded_at"), *[F.lit(None).alias(f.name) for f in struct(TRADE) if f.name not in [*s.columns, "recorded_at"]]))
+    store = log.TradeStore(spark, f"{root}/trades", ["recorded_at"])
+    store.append(s.select(*[F.col(c) for c in s.columns if c in [f.name for f in struct(TRADE)]], F.col("market_id").alias("recorded_at"), *[F.lit(None).alias(f.name) for f in struct(TRADE) if f.name not in [*s.columns, "recorded_at"]]))
     last = s.filter("o_orderkey % 3 = 0").groupBy("city_or_segment", "target_date").agg(F.max("o_orderkey").alias("o"))
     truth = last.select(F.col("city_or_segment").alias("city"), "target_date", F.lit(True).alias("is_final"), F.when(F.col("o") % 2 == 0, "warm").otherwise("hot").alias("truth_label"), F.lit(None).cast("double").alias("truth_value"))
     truth.repartition(2, "city").write.parquet(f"{root}/truth")
@@ -308,6 +309,39 @@ def q62(spark, sf_dir):
     return store.read().select("recorded_at", "outcome")
 
 
+@query("q70_settle_keyed_state", SETTLE_SQL + "SELECT o_orderkey, outcome, realized_pnl, newly_settled FROM settled")
+def q70(spark, sf_dir):
+    """Trades before and after their truths, first none of them final, the stream stopped in between; state is by city and date."""
+    root, k = files.scratch(spark), F.col("o_orderkey")
+    t = trades_to_settle(spark, sf_dir)
+    at = lambda text: F.lit(text).cast("timestamp")
+    told = specs(spark, sf_dir)
+    last = F.max_by(F.struct("is_final", "truth_label", "truth_value", "outcome_bins"), "pos").alias("s")
+    told = told.groupBy("city", "target_date").agg(last).select("city", "target_date", "s.*").withColumn("at", at("1998-05-31 06:00:00"))  # nothing may come later than the clock allows
+    open_ = t.filter("outcome is null").drop("outcome", "realized_pnl").withColumn("at", at("1998-05-30 00:00:00"))
+    clock = keyed.events(open_.limit(0), told.limit(1).withColumns({"city": F.lit(""), "is_final": F.lit(False), "at": at("1998-06-01 12:00:00")}))
+    kind = clock.schema
+    source = f"{root}/in"
+
+    def write(rows):
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in kind]).coalesce(1).write.mode("append").parquet(source)
+
+    store = log.TradeStore(spark, f"{root}/trades", ["recorded_at"])
+    store.append(open_.select(*[F.col(f.name) if f.name in open_.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in struct(TRADE)]))
+    run = lambda: keyed.settle_keyed_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), store, f"{root}/checkpoint").awaitTermination()
+    write(keyed.events(open_.filter(k % 2 == 0), told.limit(0)))
+    write(keyed.events(open_.limit(0), told.withColumns({"is_final": F.lit(False), "at": at("1998-05-30 12:00:00")})))
+    run()
+    write(keyed.events(open_.limit(0), told))
+    write(keyed.events(open_.filter(k % 2 == 1).withColumn("at", at("1998-05-31 07:00:00")), told.limit(0)))
+    write(clock)
+    write(clock)
+    run()
+    now = store.read().select("recorded_at", F.col("outcome").alias("o"), F.col("realized_pnl").alias("p"))
+    out = t.join(now, "recorded_at", "left")
+    return out.select("o_orderkey", F.coalesce("outcome", "o").alias("outcome"), F.coalesce("realized_pnl", "p").alias("realized_pnl"), F.col("o").isNotNull().alias("newly_settled"))
+
+
 @query("q63_is_profitable", SETTLE_SQL + "SELECT o_orderkey, outcome, realized_pnl > 0 AS is_profitable FROM settled")
 def q63(spark, sf_dir):
     return _settled(spark, sf_dir).select("o_orderkey", "outcome", "is_profitable")

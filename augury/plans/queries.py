@@ -347,13 +347,16 @@ settled AS (SELECT o_orderkey, pending_reason, outcome IS NULL AND pending_reaso
   CASE WHEN outcome IS NULL AND pending_reason IS NULL THEN round(CASE WHEN direction = 'yes' THEN (pay - entry) ELSE (entry - pay) END * stake / greatest(entry, 1e-9) - fee, 6) ELSE realized_pnl END AS realized_pnl FROM k) """
 
 
-def _settled(spark, sf_dir):
+def trades_to_settle(spark, sf_dir):
     k = F.col("o_orderkey")
-    t = signals(spark, sf_dir).select(
-        "o_orderkey", "city_or_segment", "target_date", "outcome_label", "direction", "gamma_price", F.when(k % 4 != 0, 2.0).alias("flat_stake"), F.when(k % 6 != 0, 0.01).alias("fee_paid"),
+    return signals(spark, sf_dir).select(
+        "o_orderkey", F.col("market_id").alias("recorded_at"), "city_or_segment", "target_date", "outcome_label", "direction", "gamma_price", F.when(k % 4 != 0, 2.0).alias("flat_stake"), F.when(k % 6 != 0, 0.01).alias("fee_paid"),
         F.when(k % 13 == 0, "won").alias("outcome"), F.when(k % 13 == 0, 0.697).alias("realized_pnl"),
     )
-    return trading.settle(t, specs(spark, sf_dir), TODAY)
+
+
+def _settled(spark, sf_dir):
+    return trading.settle(trades_to_settle(spark, sf_dir), specs(spark, sf_dir), TODAY)
 
 
 @query("q33_settle_trades", SETTLE_SQL + "SELECT o_orderkey, outcome, realized_pnl, pending_reason, newly_settled FROM settled")
@@ -516,7 +519,7 @@ def q45(spark, sf_dir):
 @query("q46_stream_record", f"WITH {SIGNALS_SQL} SELECT DISTINCT city_or_segment, target_date, horizon FROM signals")
 def q46(spark, sf_dir):
     """Signals as a stream of files, recorded batch by batch; the keys in the table."""
-    from augury.sources.tables import TradeStore
+    from augury.sources.log import TradeStore
     from augury.streaming.record import record_stream
 
     root = files.scratch(spark)

@@ -1,14 +1,10 @@
-"""Small files and shared folders on whatever file system Spark uses, and tables kept in versions."""
+"""Small files and shared folders on whatever file system Spark uses."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from augury.schemas import struct
+from pyspark.sql import SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -47,6 +43,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, p, how)
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, sorted."""
+    p, fs = _at(spark, pattern)
+    return sorted(x.getPath().toString() for x in fs.globStatus(p) or ())
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """False if there is nothing to rename, or something is there already."""
+    p, fs = _at(spark, old)
+    return fs.rename(p, _at(spark, new)[0])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)
@@ -56,34 +64,3 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/augury-{uuid.uuid4().hex}"
-
-
-class Versions:
-    """A table as Parquet parts; ``current`` lists those in use and is replaced in one rename.
-
-    A write makes a part of its own, so it never touches what is being read, and a part
-    of a write that failed is in no list.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, str(folder), schema
-
-    def parts(self) -> list[str]:
-        path = f"{self.folder}/current"
-        return json.loads(read_text(self.spark, path)) if exists(self.spark, path) else []
-
-    def read(self) -> DataFrame:
-        parts = self.parts()
-        return self.spark.read.schema(struct(self.schema)).parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], struct(self.schema))
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"part-{uuid.uuid4().hex}"
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(self.schema)]).write.parquet(f"{self.folder}/{name}")
-        return name
-
-    def append(self, rows: DataFrame) -> None:
-        """New rows only; what is there is not rewritten."""
-        write_text(self.spark, f"{self.folder}/current", json.dumps([*self.parts(), self._write(rows)]))
-
-    def replace(self, rows: DataFrame) -> None:
-        write_text(self.spark, f"{self.folder}/current", json.dumps([self._write(rows)]))

@@ -6,8 +6,11 @@ that names sort in page order.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from augury.functions.scalars import cache_key, contains_text
 from augury.operators import markets
 from augury.sources import files
+from augury.sources.log import EventLog
 
 PAGES = "page int, pos int, body string"
 
@@ -86,15 +90,21 @@ def with_prices(markets: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 class AnswerTable:
-    """Answers by request, in versions: the latest one that has not expired counts."""
+    """Answers by request, as a log: the latest one that has not expired counts.
+
+    Answers lie in 16 partitions by the first sign of their key, and their files have Bloom
+    filters on it, so that a look at a few requests reads few of them.
+    """
 
     SCHEMA = "key string, request string, value string, expires_at timestamp_ntz, stored_at timestamp_ntz, deleted boolean"
+    #: Requests that are looked up by name; for more, read ``valid`` and join.
+    NAMED = 200
 
     def __init__(self, spark: SparkSession, folder: str, ttl_seconds: int = 3600):
-        self.spark, self.ttl, self.rows = spark, ttl_seconds, files.Versions(spark, folder, self.SCHEMA)
+        self.spark, self.ttl, self.rows = spark, ttl_seconds, EventLog(spark, folder, self.SCHEMA, "first", ("key",))
 
     def read(self) -> DataFrame:
-        return self.rows.read()
+        return self.rows.read().drop("first")
 
     def put(self, answers: DataFrame, now: datetime) -> None:
         """answers: request, value (JSON text)."""
@@ -104,18 +114,35 @@ class AnswerTable:
         self._add(requests.select("request", F.lit(None).cast("string").alias("value")), now, now, True)
 
     def _add(self, rows: DataFrame, now: datetime, until: datetime, deleted: bool) -> None:
-        self.rows.append(rows.select(cache_key("request").alias("key"), "request", "value", self._ntz(until).alias("expires_at"), self._ntz(now).alias("stored_at"), F.lit(deleted).alias("deleted")))
+        key = cache_key("request")
+        rows = rows.select(key.alias("key"), "request", "value", self._ntz(until).alias("expires_at"), self._ntz(now).alias("stored_at"), F.lit(deleted).alias("deleted"), F.substring(key, 1, 1).alias("first"))
+        self.rows.append(rows)
 
     @staticmethod
     def _ntz(t: datetime) -> Column:
         return F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz")
 
-    def valid(self, now: datetime) -> DataFrame:
-        """request and value of answers that count at ``now``; texts that are no JSON do not."""
+    def _valid(self, rows: DataFrame, now: datetime) -> DataFrame:
         at = self._ntz(now)
-        last = self.read().filter(F.col("stored_at") <= at).groupBy("key").agg(F.max_by(F.struct("request", "value", "expires_at", "deleted"), F.struct("stored_at", "deleted")).alias("a")).select("a.*")
+        last = rows.filter(F.col("stored_at") <= at).groupBy("key").agg(F.max_by(F.struct("request", "value", "expires_at", "deleted"), F.struct("stored_at", "deleted")).alias("a")).select("a.*")
         return last.filter(~F.col("deleted") & (at < F.col("expires_at")) & F.try_parse_json("value").isNotNull()).select("request", "value")
 
+    def valid(self, now: datetime) -> DataFrame:
+        """request and value of answers that count at ``now``; texts that are no JSON do not."""
+        return self._valid(self.read(), now)
+
+    def rows_of(self, requests: list[str]) -> DataFrame:
+        """The log's rows of a few requests: a filter on partition and key for each."""
+        if len(requests) > self.NAMED:
+            raise ValueError(f"more than {self.NAMED} requests: join with valid()")
+        keys = [hashlib.md5(r.encode()).hexdigest() for r in requests]
+        wanted = reduce(or_, [(F.col("key") == k) for k in keys], F.lit(False))
+        return self.rows.read().filter(F.col("first").isin(sorted({k[0] for k in keys})) & wanted).drop("first")
+
+    def get(self, requests: list[str], now: datetime) -> DataFrame:
+        """request and value of what counts among a few requests."""
+        return self._valid(self.rows_of(requests), now)
+
     def typed(self, now: datetime, schema: str) -> DataFrame:
         """request and value of what counts, the value read by a schema; answers of another type do not count."""
         return self.valid(now).select("request", F.from_json("value", schema).alias("value")).filter("value is not null")
@@ -127,14 +154,17 @@ class AnswerTable:
         return self.read().filter(self._expired(now)).count()
 
     def purge(self, now: datetime) -> int:
-        """Drop the rows that have expired or are deleted, and the files that held them; returns their number."""
-        old, n = self.rows.parts(), self.n_expired(now)
-        if n:
-            gone = self.read().filter("deleted").groupBy("key").agg(F.max("stored_at").alias("gone"))
-            kept = self.read().filter(~self._expired(now)).join(gone, "key", "left").filter("gone is null or stored_at > gone")
-            self.rows.replace(kept)
-            for part in old:
-                files.delete(self.spark, f"{self.rows.folder}/{part}")
+        """Drop the rows that have expired or are deleted; returns their number. What held them goes with the next purge."""
+        n = self.n_expired(now)
+        if not n:
+            self.rows.sweep()
+        else:
+
+            def kept(rows: DataFrame) -> DataFrame:
+                gone = rows.filter("deleted").groupBy("key").agg(F.max("stored_at").alias("gone"))
+                return rows.filter(~self._expired(now)).join(gone, "key", "left").filter("gone is null or stored_at > gone").drop("gone").distinct()
+
+            self.rows.rewrite(kept)
         return n
 
 

@@ -1,4 +1,4 @@
-"""Panels, trades, signals and gate documents from files; trade snapshots to files.
+"""Panels, trades, signals and gate documents from files.
 
 Paths are on any file system that Spark reads.
 """
@@ -63,10 +63,3 @@ def read_signals_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gate_json(path: str, spark: SparkSession | None = None) -> dict:
     return json.loads(files.read_text(spark or SparkSession.active(), path))
-
-
-class TradeStore(files.Versions):
-    """Trades in versions: see ``files.Versions``."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark, folder, TRADE)

@@ -2,6 +2,7 @@
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -14,7 +15,9 @@ from augury.functions import bins
 from augury.functions import scalars as S
 from augury.operators import backtest, features, markets, metrics, models, ordering, report, trading
 from augury.plugins import MarketPlugin, PluginRegistry, RacePlugin, TemperaturePlugin, discover_plugins
-from augury.sources import files, listings, tables
+from augury.sources import files, listings, log, tables
+from augury.streaming import keyed
+from augury.streaming.record import record_stream, settle_stream
 
 
 def one(spark, **cols):
@@ -230,14 +233,14 @@ def test_files_models_report_cli(spark, tmp_path, capsys):
     assert cli.main(["version"]) == 0 and cli.main(["backtest", "--panel", path, "--stride", "5"]) == 1
     assert cli.main(["backtest", "--panel", path, "--stride", "10", "--model", "rates", "--output", str(tmp_path / "m.json")]) == 0
     assert cli.main(["status", "--artifacts", str(tmp_path / "none")]) == 0 and cli.main(["report", "--trades", "none.json"]) == 1
-    store = tables.TradeStore(spark, str(tmp_path / "store"))
+    store = log.TradeStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0
     new = trading.record(signals(spark, [sig()]), store.read(), datetime(2024, 1, 1), ["market_id"])
     store.append(new)
     store.append(trading.record(signals(spark, [sig(), sig(city_or_segment="W")]), store.read(), datetime(2024, 1, 1), ["market_id"]))
     assert store.read().count() == 2
-    store.replace(store.read().limit(1))
-    assert store.read().count() == 1
+    store.settle(store.read().limit(1).withColumns({"outcome": F.lit("won"), "realized_pnl": F.lit(0.5)}), "2024-01-02")
+    assert store.read().count() == 2 and [r.realized_pnl for r in store.read().filter("outcome = 'won'").collect()] == [0.5]
 
 
 def test_settings(tmp_path, monkeypatch):
@@ -304,6 +307,115 @@ def test_purge_and_versions(spark, tmp_path):
         files.read_text(spark, str(tmp_path / "none"))
 
 
+def files_scanned(df):
+    """Files that the scan of a plan without exchanges has read."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+
+def _trade(i, date="2024-05-01", **more):
+    return {"recorded_at": f"r{i}", "city_or_segment": "S", "target_date": date, "horizon": f"h{i}", "outcome_label": "warm", "direction": "yes", "gamma_price": 0.4, "flat_stake": 1.0, "fee_paid": 0.0} | more
+
+
+def _trades(spark, rows):
+    kind = schemas.struct(schemas.TRADE)
+    return spark.createDataFrame([tuple(r.get(f.name) for f in kind) for r in rows], kind)
+
+
+def test_eight_writers_at_once_lose_nothing(spark, tmp_path):
+    """Recorders, of new trades and of one that all record, beside a settler and a rewrite."""
+    store = log.TradeStore(spark, str(tmp_path / "s"))
+    store.append(_trades(spark, [_trade(100 + k) for k in range(4)]))
+    done = store.read().withColumns({"outcome": F.lit("won"), "realized_pnl": F.lit(1.0)})
+
+    def write(k):
+        if k == 7:
+            store.settle(done, "2024-05-02")
+        elif k == 6:
+            store.compact()
+        else:
+            store.append(_trades(spark, [_trade(k), _trade(50, recorded_at=f"{k}")]))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, range(8)))
+    rows = {r.horizon: r for r in store.read().collect()}
+    assert sorted(rows) == sorted([*[f"h{k}" for k in range(6)], "h50", *[f"h{100 + k}" for k in range(4)]])
+    assert rows["h50"].recorded_at == "0" and all(rows[f"h{100 + k}"].realized_pnl == 1.0 for k in range(4))
+    store.compact()
+    assert len(store.log.writes()) == 1 and store.read().count() == 11
+    before = {p for p in (tmp_path / "s").rglob("*.parquet")}
+    store.settle(done.limit(0), "2024-05-03")
+    assert store.read().count() == 11 and before <= {p for p in (tmp_path / "s").rglob("*.parquet")}
+
+
+def test_a_failed_write_is_not_seen(spark, tmp_path):
+    store = log.TradeStore(spark, str(tmp_path / "s"))
+    store.append(_trades(spark, [_trade(1)]))
+    bad = _trades(spark, [_trade(2), _trade(3, date="2023-01-01")]).withColumn("outcome_label", F.when(F.col("horizon") == "h2", F.raise_error(F.lit("no"))).otherwise(F.col("outcome_label")))
+    with pytest.raises(Exception, match="no"):
+        store.append(bad)
+    (tmp_path / "s/write=dead/month=2024-05").mkdir(parents=True)
+    assert store.read().count() == 1
+
+
+def test_a_batch_of_truths_writes_what_it_settles(spark, tmp_path):
+    store = log.TradeStore(spark, str(tmp_path / "s"))
+    store.append(_trades(spark, [_trade(k, date=f"2024-{k:02d}-01") for k in range(1, 10)]))
+    truth = "city string, target_date string, is_final boolean, truth_label string, truth_value double"
+    told = spark.createDataFrame([("S", "2024-03-01", True, "warm", None), ("S", "2024-04-01", False, "warm", None)], truth)
+    told.write.parquet(str(tmp_path / "t"))
+    specs = told.select("city", "target_date", F.lit(0).alias("pos"), F.lit(None).cast(f"array<{schemas.BIN}>").alias("outcome_bins"))
+    settle_stream(spark.readStream.schema(truth).parquet(str(tmp_path / "t")), store, specs, "2024-12-01", str(tmp_path / "c")).awaitTermination()
+    assert store.log.read().filter("event = 'settled'").count() == 1 and store.read().filter("outcome = 'won'").count() == 1
+    assert files_scanned(store.log.read().filter("month in ('2024-03')")) == 2 < files_scanned(store.log.read())
+
+
+def test_two_recording_streams_at_once(spark, tmp_path):
+    store = log.TradeStore(spark, str(tmp_path / "s"))
+    rows = signals(spark, [sig(horizon=f"h{k}", target_date="2999-01-01") for k in range(20)])
+    rows.write.parquet(str(tmp_path / "in"))
+    both = [record_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, datetime(2024, 1, 1), str(tmp_path / f"c{k}"), ["market_id"]) for k in range(2)]
+    for q in both:
+        q.awaitTermination()
+    assert store.read().count() == 20
+
+
+def test_keyed_settling_over_restarts(spark, tmp_path):
+    """Truth after and before trades, not final first, a date still to come that a timer settles, a second truth that changes nothing."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    names = ["recorded_at", "city_or_segment", "target_date", "horizon", "outcome_label", "direction", "gamma_price", "flat_stake", "fee_paid"]
+    trade = lambda rows, t: _trades(spark, rows).select(*names).withColumn("at", at(t))
+    told = lambda date, final, label, t: spark.createDataFrame([("S", date, final, label, None, None)], f"city string, target_date string, is_final boolean, truth_label string, truth_value double, outcome_bins array<{schemas.BIN}>").withColumn("at", at(t))
+    kind = keyed.events(trade([_trade(1)], "2024-05-01"), told("x", True, "y", "2024-05-01")).schema
+    store = log.TradeStore(spark, str(tmp_path / "s"), ["recorded_at"])
+
+    def feed(*parts):
+        for p in parts:
+            p.select(*[F.col(f.name).cast(f.dataType) for f in kind]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in")) if set(p.columns) == set(kind.names) else p.unionByName(spark.createDataFrame([], kind), allowMissingColumns=True).select(*kind.names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        keyed.settle_keyed_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), store, str(tmp_path / "c")).awaitTermination()
+        return {(r.recorded_at, r.outcome) for r in store.log.read().filter("event = 'settled'").collect()}
+
+    ev = keyed.events
+    assert not feed(ev(trade([_trade(1), _trade(2, date="2024-05-09")], "2024-05-01"), None), ev(None, told("2024-05-01", False, "warm", "2024-05-01")))
+    assert feed(ev(None, told("2024-05-01", True, "warm", "2024-05-02")), ev(None, told("2024-05-09", True, "hot", "2024-05-02")), ev(trade([_trade(3)], "2024-05-03"), None)) == {("r1", "won"), ("r3", "won")}
+    assert feed(ev(None, told("2024-05-01", True, "hot", "2024-05-03")), ev(trade([_trade(4), _trade(5, date="2024-05-09")], "2024-05-03"), None)) == {("r1", "won"), ("r3", "won"), ("r4", "won")}
+    late = feed(ev(None, told("other", False, None, "2024-05-10")), ev(None, told("other", False, None, "2024-05-11")))
+    assert late == {("r1", "won"), ("r3", "won"), ("r4", "won"), ("r2", "lost"), ("r5", "lost")}
+
+
+def test_a_look_at_ten_requests_reads_few_files(spark, tmp_path):
+    table = listings.AnswerTable(spark, str(tmp_path / "a"), 60)
+    t0 = datetime(2024, 1, 1)
+    for part in range(3):
+        table.put(spark.range(part * 1000, part * 1000 + 1000).select(F.concat(F.lit("r"), "id").alias("request"), F.lit("{}").alias("value")), t0)
+    asked = [f"r{k}" for k in range(0, 2000, 400)] + ["none"] * 3
+    rows = table.rows_of(asked)
+    assert sorted(r.request for r in table.get(asked, t0).collect()) == sorted(asked[:5])
+    assert files_scanned(rows) <= files_scanned(table.read()) / 2
+    with pytest.raises(ValueError):
+        table.get([str(k) for k in range(201)], t0)
+
+
 def test_gate_without_segments_warns(spark):
     t = spark.createDataFrame([("S", 1.0)], "segment string, realized_pnl double")
     d = metrics.gate_decision(t, metrics.gate_segments(t, ["S"], 1).limit(0)).first()
