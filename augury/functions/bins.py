@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions.scalars import c
@@ -23,6 +23,34 @@ def winning_label(value, bins) -> Column:
     return F.when(c(value).isNotNull(), F.get(F.filter(c(bins), lambda b: contains(value, b)), F.lit(0))["label"])
 
 
+def first_bins(values: DataFrame, table: DataFrame, keys: list[str], value: str = "value", widths: int = 64) -> DataFrame:
+    """``values`` (keys, a number, any columns) with winner: the label of the first bin of the key that holds the number, null if none.
+
+    ``table`` has a row for each bin: keys, pos, label, lower, upper, lower_inclusive,
+    upper_inclusive; null bounds are open.  Each key's range of bounds is cut into
+    ``widths`` buckets; a bin goes to the buckets it touches, a number to its own, so that
+    both meet by equality, and bins of the same bucket only are compared.  NaN is in every
+    bin, as no comparison excludes it.
+    """
+    bound = table.select(*keys, F.explode(F.array("lower", "upper")).alias("b")).filter("b is not null and not isnan(b)")
+    span = bound.groupBy(*keys).agg(F.min("b").alias("__lo"), F.max("b").alias("__hi"))
+    # below all bounds is bucket 0, above all widths + 1; without bounds a key has only bucket 0
+    wide = F.col("__hi") - F.col("__lo")
+    of = lambda v: F.when(F.col("__lo").isNull() | (v < F.col("__lo")), F.lit(0)).when(v > F.col("__hi"), F.lit(widths + 1)).otherwise(F.when(wide > 0, F.least(F.floor((v - F.col("__lo")) / wide * widths), F.lit(widths - 1))).otherwise(0).cast("int") + 1)
+    numbered = values.join(span, keys, "left")
+    nan = F.isnan(F.col(value).cast("double"))
+    number = F.col(value).cast("double")
+    numbered = numbered.withColumn("__at", F.when(nan, F.lit(-1)).otherwise(of(number)))
+    every = table.join(span, keys, "left")
+    first = F.when(F.col("lower").isNull(), F.lit(0)).otherwise(of(F.col("lower")))
+    last = F.when(F.col("upper").isNull() | F.col("__lo").isNull(), F.lit(widths + 1)).otherwise(of(F.col("upper")))
+    every = every.withColumn("__at", F.explode(F.concat(F.array(F.lit(-1)), F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)")))))
+    b = F.struct("label", "lower", "upper", "lower_inclusive", "upper_inclusive")
+    listed = every.groupBy(*keys, "__at").agg(F.sort_array(F.collect_list(F.struct("pos", b.alias("b")))).alias("__bins"))
+    out = numbered.join(listed, [*keys, "__at"], "left")
+    return out.withColumn("winner", winning_label(number, F.transform("__bins", lambda x: x["b"]))).drop("__lo", "__hi", "__at", "__bins")
+
+
 def temperature_bounds(label) -> Column:
     """struct(lower, upper, parse_ok) of a label such as 28-30°C, >35°C, <20°C or 30°C.
 

@@ -14,6 +14,8 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,6 +109,58 @@ def walk_forward_rates(panel: DataFrame, stride: int, min_train_rows: int, tiebr
     return Result(trades, _steps(dates, scored, trades))
 
 
+def linear_steps(panel: DataFrame, stride: int, min_train_rows: int, features: list[str] | None = None, link: str = "identity") -> DataFrame:
+    """eval_date, train_rows and coef (intercept first) of a linear model fitted to all rows before each step's date.
+
+    One pass sums each day's products of features and labels; running sums over the days
+    give every step's normal equations, which are solved a row at a time (by least norm
+    where they are singular).  With ``link`` "logit" the coefficients are those of one
+    Newton step of a logistic model from the rate of wins.  Missing features are zero.
+    """
+    if link not in ("identity", "logit"):
+        raise ValueError("link must be identity or logit")
+    panel = nan_free(_prepared(panel))
+    names = features if features is not None else feature_columns(panel)
+    x = [F.lit(1.0), *[F.col(f"`{n}`").cast("double") for n in names]]
+    y = S.won("outcome_label", "winning_label").cast("double")
+    d = len(x)
+    sums = {f"g{i}_{j}": F.sum(x[i] * x[j]) for i in range(d) for j in range(i, d)} | {f"m{i}": F.sum(x[i] * y) for i in range(d)}
+    days = panel.groupBy(F.col("decision_date").alias("eval_date")).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    before = W.orderBy("eval_date").rowsBetween(W.unboundedPreceding, -1)  # a row for each day
+    run = days.select("eval_date", *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(k) for k in sums])
+    steps = _dates(days.select("eval_date", "n"), stride, min_train_rows).join(run, "eval_date")
+
+    @F.pandas_udf("array<double>")
+    def solved(gram: pd.Series, moments: pd.Series) -> pd.Series:
+        out = []
+        for g, m in zip(gram, moments, strict=True):
+            a = np.zeros((d, d))
+            a[np.triu_indices(d)] = g
+            a = a + np.triu(a, 1).T
+            b = np.linalg.lstsq(a, np.asarray(m), rcond=None)[0]
+            if link == "logit":
+                p = min(max(m[0] / max(a[0, 0], 1.0), 1e-9), 1 - 1e-9)
+                b = b / (p * (1 - p))
+                b[0] += np.log(p / (1 - p)) - 1 / (1 - p)
+            out.append(b.tolist())
+        return pd.Series(out)
+
+    grams, moments = [k for k in sums if k[0] == "g"], [k for k in sums if k[0] == "m"]
+    return steps.select("eval_date", "train_rows", solved(F.array(*grams), F.array(*moments)).alias("coef"))
+
+
+def walk_forward_linear(panel: DataFrame, stride: int, min_train_rows: int, tiebreak: list[str], features: list[str] | None = None, link: str = "identity", flat_stake: float = 1.0, bps: float = 30.0) -> Result:
+    """A linear model of the rows before each step, without a fit or a filter for each; probabilities are cut to 0 to 1."""
+    fitted = linear_steps(panel, stride, min_train_rows, features, link)
+    panel = nan_free(_prepared(panel))
+    names = features if features is not None else feature_columns(panel)
+    score = sum((F.col("coef")[k + 1] * F.col(f"`{n}`").cast("double") for k, n in enumerate(names)), F.col("coef")[0])
+    prob = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) if link == "identity" else 1 / (1 + F.exp(-score))
+    scored = panel.join(fitted.withColumnRenamed("eval_date", "decision_date").drop("train_rows"), "decision_date").withColumn("predicted_prob", prob).drop("coef")
+    trades = price_trades(best_outcomes(scored, tiebreak), flat_stake, bps)
+    return Result(trades, _steps(fitted.select("eval_date", "train_rows"), scored, trades))
+
+
 def walk_forward_model(
     panel: DataFrame, make_model: Callable[[], object], stride: int, min_train_rows: int, tiebreak: list[str], flat_stake: float = 1.0, bps: float = 30.0, at_once: int = 3
 ) -> Result:

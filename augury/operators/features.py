@@ -27,6 +27,10 @@ def _framed(df: DataFrame, group_by: str | None, order_by, large_groups: bool, b
     return ordering.framed(df, group_by, order, back, ahead, make)
 
 
+#: Rows of a frame from which a median slides along instead of being taken anew for each row.
+WIDE = 256
+
+
 def _missing_to_null(df: DataFrame, col: str) -> Column:
     return F.when(~F.isnan(col), F.col(col)) if dict(df.dtypes)[col] in ("double", "float") else F.col(col)
 
@@ -54,6 +58,14 @@ def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_
     if unknown:
         raise ValueError(f"unknown statistics: {sorted(unknown)}")
 
+    wide = {f"{col}_roll{n}_median": (col, n) for col in cols for n in windows if n > WIDE and "median" in (stats or ())}
+    if wide:
+        # a median over a window function costs the frame for each row
+        order = [order_by] if isinstance(order_by, str) else list(order_by)
+        df = ordering.sliding_medians(df.withColumns({c: _missing_to_null(df, c) for c in cols}), wide, group_by, order, min_periods)
+        if group_by:
+            df = df.withColumns({name: F.when(F.col(group_by).isNotNull(), F.col(name)) for name in wide})
+
     def make(w: WindowSpec) -> dict[str, Column]:
         out = {}
         for col in cols:
@@ -64,9 +76,13 @@ def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_
                 enough = F.count(v).over(frame) >= min_periods
                 enough = enough & F.col(group_by).isNotNull() if group_by else enough
                 for stat in stats or ["mean", "std"]:
+                    if f"{col}_roll{n}_{stat}" in wide:
+                        continue
                     out[f"{col}_roll{n}_{stat}"] = F.when(enough, made[stat].over(frame))
         return out
 
+    if wide and len(wide) == len(cols) * len(windows) * len(stats or ()):
+        return df
     return _framed(df, group_by, order_by, large_groups, max([0, *windows]), 0, make)
 
 

@@ -38,6 +38,36 @@ def panel_profile(panel: DataFrame) -> DataFrame:
     return panel.agg(F.count("*").alias("n_rows"), F.countDistinct("decision_date").alias("n_dates"), F.countDistinct("market_id").alias("n_markets"))
 
 
+def number_keys(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """key and num, 0, 1, 2 ...: the numbers of ``known`` stay, new keys of ``keys`` (key) go on from there; null keys have none."""
+    fresh = keys.select(F.col("key").cast("string").alias("key")).filter("key is not null").distinct()
+    if known is None:
+        return ordering.ranked(fresh, ["key"]).select("key", F.col("__rank").cast("long").alias("num"))
+    fresh = fresh.join(known, "key", "left_anti")
+    most = known.agg(F.coalesce(F.max("num") + 1, F.lit(0)).alias("__from"))  # one row
+    fresh = ordering.ranked(fresh, ["key"]).crossJoin(F.broadcast(most))
+    return known.select("key", "num").unionByName(fresh.select("key", (F.col("__rank") + F.col("__from")).alias("num")))
+
+
+def daily_profile(panel: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Per day and bucket of 32,768 numbered markets: n_rows and a bitmap of the markets; rows are counted in bucket null once.
+
+    Days add up: a new day needs only its own rows (and ``number_keys`` for its new markets).
+    """
+    p = panel.select(F.col("decision_date").cast("string").alias("day"), F.col("market_id").cast("string").alias("key"))
+    rows = p.groupBy("day").agg(F.count("*").alias("n_rows")).select("day", F.lit(None).cast("long").alias("bucket"), "n_rows", F.lit(None).cast("binary").alias("markets"))
+    n = p.filter("key is not null").distinct().join(numbers, "key")
+    maps = n.groupBy("day", F.bitmap_bucket_number("num").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("num")).alias("markets"))
+    return rows.unionByName(maps.select("day", "bucket", F.lit(0).cast("long").alias("n_rows"), "markets"))
+
+
+def profile_of_days(days: DataFrame) -> DataFrame:
+    """n_rows, n_dates and n_markets, exact, from any days of ``daily_profile``."""
+    markets = days.filter("bucket is not null").groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("markets")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_markets"))
+    rows = days.filter("bucket is null").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.countDistinct("day").alias("n_dates"))
+    return rows.crossJoin(markets)  # one row each
+
+
 def gate_segments(trades: DataFrame, required: list[str], min_trades: int = 40, min_pnl: float = 0.0) -> DataFrame:
     """A row for each required segment: num_trades, total_pnl, passes, reason."""
     require(trades, ["segment", "realized_pnl"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +54,37 @@ def framed(df: DataFrame, group_by: str | None, order_by: list[str], back: int,
     return r.withColumns(make(w)).filter("__to = __chunk").drop("__rank", "__chunk", "__to")
 
 
+def sliding_medians(df: DataFrame, cols: dict[str, tuple[str, int]], group_by: str | None, order_by: list[str], least: int = 1, rows: int | None = None) -> DataFrame:
+    """``df`` with a median over the last n rows for each name of ``cols`` (column, n), for frames and groups of any length.
+
+    Rows are dealt as in ``framed``; a task slides an ordered structure along its chunk, so
+    that a row costs the logarithm of its frame, not the frame.
+    """
+    back = max(n for _, n in cols.values())
+    rows = max(rows or PART_ROWS, back, 1)
+    groups = [group_by] if group_by else []
+    r = ranked(df, [*groups, *order_by]).withColumn("__chunk", F.expr(f"__rank div {rows}"))
+    to = F.array(F.col("__chunk"), F.when(F.col("__rank") % rows >= rows - back, F.col("__chunk") + 1))
+    r = r.withColumn("__to", F.explode(F.filter(to, lambda x: x.isNotNull())))
+    values = {name: f"__v{k}" for k, name in enumerate(cols)}
+    r = r.withColumns({values[name]: F.col(c).cast("double") for name, (c, _) in cols.items()})
+    slim = r.select("__to", "__chunk", "__rank", *[F.col(g).alias("__g") for g in groups], *values.values())
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__rank")
+        out = {"__rank": pdf["__rank"]}
+        by = pdf.groupby("__g", sort=False, dropna=False) if groups else None
+        for name, (_, n) in cols.items():
+            rolled = (by[values[name]] if groups else pdf[values[name]]).rolling(n, min_periods=max(least, 1)).median()
+            out[name] = rolled.droplevel(0).reindex(pdf.index) if groups else rolled
+        own = pdf["__chunk"] == pdf["__to"]
+        return pd.DataFrame(out)[own].astype({"__rank": "int64"})
+
+    found = slim.groupBy("__to").applyInPandas(slide, "__rank long, " + ", ".join(f"`{n}` double" for n in cols))
+    found = found.select("__rank", *[F.when(~F.isnan(n), F.col(f"`{n}`")).alias(n) for n in cols])
+    return r.filter("__to = __chunk").drop("__to", "__chunk", *values.values()).join(found, "__rank").drop("__rank")
+
+
 def quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float], accuracy: int = 100_000) -> DataFrame:
     """One row: for each name of ``cols`` an array of the exact quantiles, linearly interpolated; null without values.
 
@@ -63,13 +95,21 @@ def quantiles(df: DataFrame, cols: dict[str, Column], probs: list[float], accura
     at = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
     v = df.select(*[c.cast("double").alias(n) for n, c in cols.items()])
     cuts = v.agg(*[F.percentile_approx(n, at, accuracy).alias(f"__cut_{n}") for n in names], *[F.count(n).alias(f"__n_{n}") for n in names])
+    cuts = written(cuts)  # a row
     asked = [(n, k, p) for n in names for k, p in enumerate(probs)]
-    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(p).alias("p"), F.col(n).alias("v"), F.get(f"__cut_{n}", F.lit(2 * k)).alias("lo"), F.get(f"__cut_{n}", F.lit(2 * k + 1)).alias("hi"), F.col(f"__n_{n}").alias("n")) for n, k, p in asked])
-    x = v.crossJoin(F.broadcast(cuts)).select(F.explode(cells).alias("x")).select("x.*").filter("v is not null")  # one row of cuts
-    zone = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") <= F.col("hi"), 1).otherwise(2)
-    # of what lies below a bracket the greatest value, of what lies above the least: a rank may be one off its edge
-    found = x.withColumn("zone", zone).groupBy("name", "k", "p", "n", "zone", F.when(F.col("zone") == 1, F.col("v")).alias("value")).agg(F.count("*").alias("many"), F.when(F.col("zone") == 0, F.max("v")).otherwise(F.min("v")).alias("v"))
-    upto = F.sum("many").over(W.partitionBy("name", "k").orderBy("zone", "value"))
+    one = v.crossJoin(F.broadcast(cuts))
+    edge = {(n, k): (F.get(f"__cut_{n}", F.lit(2 * k)), F.get(f"__cut_{n}", F.lit(2 * k + 1))) for n, k, _ in asked}
+    # of what lies below a bracket the number and the greatest value, of what lies above the least: a rank may be one off its edge
+    outside = one.agg(*[x for n, k, _ in asked for x in (
+        F.count_if(F.col(n) < edge[n, k][0]).alias(f"__b_{n}_{k}"), F.max(F.when(F.col(n) < edge[n, k][0], F.col(n))).alias(f"__l_{n}_{k}"), F.min(F.when(F.col(n) > edge[n, k][1], F.col(n))).alias(f"__a_{n}_{k}"))])
+    cell = lambda n, k, zone, value, many: F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(zone).alias("zone"), value.alias("v"), many.cast("long").alias("many"))
+    inside = F.array(*[F.when(F.col(n).between(*edge[n, k]), cell(n, k, 1, F.col(n), F.lit(1))) for n, k, _ in asked])
+    found = one.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).select("x.*").groupBy("name", "k", "zone", "v").agg(F.sum("many").alias("many"))
+    ends = F.array(*[x for n, k, _ in asked for x in (cell(n, k, 0, F.col(f"__l_{n}_{k}"), F.col(f"__b_{n}_{k}")), cell(n, k, 2, F.col(f"__a_{n}_{k}"), F.lit(1)))])
+    found = found.unionByName(outside.select(F.explode(ends).alias("x")).select("x.*").filter("v is not null"))
+    share_of = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.lit(p).alias("p"), F.col(f"__n_{n}").alias("n")) for n, k, p in asked])
+    found = found.join(F.broadcast(cuts.select(F.explode(share_of).alias("x")).select("x.*")), ["name", "k"])  # a row for each quantile
+    upto = F.sum("many").over(W.partitionBy("name", "k").orderBy("zone", "v"))
     rank = F.col("p") * (F.col("n") - 1)
     found = found.withColumn("upto", upto).withColumn("rank", rank)
     first, second = (F.min(F.when(F.col("upto") > F.floor("rank") + i, F.col("v"))) for i in (0, 1))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from augury.functions import bins
 from augury.functions import scalars as S
-from augury.operators import backtest, features, markets, metrics, models, report, trading
+from augury.operators import backtest, features, markets, metrics, models, ordering, report, trading
 from augury.plans.queries import GATE_SQL, SCORE_SQL, SETTLE_SQL, WALK_SQL, _gate, _listed, _QSQL, _scored, _settled, query, r6, trades_to_settle, walk
 from augury.plans.views import PANEL_SQL, SIGNALS_SQL, panel, signals, specs, table
 from augury.plugins.base import PluginRegistry
@@ -80,18 +82,20 @@ def q50(spark, sf_dir):
     return out.select("total_trades", F.round("total_pnl", 4).alias("total_pnl"), *r6("hit_rate", "avg_edge"), "steps")
 
 
-@query("q51_champion_segments", f"WITH {PANEL_SQL} SELECT segment, count(*) AS n, 1.0::DOUBLE AS predicted_prob FROM panel WHERE segment IN ('S0', 'S3') GROUP BY segment")
+@query("q51_champion_segments", WALK_SQL + """, passed AS (SELECT segment FROM trades WHERE segment IN ('S0', 'S3', 'S5') GROUP BY segment HAVING count(*) >= 1 AND sum(realized_pnl) >= -1e9)
+SELECT segment, feature_hour, count(*) AS n, CASE WHEN feature_hour >= 12 THEN 1.0 ELSE 0.0 END::DOUBLE AS predicted_prob FROM panel SEMI JOIN passed USING (segment) GROUP BY segment, feature_hour""")
 def q51(spark, sf_dir):
-    """A model of one class, published with its gate and read back: its segments, and what it predicts there."""
+    """A tree of one split, which hours decide, fitted, published with its gate, read back and asked about the allowed segments."""
     p = panel(spark, sf_dir)
-    m = models.SparkForecaster("logistic_regression").fit(p.withColumn("label", F.lit(1.0)), ["feature_value"])
+    tree = DecisionTreeClassifier(maxDepth=1, maxBins=32)
+    m = models.SparkForecaster(tree).fit(p.withColumn("label", (F.col("feature_hour") >= 12).cast("double")), ["feature_hour"])
     trades = walk(spark, sf_dir).trades
-    segments = metrics.gate_segments(trades, ["S0", "S3"], min_trades=1, min_pnl=-1e9)
+    segments = metrics.gate_segments(trades, ["S0", "S3", "S5"], min_trades=1, min_pnl=-1e9)
     folder = files.scratch(spark)
     models.Champion.publish(folder, m, models.gate_to_dict(segments, metrics.gate_decision(trades, segments)), "weather_tmax")
     back = models.Champion.load(f"{folder}/champion.json")
     scored = back.load_model().predict_proba(p.filter(F.col("segment").isin(sorted(back.allowed_segments()))))
-    return scored.groupBy("segment").agg(F.count("*").alias("n"), F.avg("predicted_prob").alias("predicted_prob"))
+    return scored.groupBy("segment", "feature_hour").agg(F.count("*").alias("n"), F.avg("predicted_prob").alias("predicted_prob"))
 
 
 # listings
@@ -249,12 +253,15 @@ def q59(spark, sf_dir):
     return rows.select("market_id", "winning_label", "outcome_label", "feature_historical_win_rate", "market_price")
 
 
-@query("q60_plugin_families", "SELECT unnest([0, 1]) AS pos, unnest(['sports_f1', 'weather_tmax']) AS family")
+@query("q60_plugin_families", "SELECT 'sports_f1' AS family, 0 AS pos, count(*) AS specs FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'weather_tmax', 1, count(*) FROM part WHERE p_partkey % 4 <> 0")
 def q60(spark, sf_dir):
+    """The registered families in order, and how many markets each finds."""
     reg = PluginRegistry()
-    reg.register(TemperaturePlugin())
+    reg.register(TemperaturePlugin(year=2024))
     reg.register(RacePlugin())
-    return spark.createDataFrame(list(enumerate(reg.list_families())), "pos int, family string")
+    raw = {"sports_f1": _raw(spark, sf_dir), "weather_tmax": _raw(spark, sf_dir).filter("p_partkey % 4 <> 0")}
+    found = [reg.get(f).discover_markets(raw[f]).groupBy().agg(F.lit(f).alias("family"), F.lit(k).alias("pos"), F.count("*").alias("specs")) for k, f in enumerate(reg.list_families())]
+    return found[0].unionByName(found[1])
 
 
 @query("q60_feature_columns", "SELECT unnest(['feature_hour', 'feature_value']) AS name")
@@ -354,10 +361,13 @@ def q64(spark, sf_dir):
     return trading.dry_run_orders(orders, "now").select(F.regexp_extract("token_id", "[0-9]+", 0).cast("long").alias("p_partkey"), "order_id", "side", "status")
 
 
-@query("q64_preflight", "SELECT unnest([true, true, false]) AS credentials, unnest([true, false, true]) AS healthy, unnest([true, false, false]) AS ok, unnest([0, 1, 1]) AS n_messages")
+@query("q64_preflight", "SELECT credentials, healthy, ok, n_messages, CASE WHEN ok THEN (SELECT count(*) FROM part WHERE p_partkey % 10 > 0 AND p_size > 3 AND p_partkey % 3 < 2) ELSE 0 END AS orders FROM (SELECT unnest([true, true, false]) AS credentials, unnest([true, false, true]) AS healthy, unnest([true, false, false]) AS ok, unnest([0, 1, 1]) AS n_messages)")
 def q64p(spark, sf_dir):
+    """How many of the table's orders may go after each preflight."""
+    good = q64(spark, sf_dir).filter("status = 'dry_run'").count()
     cases = [(True, True), (True, False), (False, True)]
-    return spark.createDataFrame([(*c, (r := trading.preflight(*c))["ok"], len(r["messages"])) for c in cases], "credentials boolean, healthy boolean, ok boolean, n_messages int")
+    rows = [(*c, (r := trading.preflight(*c))["ok"], len(r["messages"]), good if r["ok"] else 0) for c in cases]
+    return spark.createDataFrame(rows, "credentials boolean, healthy boolean, ok boolean, n_messages int, orders long")
 
 
 @query("q65_report_curve", f"""WITH {SIGNALS_SQL}, t AS (SELECT target_date || '#' || lpad(o_orderkey::VARCHAR, 12, '0') AS r, best_edge * 3 - 0.5 AS pnl FROM signals WHERE o_orderkey % 4 <> 0),
@@ -395,6 +405,80 @@ def q69(spark, sf_dir):
     return metrics.equity_curve(t, ["ts", "event_id"]).select("event_id", F.round("cumulative_pnl", 4).alias("cumulative_pnl"))
 
 
+@query("q71_walkforward_linear", f"""WITH {PANEL_SQL}, daily AS (SELECT decision_date AS d, count(*) AS n, sum(feature_value) AS sx, sum(feature_value * feature_value) AS sxx, sum((outcome_label = winning_label)::INT) AS sy, sum(CASE WHEN outcome_label = winning_label THEN feature_value ELSE 0 END) AS sxy FROM panel GROUP BY 1),
+run AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sxx) OVER w AS sxx, sum(sy) OVER w AS sy, sum(sxy) OVER w AS sxy FROM daily WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fit AS (SELECT d, n, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS a FROM run WHERE i % 3 = 0 AND n >= 20),
+scored AS (SELECT p.*, least(1.0::DOUBLE, greatest(0.0::DOUBLE, a + b * feature_value)) AS prob FROM panel p JOIN fit ON decision_date = d)
+SELECT event_id, round(prob, 6) AS predicted_prob, round(market_price, 6) AS market_price FROM scored""")
+def q71(spark, sf_dir):
+    """Every step's model from running sums over days; every row of the chosen days scored."""
+    p = panel(spark, sf_dir)
+    fitted = backtest.linear_steps(p, 3, 20, ["feature_value"])
+    scored = p.join(fitted.withColumnRenamed("eval_date", "decision_date"), "decision_date")
+    prob = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coef")[0] + F.col("coef")[1] * F.col("feature_value")))
+    return scored.select("event_id", F.round(prob, 6).alias("predicted_prob"), F.round("market_price", 6).alias("market_price"))
+
+
+@query("q71_walkforward_linear_steps", WALK_SQL + "SELECT eval_date, train_rows, (SELECT count(*) FROM panel WHERE decision_date = eval_date) AS eval_rows, (SELECT count(DISTINCT market_id) FROM panel WHERE decision_date = eval_date) AS trades FROM dates")
+def q71s(spark, sf_dir):
+    return backtest.walk_forward_linear(panel(spark, sf_dir), 3, 20, ["event_id"], ["feature_value", "feature_hour"], "logit").steps
+
+
+@query("q72_report_curve_extremes", f"""WITH {SIGNALS_SQL}, t AS (SELECT target_date || '#' || lpad(o_orderkey::VARCHAR, 12, '0') AS r, best_edge * 3 - 0.5 AS pnl FROM signals WHERE o_orderkey % 4 <> 0),
+c AS (SELECT row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n, sum(pnl) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS v FROM t), g AS (SELECT *, k * 720 // n AS col FROM c)
+SELECT col, round(max(v), 4) AS hi, round(min(v), 4) AS lo, round(arg_min(v, k), 4) AS first, round(arg_max(v, k), 4) AS last FROM g GROUP BY col""")
+def q72(spark, sf_dir):
+    s = signals(spark, sf_dir).filter("o_orderkey % 4 <> 0")
+    t = s.select("city_or_segment", "target_date", "horizon", F.concat("target_date", F.lit("#"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("recorded_at"), (F.col("best_edge") * 3 - 0.5).alias("realized_pnl"))
+    v = F.col("cumulative_pnl")
+    g = report.curve_extremes(t).groupBy(F.col("column").alias("col")).agg(F.max(v).alias("hi"), F.min(v).alias("lo"), F.min_by(v, "rank").alias("first"), F.max_by(v, "rank").alias("last"))
+    return g.select("col", *[F.round(x, 4).alias(x) for x in ("hi", "lo", "first", "last")])
+
+
+@query("q73_median_of_wide_frames", "SELECT event_id, round(median(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW), 6) AS value_roll10000_median FROM events")
+def q73(spark, sf_dir):
+    out = features.add_rolling_stats(table(spark, sf_dir, "events"), ["value"], [10_000], ["ts", "event_id"], ["median"])
+    return out.select("event_id", *r6("value_roll10000_median"))
+
+
+@query("q73_median_of_wide_frames_grouped", "SELECT event_id, round(median(value) OVER w, 6) AS value_roll500_median, round(max(value) OVER w, 6) AS value_roll500_max FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)")
+def q73g(spark, sf_dir):
+    out = features.add_rolling_stats(table(spark, sf_dir, "events"), ["value"], [500], ["ts", "event_id"], ["median", "max"], "event_type")
+    return out.select("event_id", *r6("value_roll500_median", "value_roll500_max"))
+
+
+@query("q74_first_bin_of_a_table", """WITH b AS (SELECT p_size % 5 AS k, p_partkey AS pos, 'b' || p_partkey AS label, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 40 * 30)::DOUBLE END AS lo, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey % 40 * 30 + p_partkey % 50)::DOUBLE END AS hi, p_partkey % 2 = 0 AS li, p_partkey % 3 = 0 AS ui FROM part WHERE p_partkey % 9 = 0),
+v AS (SELECT o_orderkey, o_orderkey % 6 AS k, (floor(o_totalprice)::BIGINT % 1400)::DOUBLE AS value FROM orders)
+SELECT o_orderkey, any_value(value) AS value, arg_min(label, pos) AS winner FROM v LEFT JOIN b ON v.k = b.k AND (lo IS NULL OR value > lo OR (li AND value = lo)) AND (hi IS NULL OR value < hi OR (ui AND value = hi)) GROUP BY o_orderkey""")
+def q74(spark, sf_dir):
+    """Bins as rows, open and closed, bounded and not, of several keys, and orders' prices looked up in them."""
+    k = F.col("p_partkey")
+    low = (k % 40 * 30).cast("double")
+    b = table(spark, sf_dir, "part").filter(k % 9 == 0).select(
+        (F.col("p_size") % 5).cast("long").alias("k"), k.alias("pos"), F.concat(F.lit("b"), k.cast("string")).alias("label"), F.when(k % 7 != 0, low).alias("lower"), F.when(k % 11 != 0, low + k % 50).alias("upper"), (k % 2 == 0).alias("lower_inclusive"), (k % 3 == 0).alias("upper_inclusive")
+    )
+    v = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).cast("long").alias("k"), (F.floor("o_totalprice").cast("long") % 1400).cast("double").alias("value"))
+    return bins.first_bins(v, b, ["k"]).select("o_orderkey", "value", "winner")
+
+
+@query("q75_profile_by_days", f"WITH {PANEL_SQL} SELECT count(*) AS n_rows, count(DISTINCT decision_date) AS n_dates, count(DISTINCT market_id) AS n_markets FROM panel")
+def q75(spark, sf_dir):
+    """The profile from bitmaps of days that were written one part after the other."""
+    p, root = panel(spark, sf_dir), files.scratch(spark)
+    old = F.dayofmonth("ts") <= 15
+    numbers = ordering.written(metrics.number_keys(p.filter(old).select(F.col("market_id").alias("key"))))
+    metrics.daily_profile(p.filter(old), numbers).write.parquet(f"{root}/days/part=1")
+    numbers = ordering.written(metrics.number_keys(p.filter(~old).select(F.col("market_id").alias("key")), numbers))
+    metrics.daily_profile(p.filter(~old), numbers).write.parquet(f"{root}/days/part=2")
+    return metrics.profile_of_days(spark.read.parquet(f"{root}/days"))
+
+
+@query("q61_answers_by_key", "SELECT 'r' || p_partkey AS request, '{\"mid\": \"' || p_partkey || '\"}' AS value FROM part WHERE p_partkey <= 40 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def q61k(spark, sf_dir):
+    """Forty requests looked up by key among all answers."""
+    return _answers(spark, sf_dir).get([f"r{k}" for k in range(1, 41)], _NOW)
+
+
 # calibration
 
 _POOLED_SQL = (

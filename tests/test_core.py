@@ -452,3 +452,103 @@ def test_commands(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "settled 1, pending 0" in out and "trades 1, open 0, settled 1" in out and "champion: champion" in out
     assert cli.main(["workspace", "w"]) == 2 and cli.main(["workspace", "w", "true"]) == 0
+
+
+# steps from running sums, curves, wide frames, bins as a table, bitmaps
+
+
+def test_linear_steps_equal_fits_from_scratch(spark):
+    r = np.random.default_rng(3)
+    rows = [(f"m{k}", f"2024-01-{1 + k // 12:02d}", "a", "a" if r.random() < 0.6 else "b", 0.5, float(x), None if k % 17 == 0 else float(z), float(2 * x)) for k, (x, z) in enumerate(r.normal(size=(240, 2)))]
+    p = spark.createDataFrame(rows, "market_id string, decision_date string, outcome_label string, winning_label string, market_price double, feature_x double, feature_z double, feature_twice double")
+    for link in ("identity", "logit"):
+        for features in (["feature_x", "feature_z"], ["feature_x", "feature_twice"]):
+            steps = {s.eval_date: s for s in backtest.linear_steps(p, 3, 20, features, link).collect()}
+            assert len(steps) == 6
+            at = [{"feature_x": 5, "feature_z": 6, "feature_twice": 7}[f] for f in features]
+            for day, s in steps.items():
+                own = [row for row in rows if row[1] < day]
+                x = np.array([[1.0, *[row[i] or 0.0 for i in at]] for row in own])
+                y = np.array([float(row[2] == row[3]) for row in own])
+                want = np.linalg.lstsq(x, y, rcond=None)[0]
+                if link == "logit":  # one step of Newton's method from the rate
+                    q = y.mean()
+                    start = np.array([np.log(q / (1 - q)), *[0.0] * len(features)])
+                    want = start + np.linalg.lstsq(x * np.sqrt(q * (1 - q)), (y - q) / np.sqrt(q * (1 - q)), rcond=None)[0]
+                assert s.train_rows == len(own) and np.allclose(x @ np.array(s.coef), x @ want, atol=1e-6)
+    out = backtest.walk_forward_linear(p, 3, 20, ["outcome_label"], ["feature_x"], "logit")
+    assert out.trades.count() == 6 * 12 and all(0 < t.predicted_prob < 1 for t in out.trades.collect())
+    with pytest.raises(ValueError):
+        backtest.linear_steps(p, 3, 20, link="probit")
+    assert backtest.walk_forward_linear(p.limit(0), 3, 20, ["outcome_label"]).trades.count() == 0
+
+
+def test_a_peak_of_one_trade_is_in_the_picture(spark, tmp_path):
+    n = 5000
+    pnl = [0.1 if k % 2 else -0.1 for k in range(n)]
+    pnl[2500], pnl[2501] = 1000.0, -1000.0
+    t = spark.createDataFrame([(f"2024-01-01T{k:06d}", "c", "d", "h", v) for k, v in enumerate(pnl)], "recorded_at string, city_or_segment string, target_date string, horizon string, realized_pnl double")
+    points = report.curve_extremes(t).collect()
+    curve = np.cumsum(pnl)
+    assert max(p.cumulative_pnl for p in points) == pytest.approx(curve.max()) and len(points) <= 4 * report.COLUMNS
+    by = {}
+    for p in points:
+        assert p.cumulative_pnl == pytest.approx(curve[p.rank])
+        by.setdefault(p.column, []).append((p.rank, p.cumulative_pnl))
+    assert len(by) == report.COLUMNS and all(min(v)[0] == min(k for k in range(n) if k * report.COLUMNS // n == c) for c, v in by.items())
+    html = report.write_report(t.withColumns({c: F.lit(None).cast("double") for c in ("flat_stake", "edge_after_fee", "gamma_price")}).withColumns({c: F.lit(None).cast("string") for c in ("outcome_label", "outcome")}), str(tmp_path / "r.html")).read_text()
+    line = html.split('points="')[1].split('"')[0].split()
+    assert min(float(p.split(",")[1]) for p in line) == report.PAD
+    assert report.svg([]) == "" and report.curve_extremes(t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_medians_slide_over_chunks_and_groups(spark, group):
+    r = np.random.default_rng(1)
+    rows = [(k, None if k % 50 == 3 else "ab"[k % 2 if k < 500 else 0], None if k % 7 == 0 else float("nan") if k % 11 == 0 else float(v)) for k, v in enumerate(r.normal(size=900))]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    out = {x.id: x.m for x in ordering.sliding_medians(df.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), {"m": ("v", 300)}, group, ["id"], 2, rows=310).collect()}
+    assert len(out) == len(rows)
+    for k, g, _ in rows:
+        frame = [x[2] for x in rows if x[0] <= k and (group is None or x[1] == g)][-300:]
+        frame = [v for v in frame if v is not None and v == v]
+        want = float(np.median(frame)) if len(frame) >= 2 else None
+        assert out[k] == pytest.approx(want) if want is not None else out[k] is None
+    made = features.add_rolling_stats(df, ["v"], [300, 4], ["id"], ["median", "max"], group)
+    assert {"v_roll300_median", "v_roll300_max", "v_roll4_median", "v_roll4_max"} <= set(made.columns) and made.count() == len(rows)
+
+
+def test_bins_of_a_table_meet_by_equality(spark):
+    r = random.Random(2)
+    some = lambda: r.choice([None, None, float("nan"), *[float(r.randrange(-20, 20)) for _ in range(9)]])
+    table = [(r.choice("xyz"), k, f"b{k}", some(), some(), r.random() < 0.5, r.random() < 0.5) for k in range(60)] + [("open", 1, "all", None, None, True, True), ("one", 1, "point", 3.0, 3.0, True, True), ("turned", 1, "none", 5.0, 1.0, True, True)]
+    values = [(k, r.choice("xyz"), some()) for k in range(400)] + [(900 + i, g, v) for i, (g, v) in enumerate((g, v) for g in ("open", "one", "turned", "nokey") for v in (None, float("nan"), 3.0, 2.0, 9.0))]
+    b = spark.createDataFrame(table, "g string, pos int, label string, lower double, upper double, lower_inclusive boolean, upper_inclusive boolean")
+    out = bins.first_bins(spark.createDataFrame(values, "id int, g string, value double"), b, ["g"], widths=5)
+    listed = b.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("label", "lower", "upper", "lower_inclusive", "upper_inclusive").alias("b")))).alias("l"))
+    want = spark.createDataFrame(values, "id int, g string, value double").join(listed, "g", "left").select("id", bins.winning_label(F.col("value"), F.transform("l", lambda x: x["b"])).alias("w"))
+    assert {(x.id, x.winner) for x in out.collect()} == {(x.id, x.w) for x in want.collect()} and out.count() == len(values)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_day_more_reads_only_that_day(spark, tmp_path):
+    rows = [(f"2024-01-{1 + k % 5:02d}", None if k % 40 == 0 else f"m{k * k % 97}") for k in range(500)]
+    p = spark.createDataFrame(rows, "decision_date string, market_id string")
+    numbers, got = None, str(tmp_path / "days")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"):
+        own = p.filter(F.col("decision_date") == day)
+        numbers = ordering.written(metrics.number_keys(own.select(F.col("market_id").alias("key")), numbers))
+        metrics.daily_profile(own, numbers).write.mode("append").parquet(got)
+    assert numbers.count() == numbers.select("num").distinct().count() == len({m for _, m in rows if m})
+    assert metrics.profile_of_days(spark.read.parquet(got)).first() == metrics.panel_profile(p).select("n_rows", "n_dates", "n_markets").first()
+    assert tuple(metrics.profile_of_days(spark.read.parquet(got).limit(0)).first()) == (0, 0, 0)
+
+
+def test_quantiles_of_few_and_equal_values(spark):
+    for values in ([], [1.0], [2.0, 2.0, 2.0], [1.0, 2.0], [None, 3.0, 1.0, 2.0], list(map(float, range(101)))):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = ordering.quantiles(df, {"v": F.col("v")}, [0.25, 0.75, 1.0]).first().v
+        have = [v for v in values if v is not None]
+        want = np.quantile(have, [0.25, 0.75, 1.0]).tolist() if have else [None] * 3
+        assert got == pytest.approx(want) if have else got == want
