@@ -117,12 +117,13 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str] | list[tuple[str, str]] | None = None, coverage: float = COVERAGE):
         self.coverage = coverage
         self.vocabulary: dict[str, int] = {}
         self.names, self.ids = [], []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for name, text in sorted((templates or TEMPLATES).items()):
+        templates = templates or TEMPLATES
+        for name, text in sorted(templates.items() if isinstance(templates, dict) else templates):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], dtype=np.int64)
             for at, h in winnow(ids):
                 self.index[h].append((len(self.ids), at))
@@ -184,16 +185,19 @@ class Scanner:
         return None if got is None or got[0] < self.coverage * len(own) else (got[0], t, lo + got[3], lo + got[4])
 
 
-def templates_from(table: DataFrame, most_bytes: int = 16 << 20) -> dict[str, str]:
-    """Templates of a table (columns template, text), whose texts may have ``most_bytes`` in all; null texts are left out."""
+def templates_from(table: DataFrame, most_bytes: int = 16 << 20) -> list[tuple[str, str]]:
+    """Templates of a table (columns template, text), whose texts may have ``most_bytes`` in all; null texts are left out.
+
+    A name may have several texts; each is a template.
+    """
     rows = table.select(F.col("template").cast("string").alias("template"), "text").filter("template is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > most_bytes:
         raise ValueError(f"templates have {size} bytes, more than {most_bytes}")
-    return {r[0]: r[1] for r in rows.orderBy("template", "text").collect()}  # at most most_bytes
+    return sorted({(r[0], r[1]) for r in rows.collect()})  # at most most_bytes
 
 
-def scan_documents(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan_documents(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row for each match: doc_id, template, start, end, matched_words, template_words, coverage."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 

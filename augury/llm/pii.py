@@ -115,8 +115,11 @@ _GENERATORS = (
     ("card", re.compile(r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b|\b[0-9]{13,19}\b")),
     ("id", re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")),
     ("id", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{20,200}(?![A-Za-z0-9_+/=.-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{20,}(?![A-Za-z0-9_+/=.-])")),
 )
+#: What a word for a secret is followed by, with or without digits.
+_HINTED = re.compile(r"\b(?:passwords?|passwd|passphrase|pwd|secret|token|credentials?|bearer|api[_ -]?key)\b[\"']?\s?(?:is|:=|=>|=|:)\s?[\"']?([^\s\"'<>,;]{6,})", re.I)
+_HINT_PARTS = ("passw", "passp", "pwd", "secret", "token", "credential", "bearer", "api")
 ADDED_KINDS = ("email", "card", "phone", "id", "secret")
 _FOR = {
     "phone": ("call", "phone", "tel", "mobile", "fax", "whatsapp", "dial", "ring"),
@@ -150,6 +153,11 @@ def candidates(text: str) -> list[Span]:
                 # a secret has digits and letters
                 if kind != "secret" or _DIGIT.search(m[0]) and any(map(str.isalpha, m[0])):
                     out.append((kind, *m.span()))
+    low = text.lower()
+    if any(h in low for h in _HINT_PARTS):
+        for m in _HINTED.finditer(text):
+            end = m.end(1) - (m[1][-1] in ".!?)")
+            out.append(("secret", m.start(1), end))
     return list(dict.fromkeys(out))
 
 
@@ -203,7 +211,7 @@ def _examples(n: int, seed: int, part: int = 0) -> Iterator[tuple[str, Span, int
             ("card", 0): lambda: r.choice([card(False, " "), num(13), num(18), card(False, "")]),
             ("id", 1): lambda: r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}"]),
             ("id", 0): lambda: r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"AB{num(2)} {num(4)} {num(4)} {num(4)}"]),
-            ("secret", 1): lambda: r.choice([from_(hexa, 32) + "0a", from_(mixed, r.randint(24, 40)) + "7q", "pk-" + from_(mixed, 32) + "x3"]),
+            ("secret", 1): lambda: r.choice([from_(hexa, 32) + "0a", from_(mixed, r.randint(24, 40)) + "7q", "pk-" + from_(mixed, 32) + "x3", f"{word()}{word()}{word()}", from_(mixed[:52], r.randint(10, 30))]),
             ("secret", 0): lambda: r.choice([from_(hexa, 40) + "a1", f"{word()}-{word()}-{word()}-{word()}-{word()}-{num(4)}", f"/{word()}/{word()}/{word()}{num(1)}/{word()}.{word()}"]),
         },
         {
@@ -215,7 +223,7 @@ def _examples(n: int, seed: int, part: int = 0) -> Iterator[tuple[str, Span, int
             ("card", 0): lambda: r.choice([card(False, "-"), num(14), num(17), num(19)]),
             ("id", 1): lambda: r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"GB{num(2)}ABCD{num(14)}", f"FR{num(2)}{num(4)}{num(4)}{num(4)}{num(4)}{num(4)}{num(3)}"]),
             ("id", 0): lambda: r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"XK{num(2)} {num(4)} {num(4)} {num(4)}"]),
-            ("secret", 1): lambda: r.choice([from_(hexa, 46) + "c4", from_(mixed + "+/", 38) + "9Z", "live_" + from_(mixed, 24) + "k8"]),
+            ("secret", 1): lambda: r.choice([from_(hexa, 46) + "c4", from_(mixed + "+/", 38) + "9Z", "live_" + from_(mixed, 24) + "k8", f"{word()}{word()}{word()}{word()}", f"{word()}-{word()}_{word()}", from_(mixed[:52], r.randint(12, 40))]),
             ("secret", 0): lambda: r.choice([from_(hexa, 64), "-".join(from_(hexa, k) for k in (8, 4, 4, 4, 11)) + "7", f"{word()}_{word()}_{word()}_{word()}_{word()}_v{num(2)}", f"www.{word()}.{word()}/{word()}/{num(4)}"]),
         },
     ][part]
@@ -239,6 +247,8 @@ def _examples(n: int, seed: int, part: int = 0) -> Iterator[tuple[str, Span, int
 class Model:
     trees: boosting.Boosted
     thresholds: dict[str, float]
+    #: Kinds for which calibration asked for less than one half, the floor.
+    at_floor: tuple[str, ...] = ()
 
 
 @functools.lru_cache(maxsize=4)
@@ -251,7 +261,7 @@ def train(examples: int = 4000, seed: int = 7, precision: float = 0.97) -> Model
     trees = boosting.fit(x, y, calibrate=(cx[::2], cy[::2]))
     p, ty = trees.probability(cx[1::2]), cy[1::2]
     kinds = np.array([s[0] for _, s, _ in other[1::2]])
-    thresholds = {}
+    thresholds, at_floor = {}, []
     for kind in ADDED_KINDS:
         own, cut = kinds == kind, 2.0
         for level in sorted(set(p[own]), reverse=True):
@@ -260,7 +270,8 @@ def train(examples: int = 4000, seed: int = 7, precision: float = 0.97) -> Model
                 break
             cut = float(level)
         thresholds[kind] = max(cut, 0.5)
-    return Model(trees, thresholds)
+        at_floor += [kind] * (cut < 0.5)
+    return Model(trees, thresholds, tuple(at_floor))
 
 
 class _Taken:

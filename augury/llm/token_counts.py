@@ -41,7 +41,7 @@ def context_table(hist: DataFrame) -> DataFrame:
 
     docs_at_least and tokens_at_least are suffix sums from L on; truncated_total is
     the sum of min(length, L); docs_over counts documents that lose tokens;
-    docs_at_most / docs_total is the quantile that L is.  The histogram is written
+    quantile, docs_at_most / docs_total, is the share of documents that fit whole.  The histogram is written
     first, since blocks and lengths both read it and each reading would encode anew.
     """
     h = materialise(hist).select(
@@ -71,10 +71,18 @@ def context_table(hist: DataFrame) -> DataFrame:
         "*",
         (F.col("docs_at_least") - F.col("n_docs")).alias("docs_over"),
         (F.col("docs_total") - F.col("docs_at_least") + F.col("n_docs")).alias("docs_at_most"),
+        ((F.col("docs_total") - F.col("docs_at_least") + F.col("n_docs")) / F.col("docs_total")).alias("quantile"),
         (F.col("tokens_total") - F.col("tokens_at_least") + F.col("context_limit") * F.col("docs_at_least")).alias("truncated_total"),
     )
 
 
+def quantiles(table: DataFrame, probs: list[float]) -> DataFrame:
+    """prob and context_limit: the least length that at least this share of the documents does not exceed; exact."""
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("prob")) for p in probs])
+    far = table.select("context_limit", F.inline(F.filter(asked, lambda p: F.col("docs_at_most") >= p["prob"] * F.col("docs_total"))))
+    return far.groupBy("prob").agg(F.min("context_limit").alias("context_limit"))
+
+
 def truncated_totals(table: DataFrame, limits: DataFrame) -> DataFrame:
     """truncated_total for any limits (column context_limit), whether a document has that length or not.
 

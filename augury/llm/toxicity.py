@@ -6,8 +6,11 @@ labels through that formula, so the model also says which sentence offends.
 
 A sentence's score is what its features add to the fitted background rate: it stays
 clean with probability (1 + e^bias) / (1 + e^logit).  Sentences without any weighted
-feature add nothing, and sentences with the same weighted features count once, so that
-neither harmless nor repeated sentences reject a text for its length.
+feature add nothing, and sentences with the same weighted features count once.  Clean
+sentences that hold weighted features add a little each; in texts with more of these than
+any document fitted on, what so many clean ones are likely to add (their mean, and
+``SPREAD`` deviations) is taken off.  So neither harmless nor repeated nor many sentences
+reject a text for its length.
 
 Fitting uses a bounded sample of labelled documents (``sample_docs``, of texts of at
 most ``SAMPLE_CHARS``), taken by the order of a hash of the id; features are hashes of
@@ -24,7 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,8 @@ SAMPLE_DOCS = 5_000
 SAMPLE_CHARS = 32_768
 #: Features of fewer distinct toxic sentences are not used.
 MIN_SENTENCES = 4
+#: Deviations of the clean sentences' sum that a long text is granted.
+SPREAD = 4.0
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 _ENDS = frozenset(".!?\n")
 
@@ -48,6 +53,15 @@ _ENDS = frozenset(".!?\n")
 class Model:
     weights: dict[str, float]
     bias: float
+    #: What a clean sentence with weighted features adds: mean and mean square; and the most such sentences of a document fitted on.
+    clean: tuple[float, float] = (0.0, 0.0)
+    usual: int = 1 << 62
+
+    def allowance(self, n: int) -> float:
+        """What ``n`` distinct clean sentences with weighted features are likely to add, above the usual number of them."""
+        mean, square = self.clean
+        of = lambda k: mean * k + SPREAD * (square * k) ** 0.5
+        return max(0.0, of(n) - of(self.usual)) if n > self.usual else 0.0
 
 
 def lowered(text: str) -> str:
@@ -109,6 +123,67 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
     sample = training_sample(docs, labels, sample_docs)
     bags = map_rows(sample, ["text", "toxic"], "bag binary, toxic int", lambda: _bags).collect()  # at most sample_docs rows
     bags = sorted((bytes(b), y) for b, y in bags if b)
+    if not bags:
+        return Model({}, -6.0)
+    # what clean sentences add is measured on those that a model of the other half has not seen
+    halves = [[x for x in bags if zlib.crc32(x[0]) % 2 == k] for k in (0, 1)]
+    adds = np.concatenate([_clean_adds(_solve(halves[k], rounds, shrink, rate), halves[1 - k], halves[k]) for k in (0, 1)])
+    out = _solve(bags, rounds, shrink, rate)
+    usual = max((len(np.unique(row)) for row in _heavy(out, bags)), default=0)
+    return replace(out, clean=(float(adds.mean()), float((adds**2).mean())) if len(adds) else (0.0, 0.0), usual=usual)
+
+
+def _sentences(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes of a document and the sentence of each."""
+    x = np.frombuffer(bag, dtype="<u4")
+    ends = x == 0
+    return x[~ends], (np.cumsum(ends) - ends)[~ends]
+
+
+def _weigh(model: Model, words: np.ndarray) -> np.ndarray:
+    known = np.array(sorted(model.weights), dtype=np.int64)
+    if not len(known):
+        return np.zeros(len(words))
+    weights = np.array([model.weights[h] for h in known.tolist()])
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, weights[at], 0.0)
+
+
+def _heavy(model: Model, bags: list[tuple[bytes, int]]) -> Iterator[np.ndarray]:
+    """Of each document the sentences of its weighted features."""
+    for bag, _ in bags:
+        words, sentence = _sentences(bag)
+        yield sentence[_weigh(model, words) > 0]
+
+
+def _keys(words: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """A hash of each sentence's features."""
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    out = np.zeros(int(sentence[-1]) + 1 if len(sentence) else 0, dtype=np.uint64)
+    np.add.at(out, sentence, mixed)
+    return out
+
+
+def _clean_adds(model: Model, bags: list[tuple[bytes, int]], seen: list[tuple[bytes, int]]) -> np.ndarray:
+    """What distinct sentences with weighted features of clean documents add, without those that are also in ``seen``."""
+    known = {k for bag, _ in seen for k in _keys(*_sentences(bag)).tolist()}
+    out = []
+    for bag, toxic in bags:
+        words, sentence = _sentences(bag)
+        if toxic or not len(words):
+            continue
+        z = np.bincount(sentence, weights=_weigh(model, words), minlength=int(sentence[-1]) + 1)
+        keys = _keys(words, sentence).tolist()
+        for k in np.flatnonzero(z > 0).tolist():
+            if keys[k] not in known:
+                known.add(keys[k])
+                out.append(np.logaddexp(0, min(model.bias + z[k], 30)) - np.logaddexp(0, min(model.bias, 30)))
+    return np.array(out)
+
+
+def _solve(bags: list[tuple[bytes, int]], rounds: int, shrink: float, rate: float) -> Model:
+    """Weights and bias by proximal gradient steps."""
     if not bags:
         return Model({}, -6.0)
     flat = [np.frombuffer(b, dtype="<u4") for b, _ in bags]
@@ -171,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
 
 class Scorer:
     def __init__(self, model: Model):
-        self.bias, self.by_hash = model.bias, model.weights
+        self.model, self.bias, self.by_hash = model, model.bias, model.weights
         #: A word's weight, the sum over its features; infinite for what ends a sentence.
         self.weights = WordCache(lambda w: np.inf if w[0] in _ENDS else sum(self.by_hash.get(f, 0.0) for f in word_features(w)))
 
@@ -211,7 +286,11 @@ class Scorer:
             by.setdefault(s, set()).add(found[k])
         # equal evidence once: sentences are told apart by their weighted features
         distinct = {frozenset(f for w in words for f in word_features(w) if f in self.by_hash): words for words in by.values()}
-        return float(-np.expm1(-sum(map(self.over_background, distinct.values()))))
+        added = sum(map(self.over_background, distinct.values()))
+        if len(by) > self.model.usual and added > 0:
+            edges = [-1, *np.flatnonzero(ends).tolist(), len(found)]
+            added -= self.model.allowance(len({frozenset(found[edges[s] + 1 : edges[s + 1]]) for s in by}))
+        return float(-np.expm1(-max(0.0, added)))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -40,8 +40,7 @@ from augury.llm.common import join_spread, map_rows, materialise, scratch_dir
 FILE_BYTES = 8 << 20
 CHUNK = 1 << 20
 STEP = 1 << 12
-HEADER = 1 << 16  # bytes of a record's header, at most
-HELD = 32 << 20  # bytes of a record that are held before its checks have passed, at most
+HELD = 32 << 20  # bytes of a header, and of a record before its checks have passed, that are held at most
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -122,11 +121,13 @@ class _Window:
     """A forward view of bytes: those from ``base`` on, as many as were asked for.
 
     ``open_at`` gives a function that reads the next piece from a place on; the window
-    can go back by opening again.
+    can go back by opening again.  ``last`` is where the bytes end, once that was seen;
+    with ``jumps`` opening at a place reads nothing before it.
     """
 
-    def __init__(self, open_at: Callable[[int], Callable[[], bytes]]):
-        self.open_at = open_at
+    def __init__(self, open_at: Callable[[int], Callable[[], bytes]], jumps: bool = False):
+        self.open_at, self.jumps = open_at, jumps
+        self.last: int | None = None
         self.go(0)
 
     def go(self, place: int) -> None:
@@ -139,8 +140,18 @@ class _Window:
         data = b"" if self.done else self.read()
         self.done = not data
         self.buf += data
+        if self.done:
+            self.last = self.base + len(self.buf)
         return bool(data)
 
+    def ends_at(self, place: int) -> str:
+        """What is wrong if a record is said to end at a place far on; the window stays where it is."""
+        base, read, tail = self.base, self.open_at(place - 4), b""
+        while len(tail) < 4 and (data := read()):
+            tail += data
+        self.base, self.buf, self.done, self.read = base, bytearray(), False, self.open_at(base)
+        return "" if tail[:4] == b"\r\n\r\n" else "record cut off" if len(tail) < 4 else "record does not end where it says"
+
     def have(self, n: int) -> bool:
         while len(self.buf) < n and self.more():
             pass
@@ -226,17 +237,25 @@ def parse_header(data: bytes) -> tuple[dict[str, str], int] | str:
 def _record(win: _Window) -> tuple[dict[str, str], bytes] | str:
     """The record at the window's start, which goes behind it, or what is wrong with it; the window then stands where it stood."""
     begin = win.base
-    end = win.buf.find(b"\r\n\r\n")
-    while end < 0 and len(win.buf) < HEADER and win.more():
-        end = win.buf.find(b"\r\n\r\n")
-    if end < 0:
-        return "no end of header"
+    end, seen = -1, 0
+    while end < 0:
+        end = win.buf.find(b"\r\n\r\n", seen)
+        # a header holds no version line: where one comes first, this one has no end
+        if win.buf.find(b"\n" + _VERSION, seen, end if end >= 0 else len(win.buf)) >= 0:
+            return "no end of header"
+        seen = max(0, len(win.buf) - len(_VERSION))
+        if end < 0 and (len(win.buf) >= HELD or not win.more()):
+            return "no end of header"
     got = parse_header(bytes(win.buf[:end]))
     if isinstance(got, str):
         return got
     head, size = got
     want = head.get("warc-block-digest", "")
     whole = end + 4 + size + 4
+    if win.last is not None and begin + whole > win.last:
+        return "record cut off"
+    if whole > HELD and win.jumps and (why := win.ends_at(begin + whole)):
+        return why
     if whole > HELD:  # a piece at a time, before it is held
         digest, left, tail = hashlib.sha1(), size, b""
         for piece in win.from_(begin + end + 4):
@@ -327,7 +346,7 @@ def salvage(stream) -> Iterator[tuple[str, int, int, object]]:
         stream.seek(place)
         return lambda: stream.read(CHUNK)
 
-    yield from _scan(_Window(open_at), True)
+    yield from _scan(_Window(open_at, jumps=True), True)
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
