@@ -86,6 +86,45 @@ def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], value: str,
     return out.withColumn(value, F.coalesce("__hot", "__cool")[value]).drop("__key", "__hot", "__cool")
 
 
+def _text_column(df: DataFrame, column: str) -> int:
+    return df.columns.index(column)
+
+
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` that a function of ``column``'s values, which ``make()`` gives each task, keeps.
+
+    Batches stay as Arrow; a few hundred values at a time are Python objects.
+    """
+    at = _text_column(df, column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for b in batches:
+            told = [bool(x) for k in range(0, b.num_rows, ROWS_AT_ONCE) for x in keep(b.column(at).slice(k, ROWS_AT_ONCE).to_pylist())]
+            yield b.filter(pa.array(told, pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, df.schema)
+
+
+def map_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """``df`` with ``column`` mapped, a few hundred values at a time, to values of the same type."""
+    at = _text_column(df, column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for b in batches:
+            # each slice goes on by itself, so that no batch is held twice
+            for k in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(k, ROWS_AT_ONCE)
+                columns = list(part.columns)
+                columns[at] = pa.array(change(columns[at].to_pylist()), part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, df.schema)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[list]], Iterator[tuple]]]) -> DataFrame:
     """Map ``columns`` of ``df`` through Python, a few hundred rows at a time.
 
@@ -108,5 +147,6 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
                 yield from packed(list(run([part.column(i).to_pylist() for i in range(len(columns))])))
         if hasattr(run, "finish"):
             yield from packed(list(run.finish()))
+        pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(task, kind)

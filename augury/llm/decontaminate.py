@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows, materialise
+from augury.llm.common import filter_rows, map_column, map_rows, materialise
 
 WINDOW = 10
 #: Windows that may be broadcast; beyond, windows are shuffled.
@@ -317,15 +317,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         return _decontaminate_by_shuffle(docs, benchmark, action, n)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     if action == "documents":
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: not sent.value.scan(words_of(t))[0].any()).astype(bool)
-
-        return docs.filter(clean("text"))
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: clean_text(t, sent.value)[0])
-
-    return docs.withColumn("text", cut("text"))
+        return filter_rows(docs, "text", lambda: lambda texts: [not sent.value.scan(words_of(t))[0].any() for t in texts])
+    return map_column(docs, "text", lambda: lambda texts: [clean_text(t, sent.value)[0] for t in texts])

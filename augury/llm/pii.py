@@ -27,12 +27,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm import boosting
-from augury.llm.common import map_rows
+from augury.llm.common import map_column, map_rows
 
 Span = tuple[str, int, int]
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -364,12 +363,10 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; n_chars, where there is one, follows the new text."""
     sent = docs.sparkSession.sparkContext.broadcast(model or train())
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        some = [t if isinstance(t, str) else None for t in texts]
-        return pd.Series([redacted(t, base + added) for t, (base, added) in zip(some, spans_of(some, sent.value), strict=True)], dtype=object)
+    def make():
+        return lambda texts: [redacted(t, base + added) for t, (base, added) in zip(texts, spans_of(texts, sent.value), strict=True)]
 
-    out = docs.withColumn("text", clean("text"))
+    out = map_column(docs, "text", make)
     if "n_chars" in docs.columns:
         kept = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit(""))).cast(kept)))

@@ -30,11 +30,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import map_rows
+from augury.llm.common import filter_rows, map_rows
 from augury.llm.tokens import WordCache
 
 #: Documents that the model is fitted on, at most.
@@ -325,10 +324,8 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, all columns."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         scorer = Scorer(model)
-        for texts in batches:
-            yield texts.map(lambda t: scorer.score(t) if isinstance(t, str) else 0.0).astype("float64")
+        return lambda texts: [scorer.score(t) < threshold for t in texts]
 
-    return docs.filter(score("text") < threshold)
+    return filter_rows(docs, "text", make)
