@@ -1,4 +1,4 @@
-"""Forecasters on Spark ML, isotonic calibration, and the published champion."""
+"""Forecasters on Spark ML and the published champion."""
 
 from __future__ import annotations
 
@@ -10,11 +10,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.functions.scalars import clip01
+from augury.operators.isotonic import IsotonicCalibrator
 from augury.sources import files
 
 
@@ -105,36 +104,6 @@ class BoostedForecaster(SparkForecaster):
         super().__init__("gradient_boosting", **params)
 
 
-class IsotonicCalibrator:
-    """Monotone map from raw to calibrated probabilities, clipped to 0 to 1."""
-
-    def __init__(self):
-        self.model: IsotonicRegressionModel | None = None
-
-    def fit(self, df: DataFrame, prob: str = "y_prob", truth: str = "y_true") -> IsotonicCalibrator:
-        rows = df.select(F.col(prob).cast("double").alias("p"), F.col(truth).cast("double").alias("y"))
-        self.model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(rows)
-        return self
-
-    def transform(self, df: DataFrame, prob: str = "y_prob") -> DataFrame:
-        """``df`` with calibrated."""
-        if self.model is None:
-            raise RuntimeError("fit the calibrator before using it")
-        out = self.model.transform(df.withColumn("p", F.col(prob).cast("double")))
-        return out.withColumn("calibrated", clip01("calibrated")).drop("p") if "p" not in df.columns else out.withColumn("calibrated", clip01("calibrated"))
-
-    def save(self, path: str) -> None:
-        if self.model is None:
-            raise RuntimeError("fit the calibrator before saving")
-        self.model.write().overwrite().save(path)
-
-    @classmethod
-    def load(cls, path: str) -> IsotonicCalibrator:
-        out = cls()
-        out.model = IsotonicRegressionModel.load(path)
-        return out
-
-
 def gate_to_dict(segments: DataFrame, decision: DataFrame) -> dict:
     """The gate's result as a document: bounded by the list of required segments."""
     d = decision.first().asDict()

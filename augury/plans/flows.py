@@ -17,7 +17,7 @@ from augury.plans.views import PANEL_SQL, SIGNALS_SQL, panel, signals, specs, ta
 from augury.plugins.base import PluginRegistry
 from augury.plugins.families import RacePlugin, TemperaturePlugin
 from augury.schemas import SIGNAL, TRADE, struct
-from augury.sources import files, listings, log, tables
+from augury.sources import files, listings, log, polling, tables
 from augury.streaming import keyed
 from augury.streaming.record import settle_stream
 
@@ -134,6 +134,27 @@ def q53(spark, sf_dir):
     return out.select("market_id", "city", "target_date", "unit", F.size("outcome_labels").alias("n_labels"), "active")
 
 
+@query("q76_polled_pages", "SELECT 'm' || p_partkey AS id, p_partkey % 40 AS page, p_name AS question, 1 + (p_partkey % 40 < 20)::BIGINT AS reads FROM part")
+def q76(spark, sf_dir):
+    """Parts as pages that come in two halves: a stream polls after each, and once more when the first round is over and half the pages have gone."""
+    folder, root = files.scratch(spark) + "/pages", files.scratch(spark)
+    cache = listings.AnswerTable(spark, f"{root}/answers", 3600)
+    k = F.col("p_partkey")
+    page = (k % 40).cast("int")
+    body = table(spark, sf_dir, "part").select(page.alias("page"), k, F.to_json(F.struct(F.concat(F.lit("m"), k.cast("string")).alias("id"), F.col("p_name").alias("question"))).alias("body"))
+    for half, at in ((page < 20, datetime(2024, 1, 1, 0, 10)), (page >= 20, datetime(2024, 1, 1, 0, 20)), (None, datetime(2024, 1, 1, 0, 40))):
+        if half is not None:
+            listings.write_dump(body.filter(half), folder)
+        polling.poll_pages(spark, folder, cache, f"{root}/stream", at).awaitTermination()
+    listings.remove_pages(spark, folder, 20)
+    polling.poll_pages(spark, folder, cache, f"{root}/stream", datetime(2024, 1, 1, 1, 5)).awaitTermination()
+    request = F.substring_index("request", "#", -1).cast("long")
+    reads = cache.read().groupBy(request.alias("page")).agg(F.count("*").alias("reads"))
+    known = cache.read().select(request.alias("page"), "value").distinct()
+    found = known.select("page", F.explode(F.from_json("value", "array<string>")).alias("body")).join(reads, "page")
+    return found.select(F.get_json_object("body", "$.id").alias("id"), "page", F.get_json_object("body", "$.question").alias("question"), "reads")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings from parts: canonical ones with JSON lists, older ones with tokens, races, and others."""
     k = F.col("p_partkey")

@@ -468,10 +468,20 @@ def q40(spark, sf_dir):
 # models: no SQL
 
 
-@query("q41_isotonic_calibration")
+# neighbours whose means do not rise are pooled, all runs of them at once, until none are left
+ISOTONIC_SQL = (
+    SCORE_SQL.replace("WITH", "WITH RECURSIVE", 1)
+    + """, e AS (SELECT event_id, market_price AS y_prob FROM panel),
+r AS (SELECT 0 AS it, y_prob AS lo, y_prob AS hi, count(*)::BIGINT AS n, sum(y_true)::DOUBLE AS t FROM s WHERE y_prob IS NOT NULL AND y_true IS NOT NULL GROUP BY y_prob
+UNION ALL SELECT it + 1, min(lo), max(hi), sum(n)::BIGINT, sum(t)::DOUBLE FROM (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (ORDER BY lo) AS grp, bool_or(bad) OVER () AS found FROM (SELECT *, coalesce(lag(t / n) OVER (ORDER BY lo) >= t / n, false) AS bad FROM r)) WHERE found GROUP BY it, grp),
+fit AS (SELECT lo, t / n AS v FROM r WHERE it = (SELECT max(it) FROM r)) """
+)
+
+
+@query("q41_isotonic_calibration", ISOTONIC_SQL + "SELECT event_id, round(y_prob, 6) AS y_prob, round(v, 6) AS calibrated FROM e ASOF LEFT JOIN fit ON y_prob >= lo")
 def q41(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    return models.IsotonicCalibrator().fit(s).transform(s).select("event_id", "y_prob", "calibrated")
+    return models.IsotonicCalibrator().fit(s).transform(s).select("event_id", *r6("y_prob", "calibrated"))
 
 
 @query("q42_walkforward_logreg")

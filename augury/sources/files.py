@@ -55,6 +55,14 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     return fs.rename(p, _at(spark, new)[0])
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename into a folder that is made if it is not there; fails if nothing was renamed."""
+    p, fs = _at(spark, new)
+    fs.mkdirs(p.getParent())
+    if not rename(spark, old, new):
+        raise OSError(f"{old} was not renamed to {new}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)

@@ -72,6 +72,11 @@ def cached_pages(spark: SparkSession, folder: str, cache: AnswerTable, now: date
     # a page is as large as a page
     answers = pages.join(due, "page").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", "body"))).alias("b"))
     cache.put(answers.select(request.alias("request"), F.to_json(F.transform("b", lambda x: x["body"])).alias("value")), now)
+    return known_pages(folder, cache, now)
+
+
+def known_pages(folder: str, cache: AnswerTable, now: datetime) -> DataFrame:
+    """page, pos and body of the pages whose answers count at ``now``."""
     known = cache.valid(now).filter(F.startswith("request", F.lit(f"{folder}#")))
     return known.select(F.substring_index("request", "#", -1).cast("int").alias("page"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "body"))
 
@@ -168,6 +173,24 @@ class AnswerTable:
         return n
 
 
+def write_dump(bodies: DataFrame, folder: str) -> None:
+    """Add pages (page, body) to a dump, a file for each, by as many tasks as there are pages; a page is as large as a page."""
+    spark, aside = bodies.sparkSession, files.scratch(bodies.sparkSession)
+    one = bodies.groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("body")), "\n").alias("value"))
+    one.write.partitionBy("page").text(aside)
+    for path in files.found(spark, f"{aside}/page=*/*.txt"):
+        page = int(path.rsplit("/page=", 1)[1].split("/")[0])
+        files.move(spark, path, f"{folder}/page-{page:06d}.ndjson")
+    files.delete(spark, aside)
+
+
+def remove_pages(spark: SparkSession, folder: str, first: int) -> None:
+    """Take the pages from ``first`` on out of a dump."""
+    for path in files.found(spark, f"{folder}/page-*.ndjson"):
+        if int(path.rsplit("/page-", 1)[1].removesuffix(".ndjson")) >= first:
+            files.delete(spark, path)
+
+
 def dump_pages(rows: list[dict], folder: str, page_size: int = 100) -> None:
     """Write a dump, for tests and examples."""
     for i in range(0, len(rows), page_size):

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -15,7 +16,7 @@ from augury.functions import bins
 from augury.functions import scalars as S
 from augury.operators import backtest, features, markets, metrics, models, ordering, report, trading
 from augury.plugins import MarketPlugin, PluginRegistry, RacePlugin, TemperaturePlugin, discover_plugins
-from augury.sources import files, listings, log, tables
+from augury.sources import files, listings, log, polling, tables
 from augury.streaming import keyed
 from augury.streaming.record import record_stream, settle_stream
 
@@ -552,3 +553,58 @@ def test_quantiles_of_few_and_equal_values(spark):
         have = [v for v in values if v is not None]
         want = np.quantile(have, [0.25, 0.75, 1.0]).tolist() if have else [None] * 3
         assert got == pytest.approx(want) if have else got == want
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_isotonic_blocks_merge_over_parts(spark, parts):
+    r = random.Random(7)
+    rows = [(round(r.random(), 2), float(r.random() < 0.5)) for _ in range(300)] + [(0.5, 1.0)] * 100 + [(None, 1.0), (float("nan"), 0.0), (0.3, None)]
+    df = spark.createDataFrame(rows, "y_prob double, y_true double")
+    told = {}
+    for p, y in rows[:-3]:
+        n, t = told.get(p, (0, 0.0))
+        told[p] = (n + 1, t + y)
+    xs = sorted(told)
+    mean = lambda a, b: sum(told[x][1] for x in xs[a : b + 1]) / sum(told[x][0] for x in xs[a : b + 1])
+    want = {x: max(min(mean(a, b) for b in range(k, len(xs))) for a in range(k + 1)) for k, x in enumerate(xs)}
+    cal = models.IsotonicCalibrator().fit(df, parts=parts)
+    for most in (1_000_000, 2):
+        got = {x.y_prob: x.calibrated for x in cal.transform(df, most_knots=most).collect() if x.y_prob in want}
+        assert got == pytest.approx(want)
+        assert {x.calibrated for x in cal.transform(df.filter("y_prob is null or isnan(y_prob)"), most_knots=most).collect()} == {None}
+    assert cal.blocks.count() == len(set(want.values())) and cal.blocks.agg({"n": "sum"}).first()[0] == 400
+
+
+def test_isotonic_values_between_blocks(spark, tmp_path):
+    made = [(k / 200, float(k % 3 == 0 or k > 150)) for k in range(0, 200, 2)]
+    cal = models.IsotonicCalibrator().fit(spark.createDataFrame(made, "y_prob double, y_true double"))
+    cal.save(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(k / 317 - 0.1,) for k in range(400)], "y_prob double")
+    one = [x.calibrated for x in models.IsotonicCalibrator.load(str(tmp_path / "c")).transform(asked).orderBy("y_prob").collect()]
+    two = [x.calibrated for x in cal.transform(asked, most_knots=3).orderBy("y_prob").collect()]
+    assert one == pytest.approx(two) and one == sorted(one) and len(set(one)) > 3
+    with pytest.raises(ValueError):
+        models.IsotonicCalibrator().fit(asked.limit(0).withColumn("y_true", F.lit(1.0)))
+
+
+def test_a_poll_reads_what_is_due(spark, tmp_path):
+    folder, check = str(tmp_path / "pages"), str(tmp_path / "check")
+    cache = listings.AnswerTable(spark, str(tmp_path / "answers"), 3600)
+    rows = [{"id": f"m{k}", "question": f"q{k}"} for k in range(7)]
+    poll = lambda at: polling.poll_pages(spark, folder, cache, check, at, 2).awaitTermination()
+    reads = lambda: Counter(x.request.rsplit("#", 1)[1] for x in cache.read().collect())
+    poll(datetime(2024, 1, 1, 0, 1))
+    assert reads() == {}
+    listings.dump_pages(rows[:6], folder, 2)
+    for minute in (2, 3):  # each call is a stream started again
+        poll(datetime(2024, 1, 1, 0, minute))
+        assert reads() == {"0": 1, "1": 1, "2": 1}
+    (tmp_path / "pages" / "page-000003.ndjson").write_text("\n")
+    poll(datetime(2024, 1, 1, 0, 59))
+    assert reads() == {"0": 1, "1": 1, "2": 1, "3": 1}
+    at = datetime(2024, 1, 1, 0, 59, 30)
+    assert {x.body for x in polling.polled_markets(folder, cache, at, 2).collect()} == {json.dumps(r) for r in rows[:6]}
+    assert polling.polled_markets(folder, cache, datetime(2024, 1, 1, 1, 0), 2).count() == 0
+    poll(datetime(2024, 1, 1, 1, 0))
+    assert reads() == {"0": 2, "1": 2, "2": 2, "3": 2}
+    assert polling.polled_markets(folder, cache, datetime(2024, 1, 1, 1, 30), 2).count() == 6
