@@ -195,7 +195,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _places_by_shuffle(rows: DataFrame, items: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Where windows of items occur: __row, s, length and item, of ``rows`` (__row, text), a row for each owner."""
+    """Where windows of items occur: __row, s, length and owners, the set of items that hold the window, of ``rows`` (__row, text); a row for each place."""
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most n
     bitmap, shift = _bitmap(items, items.count(), most_bits)
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -220,19 +220,32 @@ def _places_by_shuffle(rows: DataFrame, items: DataFrame, most_bits: int = MOST_
     seen = map_rows(rows, ["__row", "text"], "__row long, s int, length int, h long, win binary", make)
     # each window goes to one of several parts, by its row
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
-    own = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return materialise(seen.join(own, ["h", "length", "win", "salt"]).select("__row", "s", "length", "item"))
+    own = items.select("h", "length", "win", "owners").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return materialise(seen.join(own, ["h", "length", "win", "salt"]).select("__row", "s", "length", "owners"))
 
 
 def _item_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """item, h, length and win of each distinct window of each item."""
+    """item, h, length and win of each distinct window of each item, and owners, which names the set of items that hold the window.
+
+    The name is a sum of two hashes of each item, so no set is gathered; equal sets have equal names.
+    """
 
     def cut(c):
         for item, text in zip(*c, strict=True):
             for w in set(windows_of(words_of(text), n)):
                 yield item, int(_window_hashes(_word_hashes(list(w)), len(w))[0].astype(np.int64)), len(w), b" ".join(w)
 
-    return materialise(map_rows(_items(benchmark), ["item", "text"], "item string, h long, length int, win binary", lambda: cut).distinct())
+    cells = materialise(map_rows(_items(benchmark), ["item", "text"], "item string, h long, length int, win binary", lambda: cut).distinct())
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "item").cast("decimal(20,0)")).cast("string")
+    named = cells.groupBy("h", "length", "win").agg(F.concat_ws(":", F.count("*").cast("string"), wide(1), wide(2)).alias("owners"))
+    return materialise(cells.join(named, ["h", "length", "win"]))
+
+
+def _owners(items: DataFrame) -> DataFrame:
+    """owners and item: the items of each set, by way of the set's least window."""
+    window = F.struct("h", "length", "win")
+    least = items.groupBy("owners").agg(F.min(window).alias("w")).select("owners", "w.*")
+    return items.join(least, ["owners", "h", "length", "win"]).select("owners", "item")
 
 
 def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
@@ -244,7 +257,8 @@ def _scan_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame
     items = _item_windows(benchmark, n)
     places = _places_by_shuffle(rows, items)
     spans = places.groupBy("__row").agg(F.collect_set(F.struct("s", "length")).alias("spans"))
-    owners = places.groupBy("__row").agg(F.collect_set("item").alias("items"))
+    # a passage's windows mostly have one set of owners, which is looked up once for a document
+    owners = places.select("__row", "owners").distinct().join(_owners(items), "owners").groupBy("__row").agg(F.collect_set("item").alias("items"))
     joined = rows.join(spans, "__row", "left").join(owners, "__row", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

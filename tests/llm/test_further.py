@@ -299,7 +299,8 @@ def test_decontamination_with_a_bitmap_of_any_size(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     items = d._item_windows(bench, 10)
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), "text")
-    found = [Counter(map(tuple, d._places_by_shuffle(rows, items, most_bits).collect())) for most_bits in (1 << 10, 1 << 29)]
+    places = [d._places_by_shuffle(rows, items, most_bits).join(d._owners(items), "owners") for most_bits in (1 << 10, 1 << 29)]
+    found = [Counter(map(tuple, p.select("__row", "s", "length", "item").collect())) for p in places]
     # against every window of every text
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     owners, want = {}, Counter()
