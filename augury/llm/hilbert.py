@@ -11,6 +11,7 @@ the counts of the parts before.  The sort key ends in the row's id and checksum,
 so a cell that holds a third of all rows still spreads over many parts.
 
 The number of parts grows with the rows, so that no part has many more than a million.
+Texts are compared whole: sources or ids that begin alike fall into different buckets.
 
 Nulls of a dimension go to its lowest bucket, a null text has no bytes and
 checksum 0, a null id sorts first, ids may be numbers or texts, equal rows get
@@ -30,9 +31,23 @@ from augury.llm.common import materialise
 PART_ROWS = 1_000_000
 
 
-def text_rank(c: Column) -> Column:
-    """A number that orders as the first seven bytes of a text do."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def text_cuts(rows: DataFrame, name: str, bits: int, parts: int) -> DataFrame:
+    """One row, ``cuts``: the different texts at the 2^bits quantiles of a column, compared whole, in order.
+
+    Distinct texts are counted, sorted into written parts by a range exchange and added up;
+    a text is a cut if a quantile's place lies among its rows.
+    """
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__text")).agg(F.count("*").alias("__many"))
+    dealt = materialise(counts.repartitionByRange(parts, "__text").withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part
+    whole = W.orderBy("__part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sums = dealt.groupBy("__part").agg(F.sum("__many").alias("__n"))
+    sums = sums.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__all"))
+    upto = F.sum("__many").over(W.partitionBy("__part").orderBy("__text"))
+    told = dealt.withColumn("__upto", upto).join(F.broadcast(sums), "__part").withColumn("__upto", F.col("__upto") + F.col("__before"))
+    place = lambda n: F.least(F.floor(n / F.col("__all") * 2**bits), F.lit(2**bits - 1))
+    # at most 2^bits - 1 texts
+    return told.filter(place(F.col("__upto")) > place(F.col("__upto") - F.col("__many"))).agg(F.sort_array(F.collect_list("__text")).alias("cuts"))
 
 
 def cell(value: Column, cuts: Column, bits: int) -> Column:
@@ -100,7 +115,7 @@ def ordered_parts(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
 def hilbert_order(rows: DataFrame, dimensions: list[str], keys: list[str], bits: int = 5, parts: int | None = None) -> DataFrame:
     """``rows`` with curve (its place on the curve), rank and n_rows.
 
-    dimensions: integer columns, quantised at their own 2^bits quantiles over all rows.
+    dimensions: integer or text columns, quantised at their own 2^bits quantiles over all rows.
     """
     if len(dimensions) * bits > 62:
         raise ValueError("dimensions times bits must be 62 or less")
@@ -108,12 +123,21 @@ def hilbert_order(rows: DataFrame, dimensions: list[str], keys: list[str], bits:
     if parts is None:
         parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
     at = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = rows.agg(*[F.percentile_approx(d, at, 10_000).alias(f"__cut_{i}") for i, d in enumerate(dimensions)])
+    texts = {d for d in dimensions if rows.schema[d].dataType.simpleString() == "string"}
+    numbers = [F.percentile_approx(d, at, 10_000).alias(f"__cut_{i}") for i, d in enumerate(dimensions) if d not in texts]
+    cuts = rows.agg(F.count("*").alias("__cut_rows"), *numbers)
+    for i, d in enumerate(dimensions):
+        if d in texts:
+            cuts = cuts.crossJoin(F.broadcast(text_cuts(rows, d, bits, parts).withColumnRenamed("cuts", f"__cut_{i}")))  # a row each
+
+    def axis(i: int, d: str) -> Column:
+        if d in texts:
+            return cell(F.col(d), F.col(f"__cut_{i}"), bits)
+        return cell(F.coalesce(F.col(d), F.lit(-1).cast("long")), F.coalesce(F.array_distinct(F.col(f"__cut_{i}")), F.expr("cast(array() as array<bigint>)")), bits)
+
     # one row of cut points
-    cells = rows.crossJoin(F.broadcast(cuts)).withColumn(
-        "curve", curve_index([cell(F.coalesce(F.col(d), F.lit(-1).cast("long")), F.coalesce(F.array_distinct(F.col(f"__cut_{i}")), F.expr("cast(array() as array<bigint>)")), bits) for i, d in enumerate(dimensions)], bits)
-    )
-    cells = cells.drop(*[f"__cut_{i}" for i in range(len(dimensions))])
+    cells = rows.crossJoin(F.broadcast(cuts)).withColumn("curve", curve_index([axis(i, d) for i, d in enumerate(dimensions)], bits))
+    cells = cells.drop("__cut_rows", *[f"__cut_{i}" for i in range(len(dimensions))])
     return ordered_parts(cells, ["curve", *keys], parts)
 
 
@@ -128,14 +152,13 @@ DIMENSIONS, KEYS = ["__lang", "__source", "__size", "__id"], ["__key", "__crc",
 
 
 def _measured(docs: DataFrame) -> list[Column]:
-    """Language, source, size and id as numbers, the id itself and the text's checksum."""
+    """Language, source, size and id as dimensions, the id itself and the text's checksum."""
     text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")
-    number = text_rank(id_) if docs.schema["doc_id"].dataType.simpleString() == "string" else id_.cast("long")
     return [
-        text_rank(F.col("lang")).alias("__lang"),
-        text_rank(F.col("source")).alias("__source"),
+        F.col("lang").cast("string").alias("__lang"),
+        F.col("source").cast("string").alias("__source"),
         (F.octet_length(text).cast("long") + 16).alias("__size"),
-        number.alias("__id"),
+        (id_ if docs.schema["doc_id"].dataType.simpleString() == "string" else id_.cast("long")).alias("__id"),
         id_.alias("__key"),
         F.crc32(F.encode(text, "UTF-8")).alias("__crc"),
     ]

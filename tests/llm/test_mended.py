@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augury.llm import copies, licenses, pii, token_counts, toxicity, warc
+from augury.llm import copies, decontaminate, hilbert, licenses, pii, token_counts, toxicity, warc
 from augury.llm.common import table
 
 # personal data
@@ -157,3 +157,41 @@ def test_quantiles_are_the_least_lengths_that_hold_the_share(spark):
     got = {q.prob: q.context_limit for q in token_counts.quantiles(t, probs).collect()}
     assert got == {p: next(x for i, x in enumerate(have) if sum(y <= x for y in have) >= p * len(have)) for p in probs}
     assert all(x.quantile == x.docs_at_most / x.docs_total for x in t.collect())
+
+
+# sharding: texts as dimensions
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_cut_points_of_whole_texts(spark, parts):
+    r = random.Random(3)
+    for many in (0, 1, 5, 400):
+        texts = [f"https://example.org/{r.randrange(many):04}" for _ in range(many)] + ["https://example.org/hot"] * (many // 2)
+        df = spark.createDataFrame([(t,) for t in texts] + [(None,)] * 3, "t string")
+        rows = sorted(texts)
+        want = sorted({rows[-(-i * len(rows) // 8) - 1] for i in range(1, 8)}) if rows else []
+        assert [x.cuts for x in hilbert.text_cuts(df, "t", 3, parts).collect()] == [want]
+
+
+def test_texts_that_begin_alike_fall_into_different_shards(spark):
+    docs = spark.createDataFrame([(k, f"https://example.org/long/common/{k % 8}", "en", "t") for k in range(800)], "doc_id long, source string, lang string, text string")
+    got = hilbert.hilbert_order(docs, ["source"], ["doc_id"], bits=3)
+    assert got.select("source", "curve").distinct().count() == 8 == got.select("curve").distinct().count()
+    ranked = {x.source: (x.a, x.z) for x in got.groupBy("source").agg(F.min("rank").alias("a"), F.max("rank").alias("z")).collect()}
+    assert all(z - a == 99 for a, z in ranked.values())
+
+
+# decontamination: windows that many items share
+
+
+def test_shared_windows_are_not_multiplied_by_their_items(spark):
+    shared = " ".join(f"w{k}" for k in range(40))
+    bench = spark.createDataFrame([(f"i{k}", f"{shared} own{k} more{k}") for k in range(50)] + [("alone", " ".join(f"x{k}" for k in range(12)))], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"before {shared} after {k}") for k in range(20)] + [(100, f"{shared} own7 more7"), (101, " ".join(f"x{k}" for k in range(11))), (102, None)], "doc_id long, text string")
+    items = decontaminate._item_windows(bench, 10)
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "text")
+    # 31 windows of the passage, 2 more of an item's own, 2 of the other item
+    assert decontaminate._places_by_shuffle(rows, items).count() == 21 * 31 + 2 + 2
+    assert decontaminate._owners(items).count() == 50 + 50 + 1
+    quick, slow = (sorted(map(tuple, decontaminate.scan_documents(docs, bench, max_windows=m).collect())) for m in (500_000, 0))
+    assert quick == slow and {x[0]: x[3] for x in slow} == {k: 50 for k in range(20)} | {100: 50, 101: 1, 102: 0}
