@@ -7,10 +7,10 @@ from datetime import UTC, datetime
 from typing import Protocol
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.operators.isotonic import IsotonicCalibrator
@@ -42,7 +42,7 @@ class SparkForecaster:
         self.model: PipelineModel | None = None
         self.only: float | None = None
 
-    def _classifier(self, n: int, label: str):
+    def _classifier(self, n: int, label: str, classes: int = 2):
         if not isinstance(self.kind, str):
             return self.kind.copy({self.kind.labelCol: label, self.kind.featuresCol: "__x"})
         both = {"labelCol": label, "featuresCol": "__x"} | self.params
@@ -51,7 +51,9 @@ class SparkForecaster:
             return LogisticRegression(**{"maxIter": 1000, "regParam": 1 / (strength * max(n, 1)), "standardization": False} | both)
         if self.kind == "random_forest":
             return RandomForestClassifier(**{"numTrees": 100, "seed": 0} | both)
-        return GBTClassifier(**{"maxIter": 100, "seed": 0} | both)
+        trees = GBTClassifier(**{"maxIter": 100, "seed": 0} | both)
+        # boosting knows two classes: of more, each is told from the rest
+        return trees if classes <= 2 else OneVsRest(classifier=trees, labelCol=label, featuresCol="__x", parallelism=classes)
 
     def fit(self, train: DataFrame, features: list[str], label: str = "label") -> SparkForecaster:
         self.feature_names = list(features)
@@ -60,7 +62,7 @@ class SparkForecaster:
             raise ValueError("no training rows")
         self.only = float(low) if low == high else None
         if self.only is None:
-            self.model = Pipeline(stages=[VectorAssembler(inputCols=self.feature_names, outputCol="__x", handleInvalid="keep"), self._classifier(n, label)]).fit(train)
+            self.model = Pipeline(stages=[VectorAssembler(inputCols=self.feature_names, outputCol="__x", handleInvalid="keep"), self._classifier(n, label, int(high) + 1)]).fit(train)
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
@@ -69,15 +71,24 @@ class SparkForecaster:
             return df.withColumn("predicted_prob", F.lit(1.0 if self.only > 0 else 0.0))
         if self.model is None:
             raise RuntimeError("fit the model before predicting")
-        p = vector_to_array("probability")
         out = self.model.transform(df)
-        return out.select(*df.columns, F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)).alias("predicted_prob"))
+        return out.select(*df.columns, F.coalesce(F.get(self._probabilities(out), F.lit(1)), F.lit(0.0)).alias("predicted_prob"))
+
+    @staticmethod
+    def _probabilities(scored: DataFrame) -> Column:
+        """The classifier's, or each class's own chance against the rest, scaled to a sum of one."""
+        if "probability" in scored.columns:
+            return vector_to_array("probability")
+        own = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        whole = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
+        return F.transform(own, lambda x: x / whole)
 
     def class_probabilities(self, df: DataFrame) -> DataFrame:
         """``df`` with probabilities, one for each class; for labels of more than two classes."""
         if self.model is None:
             raise RuntimeError("fit the model before predicting")
-        return self.model.transform(df).select(*df.columns, vector_to_array("probability").alias("probabilities"))
+        out = self.model.transform(df)
+        return out.select(*df.columns, self._probabilities(out).alias("probabilities"))
 
     def save(self, path: str) -> None:
         if self.model is None and self.only is None:

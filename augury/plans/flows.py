@@ -98,6 +98,16 @@ def q51(spark, sf_dir):
     return scored.groupBy("segment", "feature_hour").agg(F.count("*").alias("n"), F.avg("predicted_prob").alias("predicted_prob"))
 
 
+@query("q77_boosted_classes", f"WITH {PANEL_SQL} SELECT segment, feature_hour, count(*) AS n, floor(feature_hour / 8)::BIGINT AS class FROM panel GROUP BY segment, feature_hour")
+def q77(spark, sf_dir):
+    """Boosted trees of three classes, which hours decide, fitted to the whole panel, saved and read back: the likeliest class."""
+    p, path = panel(spark, sf_dir), files.scratch(spark)
+    models.BoostedForecaster(maxIter=3, maxDepth=2).fit(p.withColumn("label", F.floor(F.col("feature_hour") / 8).cast("double")), ["feature_hour"]).save(path)
+    scored = models.SparkForecaster.load(path).class_probabilities(p)
+    best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    return scored.groupBy("segment", "feature_hour", best.alias("class")).agg(F.count("*").alias("n"))
+
+
 # listings
 
 

@@ -608,3 +608,18 @@ def test_a_poll_reads_what_is_due(spark, tmp_path):
     poll(datetime(2024, 1, 1, 1, 0))
     assert reads() == {"0": 2, "1": 2, "2": 2, "3": 2}
     assert polling.polled_markets(folder, cache, datetime(2024, 1, 1, 1, 30), 2).count() == 6
+
+
+@pytest.mark.parametrize("kind", ["gradient_boosting", "random_forest", "logistic_regression"])
+def test_models_of_three_classes(spark, tmp_path, kind):
+    rows = [(float(k % 30), float(k % 30 // 10)) for k in range(300)]
+    df = spark.createDataFrame(rows, "feature_x double, label double")
+    few = {"gradient_boosting": {"maxIter": 3, "maxDepth": 2}, "random_forest": {"numTrees": 5}, "logistic_regression": {"maxIter": 50, "C": 1e6}}[kind]
+    m = models.SparkForecaster(kind, **few).fit(df, ["feature_x"])
+    m.save(str(tmp_path / "m"))
+    back = models.SparkForecaster.load(str(tmp_path / "m"))
+    got = back.class_probabilities(df).collect()
+    assert all(len(r.probabilities) == 3 and sum(r.probabilities) == pytest.approx(1) and min(r.probabilities) >= 0 for r in got)
+    right = sum(max(range(3), key=r.probabilities.__getitem__) == r.label for r in got)
+    assert right >= (300 if kind == "gradient_boosting" else 270)
+    assert sorted(r.predicted_prob for r in back.predict_proba(df).collect()) == pytest.approx(sorted(r.probabilities[1] for r in got))
