@@ -35,6 +35,21 @@ def feature_columns(panel: DataFrame) -> list[str]:
     return [x for x in panel.columns if x.startswith("feature_")]
 
 
+def feature_profile(panel: DataFrame) -> DataFrame:
+    """A row for each feature column: name, n (values that are no null or NaN), missing, mean, least, greatest.
+
+    One aggregate over the feature columns alone; a column without values has null figures,
+    a panel without features no row.
+    """
+    names = feature_columns(panel)
+    value = {x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")) for x in names}
+    n = {x: F.count(v) for x, v in value.items()}
+    rows = [F.struct(F.lit(x).alias("name"), n[x].alias("n"), (F.count("*") - n[x]).alias("missing"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("greatest")) for x, v in value.items()]
+    if not rows:
+        return panel.sparkSession.createDataFrame([], "name string, n long, missing long, mean double, least double, greatest double")
+    return panel.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def eval_dates(panel: DataFrame, stride: int, min_train_rows: int) -> DataFrame:
     """eval_date and train_rows (rows strictly before) of the steps that have enough of them.
 
@@ -52,9 +67,8 @@ def _dates(days: DataFrame, stride: int, min_train_rows: int) -> DataFrame:
 
 def best_outcomes(scored: DataFrame, tiebreak: list[str]) -> DataFrame:
     """The likeliest outcome per market and date; ties go to the first by ``tiebreak``."""
-    order = F.struct(F.col("predicted_prob").isNull(), -F.col("predicted_prob"), *tiebreak)
-    best = scored.groupBy(F.col("market_id").alias("__m"), F.col("decision_date").alias("__d")).agg(F.min_by(F.struct(*scored.columns), order).alias("__s"))
-    return best.select("__s.*")
+    place = F.row_number().over(W.partitionBy("market_id", "decision_date").orderBy(F.col("predicted_prob").isNull(), -F.col("predicted_prob"), *tiebreak))
+    return scored.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
 def price_trades(best: DataFrame, flat_stake: float = 1.0, bps: float = 30.0) -> DataFrame:

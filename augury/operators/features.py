@@ -3,9 +3,10 @@
 Row order is never implied: windows take ``order_by``, which should end in a unique
 column.  NaN counts as missing.  With ``group_by`` each group has its own window; a
 null group has no neighbours, so its lags are the fill value and its rolling
-statistics are null.  Without groups, or with ``large_groups``, the table is ordered
+statistics are null.  Without groups, or where a group is long, the table is ordered
 and cut into chunks that overlap by the frame (``ordering.framed``), so that no task
-holds a whole table or group; that writes the table once.
+holds a whole table or group; that writes the table once.  Whether a group is long
+(over ``ordering.PART_ROWS`` rows) is counted, unless ``large_groups`` says so or not.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from augury.schemas import require
 STATS = ("mean", "std", "min", "max", "median")
 
 
-def _framed(df: DataFrame, group_by: str | None, order_by, large_groups: bool, back: int, ahead: int, make) -> DataFrame:
+def _framed(df: DataFrame, group_by: str | None, order_by, large_groups: bool | None, back: int, ahead: int, make) -> DataFrame:
     order = [order_by] if isinstance(order_by, str) else list(order_by)
+    if group_by and large_groups is None:
+        large_groups = ordering.has_long_group(df, group_by)
     if group_by and not large_groups:
         return df.withColumns(make(W.partitionBy(group_by).orderBy(*order)))
     return ordering.framed(df, group_by, order, back, ahead, make)
@@ -35,7 +38,7 @@ def _missing_to_null(df: DataFrame, col: str) -> Column:
     return F.when(~F.isnan(col), F.col(col)) if dict(df.dtypes)[col] in ("double", "float") else F.col(col)
 
 
-def add_lags(df: DataFrame, cols: list[str], lags: list[int], order_by, group_by: str | None = None, fill_value: float | None = None, large_groups: bool = False) -> DataFrame:
+def add_lags(df: DataFrame, cols: list[str], lags: list[int], order_by, group_by: str | None = None, fill_value: float | None = None, large_groups: bool | None = None) -> DataFrame:
     """``{col}_lag{n}`` for each column and lag; negative lags look ahead; missing values get ``fill_value``."""
     require(df, [*cols, *([group_by] if group_by else [])])
 
@@ -51,7 +54,7 @@ def add_lags(df: DataFrame, cols: list[str], lags: list[int], order_by, group_by
     return _framed(df, group_by, order_by, large_groups, max([0, *lags]), max([0, *(-n for n in lags)]), make)
 
 
-def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_by, stats: list[str] | None = None, group_by: str | None = None, min_periods: int = 1, large_groups: bool = False) -> DataFrame:
+def add_rolling_stats(df: DataFrame, cols: list[str], windows: list[int], order_by, stats: list[str] | None = None, group_by: str | None = None, min_periods: int = 1, large_groups: bool | None = None) -> DataFrame:
     """``{col}_roll{w}_{stat}`` over the last w rows; null below ``min_periods`` values."""
     require(df, [*cols, *([group_by] if group_by else [])])
     unknown = set(stats or ()) - set(STATS)

@@ -69,8 +69,8 @@ def is_race() -> Column:
     return out
 
 
-def temperature_infos(raw: DataFrame, year: int) -> DataFrame:
-    """The parsed view of strict temperature markets; others are left out."""
+def temperature_infos(raw: DataFrame, year: int, keep_year: bool = False) -> DataFrame:
+    """The parsed view of strict temperature markets; others are left out.  With ``keep_year`` a year in the text wins."""
     q = F.trim(_text(F.col("question")))
     labels = S.json_list("outcomes")
     return raw.filter(q.rlike(GREEDY)).select(
@@ -78,7 +78,7 @@ def temperature_infos(raw: DataFrame, year: int) -> DataFrame:
         q.alias("question"),
         _text(F.col("slug")).alias("slug"),
         F.trim(F.regexp_extract(q, GREEDY, 1)).alias("city"),
-        S.human_date(F.regexp_extract(q, GREEDY, 2), year).alias("target_date"),
+        S.human_date(F.regexp_extract(q, GREEDY, 2), year, keep_year).alias("target_date"),
         S.unit_any_f(labels).alias("unit"),
         S.json_list("clobTokenIds").alias("token_ids"),
         labels.alias("outcome_labels"),
@@ -98,8 +98,8 @@ def _spec(raw: DataFrame, **columns: Column) -> DataFrame:
     return raw.select(*[base[x].alias(x) for x in order])
 
 
-def temperature_specs(raw: DataFrame, year: int | None = None) -> DataFrame:
-    """Specs of temperature markets.  With ``year`` the date becomes ISO text, else it stays as asked."""
+def temperature_specs(raw: DataFrame, year: int | None = None, keep_year: bool = False) -> DataFrame:
+    """Specs of temperature markets.  With ``year`` the date becomes ISO text (with ``keep_year`` a year in the text wins), else it stays as asked."""
     canonical = _text(F.col("outcomes")) != ""
     old = token_labels(F.col("tokens"))
     old_prices = F.transform(F.col("tokens"), lambda t: F.coalesce(t["price"].try_cast("double"), F.lit(0.5)))
@@ -118,7 +118,7 @@ def temperature_specs(raw: DataFrame, year: int | None = None) -> DataFrame:
         market_family=F.lit("range"),
         tags=F.array(F.lit("weather"), F.lit("temperature")),
         city=F.when(q.rlike(NAMED), F.trim(F.regexp_extract(q, NAMED, 1))).otherwise(_text(F.col("city"))),
-        target_date=S.human_date(date, year) if year else date,
+        target_date=S.human_date(date, year, keep_year) if year else date,
         unit=S.unit_any_c("__labels"),
         market_price=S.best_price(F.when(F.size("__prices") < F.size("__labels"), F.concat("__prices", F.array(F.lit(0.5)))).otherwise(F.col("__prices"))),
         token_ids=S.json_list("clobTokenIds"),

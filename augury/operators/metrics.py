@@ -131,12 +131,21 @@ def equity_curve(trades: DataFrame, order_by: list[str], group_by: str | None =
 
     The curve is global, yet no task sees all rows: sums of the groups before (days,
     say, which must rise with the order) are added to the running sum inside a group.
-    Without ``group_by`` the rows are numbered and cut into runs of equal length, so that
-    no day can be too long; that writes them once.
+    Without ``group_by``, or where a group has over ``ordering.PART_ROWS`` rows, the rows are
+    numbered and cut into runs of equal length, so that no day can be too long; that
+    writes them once.  Rows of a null group are left out.
     """
-    if group_by is None:
-        runs = ordering.ranked(trades, order_by).withColumn("__run_", F.expr(f"__rank div {ordering.PART_ROWS}"))
-        return equity_curve(runs, ["__rank"], "__run_").drop("__rank", "__run_")
+    if group_by is not None:
+        trades = trades.filter(F.col(group_by).isNotNull())
+    if group_by is None or ordering.has_long_group(trades, group_by):
+        order = order_by if group_by is None else [group_by, *order_by]
+        runs = ordering.ranked(trades, order).withColumn("__run_", F.expr(f"__rank div {ordering.PART_ROWS}"))
+        return curve_of_groups(runs, ["__rank"], "__run_").drop("__rank", "__run_")
+    return curve_of_groups(trades, order_by, group_by)
+
+
+def curve_of_groups(trades: DataFrame, order_by: list[str], group_by: str) -> DataFrame:
+    """The curve with a group as one task each."""
     totals = trades.groupBy(group_by).agg(F.sum("realized_pnl").alias("__t"))
     before = W.orderBy(group_by).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(group_by, F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__before"))

@@ -38,6 +38,11 @@ def ranked(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFram
     return dealt.withColumn("__place", place).join(F.broadcast(counts), "__part").withColumn("__rank", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
 
 
+def has_long_group(df: DataFrame, group_by: str, rows: int | None = None) -> bool:
+    """Whether a group is too long for one task: over ``rows`` rows (``PART_ROWS``), null being a group; reads this column alone."""
+    return not df.groupBy(group_by).agg(F.count("*").alias("n")).filter(F.col("n") > (rows or PART_ROWS)).isEmpty()
+
+
 def framed(df: DataFrame, group_by: str | None, order_by: list[str], back: int, ahead: int, make: Callable[[WindowSpec], dict[str, Column]], rows: int | None = None) -> DataFrame:
     """Columns of windows that look at most ``back`` rows back and ``ahead`` rows on, over groups of any size.
 

@@ -26,7 +26,7 @@ def _curve(trades: DataFrame) -> DataFrame:
     """Settled trades with __rank, __n (all of them) and cumulative_pnl along recorded_at, in runs of equal length."""
     t = trades.filter("realized_pnl is not null").withColumn("recorded_at", F.coalesce("recorded_at", F.lit("")))
     ranked = ordering.ranked(t, ORDER).withColumn("__run_", F.expr(f"__rank div {ordering.PART_ROWS}"))
-    curve = metrics.equity_curve(ranked, ["__rank"], "__run_")
+    curve = metrics.curve_of_groups(ranked, ["__rank"], "__run_")  # no run is long
     return curve.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("__n"))))  # one row
 
 

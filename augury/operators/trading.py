@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions import bins
@@ -42,7 +43,8 @@ def fresh(signals: DataFrame, now: datetime | Column, timezones: DataFrame | Non
 
 def first_of_each(signals: DataFrame, order_by: list[str]) -> DataFrame:
     """The first signal of each segment, date and horizon."""
-    return signals.groupBy(*[F.col(k).alias(f"__{k}") for k in KEYS]).agg(F.min_by(F.struct(*signals.columns), F.struct(*order_by)).alias("__s")).select("__s.*")
+    place = F.row_number().over(W.partitionBy(*KEYS).orderBy(*order_by))  # Spark keeps a task's first of each key before the exchange
+    return signals.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
 def not_recorded(signals: DataFrame, trades: DataFrame) -> DataFrame:

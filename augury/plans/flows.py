@@ -63,6 +63,14 @@ def q48s(spark, sf_dir):
     return tables.read_signals_json(spark, path).select("market_id", "city_or_segment", "target_date", "horizon", "outcome_label", "direction", *r6("gamma_price", "model_prob", "best_edge"), "question")
 
 
+@query("q48_json_lines_scan", f"WITH {SIGNALS_SQL} SELECT market_id, city_or_segment, target_date, horizon, round(gamma_price, 6) AS gamma_price, CASE WHEN o_orderkey % 2 = 0 THEN round(best_edge, 6) END AS best_edge FROM signals")
+def q48l(spark, sf_dir):
+    path = files.scratch(spark) + "/signals"
+    s = signals(spark, sf_dir)
+    s.select("market_id", "city_or_segment", "target_date", "horizon", "gamma_price", F.when(F.col("o_orderkey") % 2 == 0, F.col("best_edge")).alias("best_edge")).write.json(path)
+    return tables.read_signals_lines(spark, path).select("market_id", "city_or_segment", "target_date", "horizon", *r6("gamma_price", "best_edge"))
+
+
 @query("q49_gate_json_scan", GATE_SQL + "SELECT segment, num_trades, round(total_pnl, 4) AS total_pnl, reason = 'ok' AS passes, reason FROM gate")
 def q49(spark, sf_dir):
     trades, segments = _gate(spark, sf_dir)
@@ -210,6 +218,20 @@ def q54(spark, sf_dir):
     )
 
 
+@query("q54_written_years", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2015 + p_partkey % 7 ELSE 2024 END || '-' || lpad((1 + p_partkey % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + p_partkey % 28)::VARCHAR, 2, '0') AS target_date,
+  '2024' || '-' || lpad((1 + p_partkey % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + p_partkey % 28)::VARCHAR, 2, '0') AS overwritten FROM part""")
+def q54y(spark, sf_dir):
+    """A year in a question wins over the year given, or is overwritten, as asked."""
+    k = F.col("p_partkey")
+    month = F.get(F.array(*[F.lit(m) for m in "January February March April May June July August September October November December".split()]), (k % 12).cast("int"))
+    day = F.concat(month, F.lit(" "), (k % 28 + 1).cast("string"), F.when(k % 3 == 0, F.concat(F.lit(", "), (k % 7 + 2015).cast("string"))).otherwise(""))
+    q = F.concat(F.lit("Highest temperature in Town on "), day, F.lit("?")).alias("question")
+    null = [F.lit(None).cast("string").alias(c) for c in ("conditionId", "slug", "outcomes", "outcomePrices", "clobTokenIds", "endDate")]
+    raw = table(spark, sf_dir, "part").select(k.cast("string").alias("id"), q, *null, F.lit(None).cast("boolean").alias("active"))
+    kept, old = markets.temperature_infos(raw, 2024, keep_year=True), markets.temperature_infos(raw, 2024)
+    return kept.join(old.select("market_id", F.col("target_date").alias("overwritten")), "market_id").select(F.col("market_id").cast("long").alias("p_partkey"), "target_date", "overwritten")
+
+
 @query(
     "q55_legacy_specs",
     f"WITH {_RAW_SQL} SELECT k AS p_partkey, market_id, slug, CASE WHEN k % 4 = 1 OR race THEN 'Fallback' ELSE city END AS city, '2024-05-09' AS target_date, 'UTC' AS timezone, 2 AS n_bins, 15::DOUBLE AS lower, 25::DOUBLE AS upper, 'range' AS market_family FROM raw",
@@ -295,6 +317,11 @@ def q60(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+@query("q60_feature_profile", f"WITH {PANEL_SQL} SELECT 'feature_value' AS name, count(feature_value) AS n, count(*) - count(feature_value) AS missing, round(avg(feature_value), 6) AS mean, min(feature_value) AS least, max(feature_value) AS greatest FROM panel UNION ALL SELECT 'feature_hour', count(feature_hour), count(*) - count(feature_hour), round(avg(feature_hour), 6), min(feature_hour), max(feature_hour) FROM panel")
+def q60v(spark, sf_dir):
+    return backtest.feature_profile(panel(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
 @query("q60_feature_columns", "SELECT unnest(['feature_hour', 'feature_value']) AS name")
 def q60f(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in backtest.feature_columns(panel(spark, sf_dir))], "name string")

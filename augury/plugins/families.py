@@ -18,11 +18,11 @@ class TemperaturePlugin(MarketPlugin):
 
     family = "weather_tmax"
 
-    def __init__(self, forecasts: DataFrame | None = None, observed: DataFrame | None = None, year: int | None = None):
-        self.forecasts, self.observed, self.year = forecasts, observed, year
+    def __init__(self, forecasts: DataFrame | None = None, observed: DataFrame | None = None, year: int | None = None, keep_year: bool = False):
+        self.forecasts, self.observed, self.year, self.keep_year = forecasts, observed, year, keep_year
 
     def discover_markets(self, raw: DataFrame) -> DataFrame:
-        return markets.temperature_specs(raw.filter(markets.is_temperature_soft()), self.year)
+        return markets.temperature_specs(raw.filter(markets.is_temperature_soft()), self.year, self.keep_year)
 
     def fetch_features(self, specs: DataFrame, horizon: str) -> DataFrame:
         if self.forecasts is None:

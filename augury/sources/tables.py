@@ -52,6 +52,34 @@ def _read_listed(spark: SparkSession, path: str, name: str, row: str, strict: bo
     return text.select(F.from_json("value", f"{name} {kind}")[name].alias(name)).select(F.inline(name))
 
 
+def _read_lines(spark: SparkSession, path: str, row: str, strict: bool = False) -> DataFrame:
+    """A row of each line, so that a file of any size is split over tasks; none if nothing is there.
+
+    Empty lines are skipped; a line that is no JSON object, or with ``strict`` has an
+    unknown key, is an error, raised when rows are read.
+    """
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], struct(row))
+    line = spark.read.option("recursiveFileLookup", "true").text(path).filter("trim(value) <> ''")
+    keys = F.json_object_keys("value")
+    wrong = F.when(keys.isNull(), F.lit("a line is no JSON object"))
+    if strict:
+        odd = F.array_except(keys, F.array(*[F.lit(f.name) for f in struct(row)]))
+        wrong = wrong.when(F.size(odd) > 0, F.concat(F.lit("unknown keys: "), F.array_join(odd, ", ")))
+    line = line.withColumn("value", F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.col("value")))
+    return line.select(F.from_json("value", struct(row), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def read_trades_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Trades of a file or folder of JSON lines, the layout for large stores."""
+    return _read_lines(spark, path, TRADE)
+
+
+def read_signals_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Signals of JSON lines; a key that no signal has is an error."""
+    return _read_lines(spark, path, SIGNAL, strict=True)
+
+
 def read_trades_json(spark: SparkSession, path: str) -> DataFrame:
     return _read_listed(spark, path, "trades", TRADE)
 

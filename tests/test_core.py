@@ -623,3 +623,36 @@ def test_models_of_three_classes(spark, tmp_path, kind):
     right = sum(max(range(3), key=r.probabilities.__getitem__) == r.label for r in got)
     assert right >= (300 if kind == "gradient_boosting" else 270)
     assert sorted(r.predicted_prob for r in back.predict_proba(df).collect()) == pytest.approx(sorted(r.probabilities[1] for r in got))
+
+
+def test_long_groups_are_counted(spark, monkeypatch):
+    rows = [(i, "aab"[i % 3] if i % 9 else None, float(i * 37 % 101) if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(4)
+    lag = lambda **k: sorted(features.add_lags(df, ["v"], [2, -1], "i", "g", **k).collect(), key=lambda r: r.i)
+    roll = lambda **k: sorted(features.add_rolling_stats(df, ["v"], [4], "i", ["mean", "max"], "g", **k).collect(), key=lambda r: r.i)
+    curve = lambda: sorted(metrics.equity_curve(df.withColumn("realized_pnl", F.col("v")).withColumn("day", F.expr("i div 100")), ["i"], "day").select("i", F.round("cumulative_pnl", 6)).collect())
+    assert not ordering.has_long_group(df, "g") and ordering.has_long_group(df, "g", 100)
+    want = lag(large_groups=False), roll(large_groups=False), curve()
+    assert want[0] == lag() and want[1] == roll()
+    monkeypatch.setattr(ordering, "PART_ROWS", 40)
+    assert ordering.has_long_group(df, "g")
+    assert "__chunk" in features.add_lags(df, ["v"], [2], "i", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert want == (lag(), roll(), curve())
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"market_id": "m1", "gamma_price": 0.5}\n\n{"market_id": null}\n')
+    rows = tables.read_signals_lines(spark, str(tmp_path)).select("market_id", "gamma_price").collect()
+    assert sorted(map(tuple, rows), key=str) == [("m1", 0.5), (None, None)]
+    assert tables.read_trades_lines(spark, str(tmp_path / "none")).count() == 0
+    for bad in ('{"market_id": "m2", "other": 1}', "no json", "[1]", '{"market_id": '):
+        (tmp_path / "b.json").write_text(bad + "\n")
+        with pytest.raises(Exception, match="unknown keys: other|no JSON object|MALFORMED"):
+            tables.read_signals_lines(spark, str(tmp_path)).collect()
+
+
+def test_feature_profile(spark):
+    df = spark.createDataFrame([(1.0, None, "x"), (float("nan"), None, "y"), (3.0, None, "z")], "feature_a double, feature_b int, other string")
+    assert [tuple(r) for r in backtest.feature_profile(df).orderBy("name").collect()] == [("feature_a", 2, 1, 2.0, 1.0, 3.0), ("feature_b", 0, 3, None, None, None)]
+    assert backtest.feature_profile(df.select("other")).count() == 0
+    assert backtest.feature_profile(df.limit(0)).filter("n = 0 and missing = 0").count() == 2
