@@ -130,14 +130,15 @@ def _mark_hot(nodes: DataFrame, scheme: Scheme, most: int) -> DataFrame:
     """Adds hot_mask: a bit for each segment whose value more than ``most`` nodes share."""
     values = nodes.select("node", F.explode(_segments(scheme)).alias("s")).select("node", "s.seg", "s.value")
     hot = values.groupBy("seg", "value").agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n")
-    masks = values.join(hot, ["seg", "value"]).groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("seg"))).alias("hot_mask"))
+    masks = values.join(hot.hint("merge"), ["seg", "value"]).groupBy("node").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("seg"))).alias("hot_mask"))
     return nodes.join(masks, "node", "left").withColumn("hot_mask", F.coalesce("hot_mask", F.lit(0).cast("long")))
 
 
 def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     """Links (u, v) between nodes (columns node, f0 ...) whose fingerprints are close.
 
-    Complete as to components.
+    Complete as to components.  Spark sizes exploded rows by the table before, so joins of
+    variants and points are told to merge, lest 64 rows a node are broadcast.
     """
     if scheme.lanes > 1 or scheme.distance > 2:
         raise ValueError("links are those of one lane up to distance 2; for less alike texts see the module copies")
@@ -147,9 +148,9 @@ def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     warm = v.filter("hot").select("key", "node")
     near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= scheme.distance
     a, b = cool.alias("a"), cool.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     b = warm.alias("b")
-    pairs = pairs.unionByName(a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
+    pairs = pairs.unionByName(a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
     hot_nodes = nodes.filter("hot_mask <> 0")
     if scheme.distance == 0:  # nodes are distinct
         return pairs
@@ -158,7 +159,7 @@ def links(nodes: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
     else:  # fingerprints one bit apart are equal after a wildcard
         points = hot_nodes.select("node", F.explode(F.expr("transform(sequence(0, 63), i -> named_struct('i', i, 'rest', node & ~shiftleft(1L, cast(i as int))))")).alias("point"))
     hubs = points.groupBy("point").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
-    return pairs.unionByName(points.join(hubs, "point").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).distinct()
+    return pairs.unionByName(points.join(hubs.hint("merge"), "point").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme, most: int = HOT_VALUE) -> DataFrame:
