@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augury.llm import copies, decontaminate, hilbert, licenses, pii, token_counts, toxicity, warc
+from augury.llm import copies, decontaminate, hilbert, licenses, pii, simhash, token_counts, toxicity, warc
 from augury.llm.common import table
 
 # personal data
@@ -195,3 +195,22 @@ def test_shared_windows_are_not_multiplied_by_their_items(spark):
     assert decontaminate._owners(items).count() == 50 + 50 + 1
     quick, slow = (sorted(map(tuple, decontaminate.scan_documents(docs, bench, max_windows=m).collect())) for m in (500_000, 0))
     assert quick == slow and {x[0]: x[3] for x in slow} == {k: 50 for k in range(20)} | {100: 50, 101: 1, 102: 0}
+
+
+# joins behind an explode
+
+
+def test_exploded_rows_are_merged_not_broadcast(spark, monkeypatch):
+    """Spark takes an exploded table for as small as the table before, so tables of any size below the threshold were broadcast 32 or 64 times over."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    seen, write = [], simhash.materialise
+    for module in (simhash, copies):
+        monkeypatch.setattr(module, "materialise", lambda df, *made: (seen.append(plan(df)), write(df, *made))[1])
+    nodes = spark.range(40).select(F.xxhash64("id").alias("node")).withColumn("f0", F.col("node"))
+    found = simhash.links(nodes, simhash.Scheme())
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    common = " ".join(f"c{k}" for k in range(400))
+    docs = spark.createDataFrame([(k, f"{common} d{k}") for k in range(40)], "doc_id long, text string")
+    assert copies.keep_one_of_each(docs, most=8).count() == 1
+    copied = [p for p in seen if "explode(" in p]
+    assert copied and not [p for p in copied if "BroadcastHashJoin [key" in p or "BroadcastHashJoin [seg" in p]
