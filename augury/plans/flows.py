@@ -40,10 +40,17 @@ def q47c(spark, sf_dir):
     return out.select(F.col("event_id").cast("long").alias("event_id"), "decision_date", "outcome_label", "winning_label", *r6("market_price", "feature_value"))
 
 
+#: Rows of a JSON document, about; a reader holds one as a whole.
+DOCUMENT_ROWS = 10_000
+
+
 def _documents(rows: DataFrame, name: str, by: str, path: str) -> None:
-    """A JSON document {name: [...]} for each value of ``by``, a file each."""
-    one = rows.groupBy(by).agg(F.to_json(F.struct(F.collect_list(F.struct(*[c for c in rows.columns if c != by])).alias(name))).alias("value"))
-    one.repartition(by).write.partitionBy(by).text(path)
+    """JSON documents {name: [...]}, a file each, of the rows of a value of ``by``; more rows make more documents."""
+    n, most = rows.groupBy(by).count().agg(F.sum("count"), F.max("count")).first()
+    own = [c for c in rows.columns if c != by]
+    dealt = rows.withColumn("document", F.pmod(F.xxhash64(*own), F.lit(-(-(most or 1) // DOCUMENT_ROWS)))).repartition(-(-(n or 1) // DOCUMENT_ROWS), by, "document")
+    one = dealt.groupBy(by, "document").agg(F.to_json(F.struct(F.collect_list(F.struct(*own)).alias(name))).alias("value"))
+    one.write.partitionBy(by, "document").text(path)
 
 
 @query("q48_trades_json_scan", f"WITH {SIGNALS_SQL} SELECT market_id AS recorded_at, city_or_segment, target_date, direction, round(gamma_price, 6) AS gamma_price, CASE WHEN o_orderkey % 3 = 0 THEN 'won' END AS outcome, NULL::DOUBLE AS realized_pnl FROM signals")

@@ -15,6 +15,7 @@ from augury import cli, config, schemas
 from augury.functions import bins
 from augury.functions import scalars as S
 from augury.operators import backtest, features, markets, metrics, models, ordering, report, trading
+from augury.plans import flows
 from augury.plugins import MarketPlugin, PluginRegistry, RacePlugin, TemperaturePlugin, discover_plugins
 from augury.sources import files, listings, log, polling, tables
 from augury.streaming import keyed
@@ -656,3 +657,15 @@ def test_feature_profile(spark):
     assert [tuple(r) for r in backtest.feature_profile(df).orderBy("name").collect()] == [("feature_a", 2, 1, 2.0, 1.0, 3.0), ("feature_b", 0, 3, None, None, None)]
     assert backtest.feature_profile(df.select("other")).count() == 0
     assert backtest.feature_profile(df.limit(0)).filter("n = 0 and missing = 0").count() == 2
+
+
+@pytest.mark.parametrize("read, name", [(tables.read_trades_json, "trades"), (tables.read_signals_json, "signals")])
+def test_documents_of_a_large_group_are_bounded(spark, tmp_path, monkeypatch, read, name):
+    monkeypatch.setattr(flows, "DOCUMENT_ROWS", 100, raising=False)
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("target_date"), F.when(F.col("id") < 2990, 1).otherwise(2).alias("region"))
+    flows._documents(rows, name, "region", str(tmp_path / "d"))
+    sizes = [r.n for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "d"), wholetext=True).select(F.size(F.json_object_keys("value")).alias("keys"), F.size(F.split("value", "target_date")).alias("n")).collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 200
+    assert {r.target_date for r in read(spark, str(tmp_path / "d")).collect()} == {str(k) for k in range(3000)}
+    flows._documents(rows.limit(0), name, "region", str(tmp_path / "none"))
+    assert read(spark, str(tmp_path / "none")).count() == 0
