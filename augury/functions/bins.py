@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.scalars import c
@@ -27,28 +28,62 @@ def first_bins(values: DataFrame, table: DataFrame, keys: list[str], value: str
     """``values`` (keys, a number, any columns) with winner: the label of the first bin of the key that holds the number, null if none.
 
     ``table`` has a row for each bin: keys, pos, label, lower, upper, lower_inclusive,
-    upper_inclusive; null bounds are open.  Each key's range of bounds is cut into
-    ``widths`` buckets; a bin goes to the buckets it touches, a number to its own, so that
-    both meet by equality, and bins of the same bucket only are compared.  NaN is in every
-    bin, as no comparison excludes it.
+    upper_inclusive; null bounds are open.  NaN is in every bin, as no comparison excludes
+    it.  All bounds of all keys get ranks, which makes a bin a run of places: the bounds
+    and the gaps behind them.  A run is cut into few dyadic blocks, a block keeps its first
+    bin, and a place the first of the blocks around it.  So a number needs only the bound
+    before it, which a range exchange of numbers and bounds into ``widths`` parts or more
+    brings beside it: the work grows with numbers and bins, not with how many bins hold a number.
     """
-    bound = table.select(*keys, F.explode(F.array("lower", "upper")).alias("b")).filter("b is not null and not isnan(b)")
-    span = bound.groupBy(*keys).agg(F.min("b").alias("__lo"), F.max("b").alias("__hi"))
-    # below all bounds is bucket 0, above all widths + 1; without bounds a key has only bucket 0
-    wide = F.col("__hi") - F.col("__lo")
-    of = lambda v: F.when(F.col("__lo").isNull() | (v < F.col("__lo")), F.lit(0)).when(v > F.col("__hi"), F.lit(widths + 1)).otherwise(F.when(wide > 0, F.least(F.floor((v - F.col("__lo")) / wide * widths), F.lit(widths - 1))).otherwise(0).cast("int") + 1)
-    numbered = values.join(span, keys, "left")
-    nan = F.isnan(F.col(value).cast("double"))
-    number = F.col(value).cast("double")
-    numbered = numbered.withColumn("__at", F.when(nan, F.lit(-1)).otherwise(of(number)))
-    every = table.join(span, keys, "left")
-    first = F.when(F.col("lower").isNull(), F.lit(0)).otherwise(of(F.col("lower")))
-    last = F.when(F.col("upper").isNull() | F.col("__lo").isNull(), F.lit(widths + 1)).otherwise(of(F.col("upper")))
-    every = every.withColumn("__at", F.explode(F.concat(F.array(F.lit(-1)), F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<int>)")))))
-    b = F.struct("label", "lower", "upper", "lower_inclusive", "upper_inclusive")
-    listed = every.groupBy(*keys, "__at").agg(F.sort_array(F.collect_list(F.struct("pos", b.alias("b")))).alias("__bins"))
-    out = numbered.join(listed, [*keys, "__at"], "left")
-    return out.withColumn("winner", winning_label(number, F.transform("__bins", lambda x: x["b"]))).drop("__lo", "__hi", "__at", "__bins")
+    from augury.operators import ordering
+
+    number = F.col(value).cast("double") + 0.0  # no negative zero
+    known = table.dropna(subset=keys).withColumns({b: F.col(b).cast("double") + 0.0 for b in ("lower", "upper")})
+    nan = F.lit(float("nan"))
+    # a key's places begin at a null bound, below all others, and end at NaN
+    points = known.select(*keys, F.explode(F.array("lower", "upper", F.lit(None).cast("double"), nan)).alias("__b")).distinct()
+    points = ordering.written(ordering.ranked(points, [*keys, "__b"]))
+    levels = max(1, (2 * points.count() + 1).bit_length())
+    ends = points.groupBy(*keys).agg(F.min("__rank").alias("__lo"), F.max("__rank").alias("__hi"))
+    at = lambda b: points.filter("__b is not null").select(*keys, F.col("__b").alias(b), F.col("__rank").alias(f"__{b}"))
+    runs = known.join(ends, keys).join(at("lower"), [*keys, "lower"], "left").join(at("upper"), [*keys, "upper"], "left")
+    # bound r is place 2 r, the gap behind it 2 r + 1; of a null bound only the gap is used
+    from_ = F.when(F.col("lower").isNull(), F.col("__lo") * 2 + 1).otherwise(F.col("__lower") * 2 + F.when(F.coalesce("lower_inclusive", F.lit(True)), 0).otherwise(1))
+    to = F.when(F.col("upper").isNull(), F.col("__hi") * 2).otherwise(F.col("__upper") * 2 - F.when(F.coalesce("upper_inclusive", F.lit(True)), 0).otherwise(1))
+    bin_ = F.min(F.struct("pos", F.struct("label", *[F.col(c) for c in ("lower", "upper", "lower_inclusive", "upper_inclusive")]).alias("b"))).alias("bin")
+    all_of_key = F.struct((F.col("__hi") * 2).alias("a"), (F.col("__hi") * 2).alias("z"))
+    runs = runs.withColumn("__run", F.explode(F.array(F.struct(from_.alias("a"), to.alias("z")), all_of_key)))
+    runs = runs.select(F.col("__run.a").alias("a"), (F.col("__run.z") + 1).alias("z"), "pos", "label", "lower", "upper", "lower_inclusive", "upper_inclusive").filter("a < z").groupBy("a", "z").agg(bin_)
+    # at level j the blocks from a to z not in a larger one: the first if it is odd, the last if the one behind it is odd
+    l, r = "shiftright(a + shiftleft(1L, j) - 1, j)", "shiftright(z, j)"
+    block = F.explode(F.expr(f"""flatten(transform(sequence(0, {levels}), j -> filter(array(
+        if({l} < {r} and {l} % 2 = 1, named_struct('level', j, 'n', {l}), null), if({l} < {r} and {r} % 2 = 1, named_struct('level', j, 'n', {r} - 1), null)), x -> x is not null)))"""))
+    blocks = runs.select("bin", block.alias("x")).groupBy("x.level", "x.n").agg(F.min("bin").alias("bin"))
+    place = F.explode(F.array(F.col("__rank") * 2, F.col("__rank") * 2 + 1)).alias("place")
+    around = points.select(place).select("place", F.expr(f"explode(transform(sequence(0, {levels}), j -> named_struct('level', j, 'n', shiftright(place, j))))").alias("x")).select("place", "x.level", "x.n")
+    first = ordering.written(around.join(blocks.hint("merge"), ["level", "n"]).groupBy("place").agg(F.min("bin")["b"]["label"].alias("label")))
+    half = lambda name, odd: first.filter(F.col("place") % 2 == odd).select(F.expr("place div 2").alias("__rank"), F.col("label").alias(name))
+    points = points.join(half("on", 0), "__rank", "left").join(half("behind", 1), "__rank", "left")
+
+    own = {k: f"__k{i}" for i, k in enumerate(keys)}
+    told = F.struct(*[F.col(k).alias(x) for k, x in own.items()], F.col("__b").alias("v"), "on", "behind")
+    row = F.struct(*[F.col(f"`{c}`") for c in values.columns])
+    both = values.select(*keys, number.alias("__b"), F.monotonically_increasing_id().alias("__i"), row.alias("__row"))
+    both = both.unionByName(points.select(*keys, "__b", F.lit(-1).cast("long").alias("__i"), told.alias("__told")), allowMissingColumns=True)
+    order = [*keys, "__b", "__i"]  # a bound comes before its numbers, which their row numbers spread
+    parts = max(widths, -(-values.count() // ordering.PART_ROWS))
+    dealt = ordering.written(both.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    last = dealt.filter("__told is not null").groupBy("__part").agg(F.max("__told").alias("__told"))
+    every = dealt.sparkSession.range(parts).select(F.col("id").cast("int").alias("__part")).join(last, "__part", "left")  # a row for each part
+    before = every.select("__part", F.last("__told", ignorenulls=True).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    near = F.last("__told", ignorenulls=True).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = dealt.withColumn("__near", near).filter("__row is not null").join(F.broadcast(before), "__part").withColumn("__near", F.coalesce("__near", "__before"))
+    same = F.lit(True)
+    for k, x in own.items():
+        same = same & (F.col(k) == F.col("__near")[x])
+    equal = F.col("__b") == F.col("__near")["v"]
+    winner = F.when(F.col("__b").isNotNull() & same, F.when(equal, F.col("__near")["on"]).otherwise(F.col("__near")["behind"]))
+    return out.select(F.col("__row"), winner.alias("winner")).select("__row.*", "winner")
 
 
 def temperature_bounds(label) -> Column:

@@ -669,3 +669,16 @@ def test_documents_of_a_large_group_are_bounded(spark, tmp_path, monkeypatch, re
     assert {r.target_date for r in read(spark, str(tmp_path / "d")).collect()} == {str(k) for k in range(3000)}
     flows._documents(rows.limit(0), name, "region", str(tmp_path / "none"))
     assert read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_number_meets_all_the_bins_that_hold_it(spark):
+    """Bins of wide, overlapping runs: before, each number was compared with a list of all bins of its bucket."""
+    b = spark.range(3000).select((F.col("id") % 2).alias("g"), (-F.col("id")).alias("pos"), F.concat(F.lit("b"), "id").alias("label"), F.when(F.col("id") % 3 != 0, F.col("id") * 1.0).alias("lower"), (F.col("id") + 1500.0).alias("upper"), F.lit(True).alias("lower_inclusive"), F.lit(False).alias("upper_inclusive"))
+    v = spark.range(6000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 1.0).alias("value"))
+    out = bins.first_bins(v, b, ["g"], widths=7)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r.id: r.winner for r in out.collect()}
+    assert len(got) == 6000
+    for k in range(0, 6000, 7):
+        held = [x for x in range(2999, -1, -1) if x % 2 == k % 3 and (x % 3 == 0 or x <= k) and k < x + 1500]
+        assert got[k] == (f"b{held[0]}" if held else None), k
