@@ -13,6 +13,8 @@ from augury.sources import files
 
 #: Rows of a part or a chunk, about.
 PART_ROWS = 1_000_000
+#: Rows of a chunk that Python holds, about; of a long frame four times its rows.
+SLIDE_ROWS = 100_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -63,10 +65,11 @@ def sliding_medians(df: DataFrame, cols: dict[str, tuple[str, int]], group_by: s
     """``df`` with a median over the last n rows for each name of ``cols`` (column, n), for frames and groups of any length.
 
     Rows are dealt as in ``framed``; a task slides an ordered structure along its chunk, so
-    that a row costs the logarithm of its frame, not the frame.
+    that a row costs the logarithm of its frame, not the frame.  Python holds one chunk a
+    task, so chunks are shorter than those of window functions.
     """
     back = max(n for _, n in cols.values())
-    rows = max(rows or PART_ROWS, back, 1)
+    rows = max(rows or max(SLIDE_ROWS, 4 * back), back, 1)
     groups = [group_by] if group_by else []
     r = ranked(df, [*groups, *order_by]).withColumn("__chunk", F.expr(f"__rank div {rows}"))
     to = F.array(F.col("__chunk"), F.when(F.col("__rank") % rows >= rows - back, F.col("__chunk") + 1))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
@@ -682,3 +683,26 @@ def test_no_number_meets_all_the_bins_that_hold_it(spark):
     for k in range(0, 6000, 7):
         held = [x for x in range(2999, -1, -1) if x % 2 == k % 3 and (x % 3 == 0 or x <= k) and k < x + 1500]
         assert got[k] == (f"b{held[0]}" if held else None), k
+
+
+def test_a_task_of_medians_holds_a_short_chunk(spark, tmp_path, monkeypatch):
+    """Rows that pandas gets at once grow with the frame, not with the table or its groups."""
+    seen = str(tmp_path / "seen")
+    df = spark.range(450_000).select("id", F.lit("a").alias("g"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
+    apply = type(df.groupBy("g")).applyInPandas
+
+    def counted(self, fn, schema):
+        def told(pdf):
+            with open(f"{seen}-{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(pdf)))
+            return fn(pdf)
+
+        return apply(self, told, schema)
+
+    monkeypatch.setattr(type(df.groupBy("g")), "applyInPandas", counted)
+    out = features.add_rolling_stats(df, ["v"], [1000], ["id"], ["median"], "g")
+    assert out.filter("v_roll1000_median is null").count() == 0
+    sizes = [int(p.read_text()) for p in tmp_path.glob("seen-*")]
+    assert sum(sizes) >= 450_000 and max(sizes) <= 101_000
+    last = out.filter("id in (450, 100500, 449999)").select("id", "v_roll1000_median").collect()
+    assert {r.id: r.v_roll1000_median for r in last} == {k: float(np.median([x * 7919 % 1000 for x in range(max(0, k - 999), k + 1)])) for k in (450, 100500, 449999)}
