@@ -389,26 +389,25 @@ def q70(spark, sf_dir):
     at = lambda text: F.lit(text).cast("timestamp")
     told = specs(spark, sf_dir)
     last = F.max_by(F.struct("is_final", "truth_label", "truth_value", "outcome_bins"), "pos").alias("s")
-    told = told.groupBy("city", "target_date").agg(last).select("city", "target_date", "s.*").withColumn("at", at("1998-05-31 06:00:00"))  # nothing may come later than the clock allows
+    told.groupBy("city", "target_date").agg(last).select("city", "target_date", "s.*").write.parquet(f"{root}/told")
+    told = spark.read.parquet(f"{root}/told").withColumn("at", at("1998-05-31 06:00:00"))  # nothing may come later than the clock allows
     open_ = t.filter("outcome is null").drop("outcome", "realized_pnl").withColumn("at", at("1998-05-30 00:00:00"))
     clock = keyed.events(open_.limit(0), told.limit(1).withColumns({"city": F.lit(""), "is_final": F.lit(False), "at": at("1998-06-01 12:00:00")}))
     kind = clock.schema
     source = f"{root}/in"
 
-    def write(rows):
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in kind]).coalesce(1).write.mode("append").parquet(source)
-
     store = log.TradeStore(spark, f"{root}/trades", ["recorded_at"])
     store.append(open_.select(*[F.col(f.name) if f.name in open_.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in struct(TRADE)]))
-    run = lambda: keyed.settle_keyed_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), store, f"{root}/checkpoint").awaitTermination()
-    write(keyed.events(open_.filter(k % 2 == 0), told.limit(0)))
-    write(keyed.events(open_.limit(0), told.withColumns({"is_final": F.lit(False), "at": at("1998-05-30 12:00:00")})))
-    run()
-    write(keyed.events(open_.limit(0), told))
-    write(keyed.events(open_.filter(k % 2 == 1).withColumn("at", at("1998-05-31 07:00:00")), told.limit(0)))
-    write(clock)
-    write(clock)
-    run()
+
+    def feed(*parts):
+        """Rows written by any number of tasks come as one batch: a run of the stream takes all files, and then moves the clock."""
+        for rows in parts:
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in kind]).write.mode("append").parquet(source)
+        keyed.settle_keyed_stream(spark.readStream.schema(kind).parquet(source), store, f"{root}/checkpoint").awaitTermination()
+
+    feed(keyed.events(open_.filter(k % 2 == 0), told.limit(0)), keyed.events(open_.limit(0), told.withColumns({"is_final": F.lit(False), "at": at("1998-05-30 12:00:00")})))
+    feed(keyed.events(open_.limit(0), told))
+    feed(keyed.events(open_.filter(k % 2 == 1).withColumn("at", at("1998-05-31 07:00:00")), told.limit(0)), clock)
     now = store.read().select("recorded_at", F.col("outcome").alias("o"), F.col("realized_pnl").alias("p"))
     out = t.join(now, "recorded_at", "left")
     return out.select("o_orderkey", F.coalesce("outcome", "o").alias("outcome"), F.coalesce("realized_pnl", "p").alias("realized_pnl"), F.col("o").isNotNull().alias("newly_settled"))

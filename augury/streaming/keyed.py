@@ -3,6 +3,9 @@
 Trades and truths come as one stream in any order, over any number of restarts.  A key's
 state is its waiting trades and, once known, the winner; a trade leaves the state when it
 is settled.  No table of trades is read.
+
+A trade passes through the state as JSON, packed and unpacked by Spark: for a key and batch
+the state gains one array of its trades, so Python's work goes by keys, hardly by trades.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +27,8 @@ from augury.sources.log import TradeStore
 
 KEYS = ["city_or_segment", "target_date"]
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Times in JSON to the microsecond.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,47 +49,44 @@ def events(trades: DataFrame | None, truths: DataFrame | None) -> DataFrame:
 
 
 class Settling(StatefulProcessor):
-    """Of one city and date: emits trades with the winner once a final truth has one and the date has come."""
-
-    def __init__(self, trade: T.StructType):
-        self.trade = trade
+    """Of one city and date: emits arrays of trades with the winner once a final truth has one and the date has come."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.trade)
+        self.waiting = handle.getListState("waiting", "trades string")  # JSON arrays, of at most an Arrow batch of trades
         self.winner = handle.getValueState("winner", "winner string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names, new, winner = [f.name for f in self.trade], [], None
+        told = []
         for part in rows:
-            told = part.loc[(part["kind"] == "truth") & part["winner"].notna(), "winner"]
-            winner = max([*told, *([winner] if winner else [])], default=None)  # several at once: the greater
-            for r in part.loc[part["kind"] == "trade", names].itertuples(index=False, name=None):
-                new.append(tuple(None if pd.isna(v) else v for v in r))
-        if winner and not self.winner.exists():
+            told += [max(w)] if (w := [x for x in part["winner"] if isinstance(x, str)]) else []
+            if new := [x for x in part["trade"] if isinstance(x, str)]:
+                self.waiting.appendValue((f"[{','.join(new)}]",))
+        winner = self._winner()
+        if winner is None and told:
+            winner = max(told)  # several at once: the greater
             self.winner.update((winner,))
-        if new:
-            self.waiting.appendList(new)
-        date, today = key[1], _date(timerValues.getCurrentWatermarkInMs())
-        if date > today:
-            comes = _millis(date)
-            if comes is not None:
-                self.handle.registerTimer(comes)
-        else:
-            yield from self._settled(key)
+        if winner is None:
+            return  # nothing is due before a winner, so no timer either
+        if key[1] <= _date(timerValues.getCurrentWatermarkInMs()):
+            yield from self._settled(key, winner)
+        elif (comes := _millis(key[1])) is not None:
+            self.handle.registerTimer(comes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settled(key)
-
-    def _settled(self, key) -> Iterator[pd.DataFrame]:
-        if self.winner.exists() and self.waiting.exists():
-            rows = list(self.waiting.get())
-            out = pd.DataFrame(rows, columns=[f.name for f in self.trade])
-            out.insert(0, KEYS[1], key[1])
-            out.insert(0, KEYS[0], key[0])
-            out["winner"] = self.winner.get()[0]
+        yield from self._settled(key, self._winner())
+
+    def _winner(self) -> str | None:
+        found = self.winner.get()
+        return found[0] if found else None
+
+    def _settled(self, key, winner: str | None) -> Iterator[pd.DataFrame]:
+        settles = False
+        for some in batched(self.waiting.get(), 4):
+            settles = True
+            yield pd.DataFrame({KEYS[0]: key[0], KEYS[1]: key[1], "trades": [t for (t,) in some], "winner": winner})
+        if settles:
             self.waiting.clear()
-            yield out
 
     def close(self) -> None:
         pass
@@ -107,9 +110,15 @@ def settled(stream: DataFrame, no_leg: str = "reference", delay: str = "1 hour")
     wait for the date.  ``at`` should be the time of arrival: rows behind the clock are late
     and dropped, as with any watermark.
     """
-    trade = T.StructType([f for f in stream.schema if f.name not in (*KEYS, "kind", "winner", "at")])
-    out = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), *trade, T.StructField("winner", T.StringType())])
-    ready = stream.withWatermark("at", delay).groupBy(*KEYS).transformWithStateInPandas(Settling(trade), out, "Append", "EventTime")
+    names = [f.name for f in stream.schema if f.name not in (*KEYS, "kind", "winner", "at")]
+    trade = T.StructType([stream.schema[n] for n in names])
+    packed = F.when(F.col("kind") == "trade", F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), _EXACT)).alias("trade")
+    rows = stream.withWatermark("at", delay).select(*KEYS, "at", packed, F.when((F.col("kind") == "truth") & (F.col("winner") != ""), F.col("winner")).alias("winner"))
+    rows = rows.filter("trade is not null or winner is not null or at is null")  # with `at` a filter stays behind the watermark, which is to see all rows
+    out = T.StructType([T.StructField(k, T.StringType()) for k in (*KEYS, "trades", "winner")])
+    ready = rows.groupBy(*KEYS).transformWithStateInPandas(Settling(), out, "Append", "EventTime")
+    each = F.explode(F.from_json("trades", T.ArrayType(trade), {**_EXACT, "mode": "FAILFAST"})).alias("trade")
+    ready = ready.select(*KEYS, each, "winner").select(*KEYS, "trade.*", "winner")
     return trading.paid(ready, F.col("winner"), no_leg).drop("winner")
 
 

@@ -406,6 +406,35 @@ def test_keyed_settling_over_restarts(spark, tmp_path):
     assert late == {("r1", "won"), ("r3", "won"), ("r4", "won"), ("r2", "lost"), ("r5", "lost")}
 
 
+def test_keyed_state_holds_arrays_of_trades(spark, tmp_path):
+    """Trades of a key and batch are few elements of state, not one each; all come back as they were, NaN, microseconds and signs too."""
+    n, when = 25_000, F.timestamp_micros(F.lit(1_714_500_000_000_001) + F.col("id"))
+    t = spark.range(n).select(
+        F.concat(F.lit("r"), "id").alias("recorded_at"), F.lit("S").alias("city_or_segment"), F.when(F.col("id") % 5 == 0, "2024-05-09").otherwise("2024-05-01").alias("target_date"), F.when(F.col("id") % 2 == 0, "warm").otherwise("hot").alias("outcome_label"),
+        F.lit("yes").alias("direction"), (F.rand(1) / 3).alias("gamma_price"), F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, 2.0).alias("flat_stake"), F.lit(0.0).alias("fee_paid"), when.alias("seen at"), F.when(F.col("id") % 2 == 0, 'a "b", \\ [{ü\n').alias("note"),
+        F.array(F.col("id"), F.lit(None)).alias("marks"), F.to_date(F.lit("2024-02-29")).alias("day"), F.encode(F.col("id").cast("string"), "utf-8").alias("raw"), (F.col("id") / 7).cast("decimal(20,9)").alias("exact"), F.lit("2024-05-01 00:00:00").cast("timestamp").alias("at"),
+    )
+    told = spark.createDataFrame([("S", d, final, label, None, None) for d in ("2024-05-01", "2024-05-09") for final, label in ((False, "cold"), (True, "hot"), (True, "warm"))], f"city string, target_date string, is_final boolean, truth_label string, truth_value double, outcome_bins array<{schemas.BIN}>")
+    kind = keyed.events(t, told.withColumn("at", F.lit("2024-05-02").cast("timestamp"))).schema
+
+    def feed(rows):
+        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in kind]).write.mode("append").parquet(str(tmp_path / "in"))
+        with keyed._state_in_rocks(spark):
+            done = keyed.settled(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+            done.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet").awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    assert feed(keyed.events(t, told.limit(0).withColumn("at", F.lit(None).cast("timestamp")))).count() == 0
+    assert spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "waiting").load().count() <= 5
+    early = feed(keyed.events(t.limit(0), told.withColumn("at", F.lit("2024-05-02").cast("timestamp"))))
+    assert early.count() == n - n // 5 and early.filter("target_date = '2024-05-09'").count() == 0
+    out = feed(keyed.events(t.limit(0), told.limit(1).withColumns({"is_final": F.lit(False), "at": F.lit("2024-05-10").cast("timestamp")})))
+    assert {tuple(r) for r in out.groupBy("outcome_label", "outcome").count().collect()} == {("warm", "won", n // 2), ("hot", "lost", n // 2)}
+    names = [f"`{c}`" for c in t.columns if c != "at"]
+    got, want = out.select(*names), t.select(*names)
+    assert dict(got.dtypes) == dict(want.dtypes) and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_a_look_at_ten_requests_reads_few_files(spark, tmp_path):
     table = listings.AnswerTable(spark, str(tmp_path / "a"), 60)
     t0 = datetime(2024, 1, 1)
